@@ -15,7 +15,6 @@ TABLES = [
 
 PLACES = "ORD,LAX,JFK,LGA,ATL,DFW,DEN,PHX,LAS,SEA,SFO,MIA,BOS,MSP,DTW,PHL,CLT,IAH,EWR,MCO,LHR,CDG,NRT,FRA,AMS"
 FIRST_NAMES = "Maria,John,Anna,Peter,Lucia,Omar,Ines,David,Sofia,Marko,Elena,Tomas,Greta,Pavel,Nadia,Hugo"
-SYLLABLES = "ba,ke,li,mo,nu,ra,se,ti,vo,zu,da,fe,gi,ho,ju,pa"
 
 
 def _pick(items: str, position: str) -> str:
@@ -23,9 +22,9 @@ def _pick(items: str, position: str) -> str:
     return f"split_part('{items}', ',', cast({position} + 1 as int))"
 
 
-def _syllables(digest: str, start: int, count: int) -> str:
-    one = [_pick(SYLLABLES, f"strpos('0123456789abcdef', substr({digest}, {start + i}, 1)) - 1") for i in range(count)]
-    return " || ".join(one)
+def _letters(digest: str, count: int) -> str:
+    """Pseudo-random lower-case letters from a hex digest."""
+    return f"translate(substr({digest}, 1, {count}), '0123456789abcdef', 'bcdfghaeiolmnrst')"
 
 
 def _days(engine: str, later: str, earlier: str) -> str:
@@ -36,10 +35,7 @@ def _days(engine: str, later: str, earlier: str) -> str:
 
 
 def _sql(engine: str) -> dict[str, tuple[list[str], str]]:
-    find = "instr" if engine == "spark" else "strpos"
     d = _days(engine, "l_shipdate", "o_orderdate")
-    last = _syllables("h", 1, 4).replace("strpos(", find + "(")
-    firm = _syllables("hc", 1, 3).replace("strpos(", find + "(")
     cap = lambda s: f"upper(substr({s}, 1, 1)) || substr({s}, 2, 40)"
     dig = "lpad(cast((c_custkey * 7919 + 2015550000) % 10000000000 as string), 10, '0')"
     ts = "cast(ts as timestamp)" if engine == "spark" else "ts"
@@ -88,12 +84,11 @@ def _sql(engine: str) -> dict[str, tuple[list[str], str]]:
         "people": (
             ["customer"],
             f"""
-            select c_custkey, c_nationkey, c_mktsegment, c_acctbal, {_pick(FIRST_NAMES, "c_custkey % 16")} as first_name,
-                   {cap("l0")} as last_name, lower(substr({_pick(FIRST_NAMES, "c_custkey % 16")}, 1, 1)) || '.' || l0 as mail_user,
-                   {cap("f0")} || ' ' || {_pick("Corp,Inc,LLC,Group", "c_custkey % 4")} as firm
-            from (select *, {last} as l0, {firm} as f0
-                  from (select *, md5(cast(c_custkey as string)) as h, md5('firm' || cast(c_custkey % 400 as string)) as hc
-                        from {{customer}}) a) b
+            select c_custkey, c_nationkey, c_mktsegment, c_acctbal, first_name, {cap("l0")} as last_name,
+                   lower(substr(first_name, 1, 1)) || '.' || l0 as mail_user, {cap("f0")} || ' ' || kind as firm
+            from (select *, {_pick(FIRST_NAMES, "c_custkey % 16")} as first_name, {_pick("Corp,Inc,LLC,Group", "c_custkey % 4")} as kind,
+                         {_letters("md5(cast(c_custkey as string))", 8)} as l0, {_letters("md5('firm' || cast(c_custkey % 400 as string))", 6)} as f0
+                  from {{customer}}) a
             """,
         ),
         "crm": (

@@ -51,7 +51,7 @@ def main(folder, only):
     import __spark_entry__ as entry
     from caseflow.session import build_session
 
-    spark = build_session(master="local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "12g"})
+    spark = build_session(master="local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "12g"})
     spark.sparkContext.setLogLevel("ERROR")
     con, sqls, bad = connect(folder), entry.oracle_sql(), 0
     for name, fn in entry.queries().items():
