@@ -511,8 +511,8 @@ def parse_person_company(t):
 
 @query(
     "parse_money", ["messages"],
-    r"""select doc_id, round(try_cast(replace(regexp_extract(tweet, '\$?([0-9][0-9,]*(?:\.[0-9]+)?)\s?([kK]?)\b', 1), ',', '') as double)
-        * case when regexp_extract(tweet, '\$?([0-9][0-9,]*(?:\.[0-9]+)?)\s?([kK]?)\b', 2) <> '' then 1000 else 1 end, 4) as amount from messages""",
+    r"""select doc_id, try_cast(replace(regexp_extract(tweet, '\$?([0-9][0-9,]*(?:\.[0-9]+)?)\s?([kK]?)\b', 1), ',', '') as double)
+        * case when regexp_extract(tweet, '\$?([0-9][0-9,]*(?:\.[0-9]+)?)\s?([kK]?)\b', 2) <> '' then 1000 else 1 end as amount from messages""",
 )
 def parse_money(t):
-    return t("messages").select("doc_id", F.round(tx.money_mention(F.col("tweet")), 4).alias("amount"))
+    return t("messages").select("doc_id", tx.money_mention(F.col("tweet")).alias("amount"))

@@ -41,8 +41,11 @@ def token_key_sql(text: str) -> str:
     return f"array_to_string(list_sort(string_split(trim(regexp_replace(lower({text}), '[^a-z0-9_]+', ' ', 'g')), ' ')), ' ')"
 
 
-def words_sql(text: str) -> str:
-    return f"list_distinct(list_filter(string_split_regex(lower({text}), '[^a-z0-9]+'), lambda w: w <> ''))"
+def keys_sql(text: str) -> str:
+    """Halves of each word with the initials of the other words."""
+    words = f"list_distinct(list_filter(string_split_regex(lower({text}), '[^a-z0-9]+'), lambda w: w <> ''))"
+    inner = "list_transform(case when len(ws) = 1 then [''] else [substr(o, 1, 1) for o in ws if o <> w] end, lambda i: ['f:' || substr(w, 1, 4) || '|' || i, 'l:' || right(w, 4) || '|' || i])"
+    return f"(select list_distinct(flatten(flatten([{inner} for w in ws]))) from (select {words} as ws))"
 
 
 # ---- cleaning and typing ----
@@ -239,9 +242,9 @@ def email_similarity(t):
     return t("crm").select("pos", sim.email_similarity(F.col("email"), other).alias("email_pct"))
 
 
-BLOCKS_SQL = f"""select p.pos as k, unnest(list_distinct(list_concat(list_transform({words_sql("p.name")}, lambda w: 'n:' || w),
+BLOCKS_SQL = f"""select p.pos as k, unnest(list_distinct(list_concat({keys_sql("p.name")},
    list_filter([case when split_part(p.email, '@', 1) <> '' then 'e:' || lower(split_part(p.email, '@', 1)) end,
-                case when trim(p.company) <> '' then 'c:' || lower(trim(p.company)) || '|' || lower(substr(trim(p.name), 1, 1)) end], lambda x: x is not null)))) as block
+                case when trim(p.company) <> '' then 'c:' || lower(trim(p.company)) || '|' || lower(substr(trim(p.name), 1, 2)) end], lambda x: x is not null)))) as block
    from crm p"""
 FUZZY_CTES = {
     "people_": "select name, email, company, min(pos) as pos from crm group by 1, 2, 3",
@@ -291,7 +294,7 @@ RECONCILE_CTES = {
     "refs": "select distinct customer_reference as ref from payments where customer_reference not in (select customer_id from crm) and customer_reference <> ''",
     "names_": "select name, arg_min(customer_id, pos) as customer_id, min(pos) as pos from crm where trim(name) <> '' group by name",
     "br": bits_sql("refs", "ref", "ref"), "bn": bits_sql("names_", "name", "name"),
-    "wr": f"select ref, unnest({words_sql('ref')}) as w from refs", "wn": f"select name, unnest({words_sql('name')}) as w from names_",
+    "wr": f"select ref, unnest({keys_sql('ref')}) as w from refs", "wn": f"select name, unnest({keys_sql('name')}) as w from names_",
     "cand": "select distinct ref, name from wr join wn using (w)",
     "best_ref": f"""select ref, customer_id as matched_id, pct as match_pct from (select *, row_number() over (partition by ref order by pct desc, pos) as rn
       from (select c.ref, n.customer_id, n.pos, {pct_sql("a", "b")} as pct from cand c join br a on a.k = c.ref join bn b on b.k = c.name join names_ n on n.name = c.name)
@@ -339,8 +342,8 @@ def payment_rollup(t):
           regexp_extract(customer, '^([A-Za-z\s]+)$', 1) as bare from tickets)""",
         "recs": "select *, row_number() over () as k from (select distinct name, email from parsed where name <> '' and email <> '')",
         "ents": "select name, email, min(pos) as pos from crm group by 1, 2",
-        "rb": f"""select k, unnest(list_concat(list_transform({words_sql('name')}, lambda w: 'n:' || w), list_filter(['e:' || lower(split_part(email, '@', 1))], lambda x: x <> 'e:'))) as b from recs""",
-        "eb": f"""select pos as k, unnest(list_concat(list_transform({words_sql('name')}, lambda w: 'n:' || w), list_filter(['e:' || lower(split_part(email, '@', 1))], lambda x: x <> 'e:'))) as b from ents""",
+        "rb": f"""select k, unnest(list_concat({keys_sql('name')}, list_filter(['e:' || lower(split_part(email, '@', 1))], lambda x: x <> 'e:'))) as b from recs""",
+        "eb": f"""select pos as k, unnest(list_concat({keys_sql('name')}, list_filter(['e:' || lower(split_part(email, '@', 1))], lambda x: x <> 'e:'))) as b from ents""",
         "cand": "select distinct rb.k as rk, eb.k as ek from rb join eb using (b)",
         "brn": bits_sql("recs", "k", "name"), "bre": bits_sql("recs", "k", "email"), "ben": bits_sql("ents", "pos", "name"), "bee": bits_sql("ents", "pos", "email"),
     },
@@ -370,8 +373,8 @@ def xref_matches(t):
 
 
 XREF_CTES = {
-    "pa": f"select pid as k, lower(trim(id)) as id, lower(trim(email)) as email, {token_key_sql('name')} as name, {words_sql('name')} as words from customers_a",
-    "rb": f"select rid as k, lower(trim(id)) as id, lower(trim(email)) as email, {token_key_sql('name')} as name, {words_sql('name')} as words from customers_b",
+    "pa": f"select pid as k, lower(trim(id)) as id, lower(trim(email)) as email, {token_key_sql('name')} as name, {keys_sql('name')} as words from customers_a",
+    "rb": f"select rid as k, lower(trim(id)) as id, lower(trim(email)) as email, {token_key_sql('name')} as name, {keys_sql('name')} as words from customers_b",
     "pe": bits_sql("pa", "k", "email"), "re": bits_sql("rb", "k", "email"), "pn": bits_sql("pa", "k", "name"), "rn": bits_sql("rb", "k", "name"),
     "keys_a": "select k, 'i' || id as b from pa where id <> '' union all select k, 'e' || split_part(email, '@', 1) from pa where split_part(email, '@', 1) <> '' union all select k, 'n' || unnest(words) from pa",
     "keys_b": "select k, 'i' || id as b from rb where id <> '' union all select k, 'e' || split_part(email, '@', 1) from rb where split_part(email, '@', 1) <> '' union all select k, 'n' || unnest(words) from rb",
