@@ -59,11 +59,11 @@ _LOOSE_CODE = r"(?i)\b([A-Z]{2,3})\s*(\d{1,4})\b"
 
 def any_word(c: Column, words: list[str]) -> Column:
     """True when the text holds any of the words as a case-insensitive substring."""
-    return F.coalesce(c.rlike("(?i)" + "|".join(words)), F.lit(False))
+    return F.coalesce(F.lower(c).rlike("|".join(words)), F.lit(False))
 
 
 def keyword_count(c: Column, words: list[str] = COMPLAINT_WORDS) -> Column:
-    return F.coalesce(F.regexp_count(c, F.lit("(?i)" + "|".join(words))), F.lit(0))
+    return F.coalesce(F.regexp_count(F.lower(c), F.lit("|".join(words))), F.lit(0))
 
 
 def entity_codes(c: Column, strict: bool = True) -> Column:
@@ -74,8 +74,7 @@ def entity_codes(c: Column, strict: bool = True) -> Column:
 
 def entity_code(c: Column, strict: bool = True) -> Column:
     """First code, or null. ``strict=False`` also takes lower case and plain words such as ``on 2``."""
-    pattern = _STRICT_CODE if strict else _LOOSE_CODE
-    code = F.concat(F.regexp_extract(c, pattern, 1), F.regexp_extract(c, pattern, 2))
+    code = F.regexp_replace(F.regexp_extract(c, _STRICT_CODE if strict else _LOOSE_CODE, 0), r"\s+", "")
     return F.when(code != "", code)
 
 
@@ -95,34 +94,37 @@ def mentioned_date(c: Column, reference_date: Column) -> Column:
     def ymd(y: Column, m: Column, d: Column) -> Column:
         return F.try_to_date(F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0")), "yyyy-MM-dd")
 
-    full = r"\b(\d{1,2})/(\d{1,2})/(\d{2,4})\b"
-    full_year = F.regexp_extract(c, full, 3)
+    # every pattern scans the text once; its short hit is taken apart afterwards
+    full = F.split(F.regexp_extract(c, r"\b(\d{1,2})/(\d{1,2})/(\d{2,4})\b", 0), "/")
+    full_year = F.get(full, F.lit(2))
     full_year = F.when(F.length(full_year) == 2, F.concat(F.lit("20"), full_year)).otherwise(full_year)
-    short = r"\b(\d{1,2})/(\d{1,2})\b"
-    named = r"(?i)\b(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\s+(\d{1,2})\b"
-    month_no = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower(F.regexp_extract(c, named, 1)))
+    short = F.split(F.regexp_extract(c, r"\b(\d{1,2})/(\d{1,2})\b", 0), "/")
+    named = F.regexp_extract(c, r"(?i)\b(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\s+(\d{1,2})\b", 0)
+    month_no = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower(F.substring(named, 1, 3)))
     relative = F.lower(F.regexp_extract(c, r"(?i)\b(yesterday|today)\b", 1))
     return F.coalesce(
-        F.when(F.length(full_year) == 4, ymd(full_year, F.regexp_extract(c, full, 1), F.regexp_extract(c, full, 2))),
-        F.when(c.rlike(short), ymd(year, F.regexp_extract(c, short, 1), F.regexp_extract(c, short, 2))),
-        F.when(c.rlike(named), ymd(year, month_no.cast("string"), F.regexp_extract(c, named, 2))),
+        F.when(F.length(full_year) == 4, ymd(full_year, F.get(full, F.lit(0)), F.get(full, F.lit(1)))),
+        F.when(F.size(short) == 2, ymd(year, F.get(short, F.lit(0)), F.get(short, F.lit(1)))),
+        F.when(named != "", ymd(year, month_no.cast("string"), F.regexp_extract(named, r"(\d+)$", 1))),
         F.when(relative == "yesterday", F.date_sub(reference_date, 1)).when(
             relative == "today", reference_date.cast("date")
         ),
     )
 
 
+def _delay_hits(c: Column) -> list[Column]:
+    return [F.regexp_extract(c, "(?i)" + p, 1) for p in DELAY_PATTERNS]
+
+
 def delay_hours(c: Column) -> Column:
     """First integer of the first delay pattern that matches."""
-    return F.coalesce(
-        *[F.regexp_extract(c, "(?i)" + p, 1).try_cast("int") for p in DELAY_PATTERNS]
-    )
+    return F.coalesce(*[h.try_cast("int") for h in _delay_hits(c)])
 
 
 def incident_types(c: Column) -> Column:
     """Distinct incident words, sorted and joined by ``, ``; null when nothing is mentioned."""
     hits = [F.lower(F.regexp_extract(c, "(?i)" + p, 1)) for p in INCIDENT_PATTERNS]
-    delayed = reduce(lambda x, y: x | y, [c.rlike("(?i)" + p) for p in DELAY_PATTERNS])
+    delayed = reduce(lambda x, y: x | y, [h != "" for h in _delay_hits(c)])
     words = F.array(*hits, F.when(delayed, F.lit("delay")).otherwise(F.lit("")))
     kept = F.array_sort(F.array_distinct(F.filter(words, lambda w: w != "")))
     return F.when(F.size(kept) > 0, F.array_join(kept, ", "))

@@ -36,12 +36,8 @@ def load_stats(df: DataFrame, created: str = "created_at", text: str = "text", b
 
 
 def complaint_score(df: DataFrame, text: str = "text") -> DataFrame:
-    return df.withColumns(
-        {
-            "has_complaint_keywords": tx.any_word(F.col(text), tx.COMPLAINT_WORDS),
-            "complaint_score": tx.keyword_count(F.col(text)),
-        }
-    )
+    scored = df.withColumn("complaint_score", tx.keyword_count(F.col(text)))
+    return scored.withColumn("has_complaint_keywords", F.col("complaint_score") > 0)
 
 
 def extract_entities(df: DataFrame, text: str, reference_date: Column, strict: bool = True) -> DataFrame:
