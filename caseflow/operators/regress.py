@@ -22,14 +22,10 @@ def hash_split(df: DataFrame, key: str, ratio: float = 0.8, seed: int = 1337) ->
 
     When no row would validate, the row with the last key does.
     """
-    side = df.withColumn("__train", split_byte(F.col(key), seed) / 255.0 < ratio)
-    edge = side.agg(F.count_if(~F.col("__train")).alias("n_val"), F.count(F.lit(1)).alias("n"), F.max(key).alias("last_key"))
-    moved = (F.col("n_val") == 0) & (F.col("n") > 1) & (F.col(key) == F.col("last_key"))
-    return (
-        side.crossJoin(F.broadcast(edge))  # one row
-        .withColumn("part", F.when(F.col("__train") & ~moved, "train").otherwise("val"))
-        .drop("__train", "n_val", "n", "last_key")
-    )
+    on_train = split_byte(F.col(key), seed) / 255.0 < ratio
+    if df.filter(~on_train).isEmpty() and not df.offset(1).isEmpty():  # stops at the first validation row
+        on_train = on_train & (F.col(key) != F.lit(df.agg(F.max(key)).first()[0]))
+    return df.withColumn("part", F.when(on_train, "train").otherwise("val"))
 
 
 def _feature(c: str) -> Column:
