@@ -27,6 +27,25 @@ CITATIONS = {
     "baggage": "14 CFR 259.8 - Baggage delayed {baggage_delay_hours}+ hours",
     "ancillary": "14 CFR 259.6 - Ancillary services not provided (WiFi, seat assignments, etc.)",
 }
+# Reason, evidence and action texts.
+REASONS = {
+    "cancelled": "Flight cancellation",
+    "delayed": "Significant delay (%.1f hours)",
+    "baggage": "Potential baggage delay/loss",
+    "wifi": "WiFi service issues",
+    "none": "No DOT refund criteria met",
+}
+EVIDENCE = {
+    "cancelled": "BTS data confirms flight was cancelled",
+    "delayed": "BTS data shows %s minute arrival delay",
+    "baggage": "Tweet mentions baggage issues",
+    "wifi": "Tweet mentions WiFi/internet problems",
+    "none": "Flight performance within normal parameters",
+}
+ACTIONS = {
+    "baggage": "Provide baggage claim tickets and tracking information",
+    "none": "Contact airline customer service for voluntary compensation",
+}
 
 
 def _joined(*parts: Column) -> Column:
@@ -64,7 +83,6 @@ def decide(cases: DataFrame, text: str = "original_text", rules: dict | None = N
     amount = F.least(price, F.when(fee, BAG_FEE).otherwise(price), F.when(wifi, WIFI_FEE).otherwise(price))
     cash = c | s
     eligible = cash | bag | wifi
-    whole_minutes = minutes.cast("long").cast("string")
     return base.withColumns(
         {
             "refund_eligible": eligible,
@@ -72,17 +90,15 @@ def decide(cases: DataFrame, text: str = "original_text", rules: dict | None = N
             "refund_type": F.when(cash, "cash").when(eligible, "partial"),
             "airline_deadline_days": F.when(cash, 7).when(eligible, 30),
             "confidence_level": F.when(bag & ~cash, "medium").otherwise("high"),
-            "customer_action_required": F.when(bag & ~cash, "Provide baggage claim tickets and tracking information").when(
-                ~eligible, "Contact airline customer service for voluntary compensation"
-            ),
+            "customer_action_required": F.when(bag & ~cash, ACTIONS["baggage"]).when(~eligible, ACTIONS["none"]),
             "refund_reason": F.coalesce(
                 _joined(
-                    F.when(c, F.lit("Flight cancellation")),
-                    F.when(s, F.format_string("Significant delay (%.1f hours)", minutes / 60)),
-                    F.when(bag, F.lit("Potential baggage delay/loss")),
-                    F.when(wifi, F.lit("WiFi service issues")),
+                    F.when(c, F.lit(REASONS["cancelled"])),
+                    F.when(s, F.format_string(REASONS["delayed"], minutes / 60)),
+                    F.when(bag, F.lit(REASONS["baggage"])),
+                    F.when(wifi, F.lit(REASONS["wifi"])),
                 ),
-                F.lit("No DOT refund criteria met"),
+                F.lit(REASONS["none"]),
             ),
             "dot_rule_citation": _joined(
                 F.when(c, cite["cancelled"]),
@@ -92,12 +108,12 @@ def decide(cases: DataFrame, text: str = "original_text", rules: dict | None = N
             ),
             "evidence_summary": F.coalesce(
                 _joined(
-                    F.when(c, F.lit("BTS data confirms flight was cancelled")),
-                    F.when(s, F.concat(F.lit("BTS data shows "), whole_minutes, F.lit(" minute arrival delay"))),
-                    F.when(bag, F.lit("Text mentions baggage issues")),
-                    F.when(wifi, F.lit("Text mentions WiFi/internet problems")),
+                    F.when(c, F.lit(EVIDENCE["cancelled"])),
+                    F.when(s, F.format_string(EVIDENCE["delayed"], minutes.cast("string"))),
+                    F.when(bag, F.lit(EVIDENCE["baggage"])),
+                    F.when(wifi, F.lit(EVIDENCE["wifi"])),
                 ),
-                F.lit("Flight performance within normal parameters"),
+                F.lit(EVIDENCE["none"]),
             ),
         }
     )

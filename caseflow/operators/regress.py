@@ -83,7 +83,7 @@ def fit_one_feature(df: DataFrame, target: str, feature: str, by: list[str] | No
 def score_linear(df: DataFrame, model: DataFrame, into: str = "prediction") -> DataFrame:
     """Intercept plus the weighted, imputed features as one Column expression; the model is a handful of terms."""
     out = F.lit(0.0)
-    for term, coef, fill in [tuple(r) for r in model.limit(10_000).collect()]:
+    for term, coef, fill in [tuple(r) for r in model.collect()]:
         out = out + (F.lit(coef) if fill is None else F.coalesce(money_amount(F.col(term)), F.lit(fill)) * coef)
     return df.withColumn(into, out)
 

@@ -399,7 +399,7 @@ def xref_match(t):
     "select pid, 'reference_0' as source, 'missing_reference' as type, 'medium' as severity from customers_a where pid not in (select pid from matches)", XREF_CTES,
 )
 def xref_missing(t):
-    return xref.xref_missing(t("customers_a"), xref_matches(t), "reference_0").drop("confidence_factor")
+    return xref.xref_missing(t("customers_a"), xref_matches(t), "reference_0").drop("confidence_factor", "recommended_action")
 
 
 def _order_matches(t):

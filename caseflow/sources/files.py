@@ -22,6 +22,14 @@ CATEGORIES = {
 TEXT_EXTENSIONS = [".txt", ".md", ".csv", ".json", ".py", ".js", ".html"]
 VISUAL_EXTENSIONS = [".pdf", ".png", ".jpg", ".jpeg"]
 VISUAL_KEYWORDS = ["visual", "document", "image"]
+SUMMARIES = {
+    "csv": "CSV data with %d rows, columns: %s",
+    "json": "JSON data structure containing configuration or data records",
+    "code": "Source code file (%s) containing functions and logic",
+    "md": "Markdown documentation or notes",
+    "text": "Text document with approximately %d words",
+    "visual": "Visual content: %s",
+}
 HEAD_CHARS = 1000  # the catalogue looks at the head of a file by definition
 SUMMARY_CHARS = 200
 
@@ -44,15 +52,12 @@ def text_summary(head: Column, extension: Column, name: Column) -> Column:
     lines = F.split(brief, "\n")
     words = F.size(F.filter(F.split(brief, r"\s+"), lambda w: w != ""))
     return (
-        F.when(
-            extension == ".csv",
-            F.format_string("CSV data with %d rows, columns: %s", F.size(lines), F.element_at(lines, 1)),
-        )
-        .when(extension == ".json", F.lit("JSON data structure"))
-        .when(extension.isin(".py", ".js"), F.concat(F.lit("Source code file "), F.upper(F.substring(extension, 2, 9))))
-        .when(extension == ".md", F.lit("Markdown notes"))
-        .when(extension.isin(TEXT_EXTENSIONS), F.format_string("Text document of about %d words", words))
-        .when(extension.isin(VISUAL_EXTENSIONS), F.concat(F.lit("Visual content: "), name))
+        F.when(extension == ".csv", F.format_string(SUMMARIES["csv"], F.size(lines), F.element_at(lines, 1)))
+        .when(extension == ".json", F.lit(SUMMARIES["json"]))
+        .when(extension.isin(".py", ".js"), F.format_string(SUMMARIES["code"], F.upper(F.substring(extension, 2, 9))))
+        .when(extension == ".md", F.lit(SUMMARIES["md"]))
+        .when(extension.isin(TEXT_EXTENSIONS), F.format_string(SUMMARIES["text"], words))
+        .when(extension.isin(VISUAL_EXTENSIONS), F.format_string(SUMMARIES["visual"], name))
         .otherwise(F.lit(""))
     )
 

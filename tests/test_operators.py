@@ -208,6 +208,7 @@ def test_xref(spark):
     got = {(x["pid"], x["type"], x["severity"]) for x in found.collect()}
     assert got == {(0, "email_domain_mismatch", "low"), (0, "phone_mismatch", "medium"), (0, "numeric_mismatch", "high"), (0, "status_mismatch", "high")}
     assert [x["pid"] for x in xref.xref_missing(p, m, "reference_0").collect()] == [2]
+    assert found.filter("field = 'revenue'").first()["recommended_action"] == "Investigate revenue discrepancy - possible data sync issue"
     conf = xref.record_confidence(p, xref.source_confidence(p, m, found, "reference_0"), ["id", "email", "name"])
     by = {x["pid"]: x for x in conf.collect()}
     assert by[2]["cross_reference_score"] == 0.8 and (by[0]["cross_reference_score"], by[0]["overall_score"]) == (0.57, 0.7)
@@ -326,3 +327,9 @@ def test_charts(spark):
     rec = profiling.recommend_charts(profiling.viz_stats(df))
     assert [r["chart"] for r in rec.orderBy("rank").collect()] == ["line_chart", "bar_chart", "histogram", "pie_chart"]
     assert '"chart_type":"line_chart"' in profiling.preview_config(rec).first()["config"]
+
+
+def test_operator_catalog():
+    from caseflow.operators import operator_catalog
+
+    assert {"matching.match_cascade", "xref.xref_match", "positions.top_share"} <= set(operator_catalog())
