@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from caseflow.llm import decontaminate
+from caseflow.llm import decontaminate, neardup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontaminate": decontaminate.op9_decontaminate,
+    "op10_neardup": neardup.op10_neardup,
 }
-ORACLES: dict[str, str] = {"op9_decontaminate": decontaminate.SQL}
+ORACLES: dict[str, str] = {"op9_decontaminate": decontaminate.SQL, "op10_neardup": neardup.SQL}
