@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from caseflow.llm import decontaminate, neardup
+from caseflow.llm import bpe, decontaminate, neardup, substring, tokencount
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bpe": bpe.op1_bpe,
+    "op4_substring": substring.op4_substring,
+    "op6_tokencount": tokencount.op6_tokencount,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_neardup": neardup.op10_neardup,
 }
-ORACLES: dict[str, str] = {"op9_decontaminate": decontaminate.SQL, "op10_neardup": neardup.SQL}
+ORACLES: dict[str, str] = {"op4_substring": substring.SQL, "op9_decontaminate": decontaminate.SQL, "op10_neardup": neardup.SQL}

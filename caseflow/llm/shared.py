@@ -121,9 +121,8 @@ LONG_WORD = 4096
 
 
 def word_hash(body: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    """64-bit hash of body[start:stop] for every pair, eight bytes of all words at a time."""
-    padded = np.concatenate([body, np.zeros(8, np.uint8)])
-    loads = np.ndarray((len(body) + 1,), "<u8", buffer=padded, strides=(1,))
+    """64-bit hash of body[start:stop] for every pair, eight bytes of all words at a time; 8 more bytes follow the body."""
+    loads = np.ndarray((len(body) - 7,), "<u8", buffer=body, strides=(1,))
     size = stop - start
     out = mix(size.astype(U64) * U64(BASES[0]) + (loads[start] & KEEP[np.minimum(size, 8)]))
     at, more = 8, np.flatnonzero(size > 8)
@@ -149,6 +148,7 @@ class Words:
     def __init__(self, column, is_word: np.ndarray, lower: bool = False, hashed: bool = True):
         body, offsets = raw_text(column)
         self.body = lower_ascii(body) if lower else body
+        self.padded = np.concatenate([self.body, np.zeros(8, np.uint8)])
         self.offsets = offsets
         inside = np.zeros(len(body) + 2, bool)
         inside[1:-1] = is_word[self.body]
@@ -159,7 +159,7 @@ class Words:
         self.start, self.stop = np.flatnonzero(begins), np.flatnonzero(ends)
         self.first = np.searchsorted(self.start, offsets).astype(np.int64)
         self.count = np.diff(self.first)
-        self.hash = word_hash(self.body, self.start, self.stop) if hashed else None
+        self.hash = word_hash(self.padded, self.start, self.stop) if hashed else None
 
     @property
     def doc(self) -> np.ndarray:
