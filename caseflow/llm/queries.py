@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from caseflow.llm import bpe, decontaminate, neardup, substring, tokencount
+from caseflow.llm import bpe, decontaminate, fingerprint, langid, neardup, pii, secrets, substring, tokencount
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": bpe.op1_bpe,
+    "op2_secrets": secrets.op2_secrets,
     "op4_substring": substring.op4_substring,
+    "op5_langid": langid.op5_langid,
     "op6_tokencount": tokencount.op6_tokencount,
+    "op7_fingerprint": fingerprint.op7_fingerprint,
+    "op8_pii": pii.op8_pii,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_neardup": neardup.op10_neardup,
 }
-ORACLES: dict[str, str] = {"op4_substring": substring.SQL, "op9_decontaminate": decontaminate.SQL, "op10_neardup": neardup.SQL}
+ORACLES: dict[str, str] = {"op2_secrets": secrets.SQL, "op4_substring": substring.SQL, "op9_decontaminate": decontaminate.SQL, "op10_neardup": neardup.SQL}
