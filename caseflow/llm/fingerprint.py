@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseflow.llm.shared import SPACES, U64, Words, byte_table, mix, table, text_blocks, texts_of
+from caseflow.llm.shared import BASES, SPACES, U64, Words, byte_table, mix, table, text_blocks, texts_of
 
 #: The band of document frequencies, as shares of all documents.
 LOW, HIGH = 0.001, 0.2
@@ -117,16 +117,17 @@ def components(terms: np.ndarray, sizes: np.ndarray, band: np.ndarray) -> np.nda
     use = inside | bare[text]
     terms, text = terms[use], text[use]
     out = np.zeros((len(sizes), 1 + SUBSETS * RATES), U64)
+    value = mix(terms ^ U64(BASES[0]))
+    np.add.at(out[:, 0], text, value)
     for k in range(SUBSETS):
-        drawn = mix(terms + U64(k + 1) * U64(0x9E3779B97F4A7C15))
-        trailing = np.zeros(len(terms), np.int64)
-        for j in range(RATES):
-            trailing += (drawn & U64((1 << (j + 1)) - 1)) == 0
-        sums = np.zeros((len(sizes), RATES + 1), U64)
-        np.add.at(sums, (text, trailing), mix(drawn))
-        sums = np.cumsum(sums[:, ::-1], axis=1, dtype=U64)[:, ::-1]
-        out[:, 0] += sums[:, 0]
-        out[:, 1 + k * RATES : 1 + (k + 1) * RATES] = sums[:, 1:] >> U64(32)
+        bits, used = U64(0), 64
+        for rate in range(1, RATES + 1):
+            if used + rate > 64:
+                bits, used = mix(terms + U64((k * RATES + rate) * BASES[1] % (1 << 64))), 0
+            drawn = np.flatnonzero((bits >> U64(used) & U64((1 << rate) - 1)) == 0)
+            used += rate
+            np.add.at(out[:, (k * RATES) + rate], text[drawn], value[drawn])
+    out[:, 1:] = mix(out[:, 1:]) >> U64(32)
     return out
 
 

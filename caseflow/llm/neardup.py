@@ -6,9 +6,14 @@
    least ``overlap_of`` retained values, so they also share one of the first ``size - overlap + 1`` values of their
    sketches in an order common to all, rarest value first (prefix filter). Only those entries go into lists; a value
    of a passage that many documents share is late in that order and rarely enters.
-3. Candidates: the members of a list meet the list's smallest member, not each other. The union of two sketches
-   estimates the similarity, what passes is verified on full sets, and links give components. Then members of one list
-   that are still in different components meet, pair by pair, so that no link which could join two components is lost.
+3. Candidates: the members of a list meet the list's centre (its member with the fewest values of its own), not each
+   other. The union of two sketches estimates the similarity, what passes is verified on full sets, and links give
+   components.
+4. Lists whose members are now in one component are settled. The members of the others are compared again on all their
+   shingles, so that no link is lost: shingles in an order common to all, rarest first, give each document a prefix,
+   and a shared shingle at one position bounds the overlap, hence the size of a partner. Entries meet under the shingle
+   and a band of sizes, the smaller set as host. Of a group's entries only those outside its largest component meet
+   the others; two members of one component never meet. What is left is verified like before.
 
 Sketches of 64 values: for a pair at exactly the threshold, the number of shared values is at least a binomial with
 64 draws of 0.85; it falls below 38 with a chance of about 10^-7. Sets below 55 shingles use the exact bound.
@@ -32,6 +37,8 @@ SKETCH = 64
 PERCENT = 85
 #: Least number of shared retained values, for sketches cut at SKETCH.
 OVERLAP = 38
+#: Ratio of the sizes in neighbouring bands.
+BAND = 0.95
 BLOCK_BYTES = 1 << 20
 
 WORD_BYTES = byte_table(SPACES)
@@ -117,8 +124,45 @@ def _verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame) -> DataFr
     return staged(sides(likely, used, "text").mapInArrow(_linked, "a bigint, b bigint"), "links")
 
 
+def _values(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for block in text_blocks(batches, BLOCK_BYTES):
+        sets = [signed(s) for s in shingle_sets(block.column("text"))]
+        ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+        held = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets)))
+        yield pa.RecordBatch.from_arrays([*(block.column(c).combine_chunks() for c in ("doc_id", "label")), held], names=["doc_id", "label", "held"])
+
+
+def _rest(texts: DataFrame, members: DataFrame) -> DataFrame:
+    """All pairs ``(a, b)`` of ``members`` (``doc_id``, ``label``) with different labels that can still link."""
+    whole = texts.join(members, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "label", "text")
+    sets = staged(whole.mapInArrow(_values, "doc_id bigint, label bigint, held array<bigint>"), "sets")
+    held = sets.select("doc_id", "label", F.size("held").cast("long").alias("n"), F.explode("held").alias("value"))
+    common = staged(held.groupBy("value").agg(F.count("*").alias("held_by")).filter("held_by > 1"), "shared")
+    n = F.col("n")
+    room = F.floor(((n - F.col("at")) * (100 + PERCENT) - n * PERCENT) / PERCENT)
+    band = lambda size: F.floor(F.ln(size.cast("double")) / F.lit(-np.log(BAND).item())).cast("int")
+    entries = staged(
+        held.join(common, "value").groupBy("doc_id", "label", "n").agg(F.array_sort(F.collect_list(F.struct("held_by", "value"))).alias("shared"))
+        .select("doc_id", "label", "n", (n - F.size("shared")).alias("alone"), F.posexplode("shared").alias("at", "entry"))
+        .select("doc_id", "label", "n", "entry.value", (F.col("alone") + F.col("at")).alias("at"))
+        .filter(F.col("at") <= n - F.ceil(n * PERCENT / 100)).withColumn("room", room), "entries",
+    )
+    hosts = entries.filter("room >= n").withColumn("band", band(n))
+    probes = entries.filter(F.col("room") * 100 >= n * PERCENT).withColumn("band", F.explode(F.sequence(band(F.ceil(n * PERCENT / 100)), band(F.least("room", "n")))))
+    key = ["value", "band"]
+    labels = hosts.select(*key, "label").unionByName(probes.select(*key, "label")).groupBy(*key, "label").agg(F.count("*").alias("rows"))
+    mixed = staged(
+        labels.groupBy(*key).agg(F.count("*").alias("labels"), F.max(F.struct("rows", "label")).alias("most")).filter("labels > 1").select(*key, F.col("most.label").alias("major")), "mixed",
+    )
+    hosts, probes = (x.join(mixed, key).withColumn("minor", F.col("label") != F.col("major")) for x in (hosts, probes))
+    probes = probes.select(*key, *[F.col(c).alias(f"{c}_x") for c in ("doc_id", "label", "n", "room", "minor")])
+    can = (F.col("label") != F.col("label_x")) & (n <= F.col("room_x")) & (F.col("n_x") <= F.col("room")) & ((n < F.col("n_x")) | ((n == F.col("n_x")) & (F.col("doc_id") < F.col("doc_id_x"))))
+    met = [p.join(h, key).filter(can).select("doc_id", "doc_id_x") for p, h in ((probes, hosts.filter("minor")), (probes.filter("minor_x"), hosts.filter("not minor")))]
+    return met[0].unionByName(met[1]).select(F.least("doc_id", "doc_id_x").alias("a"), F.greatest("doc_id", "doc_id_x").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """``(doc_id, n_shingles, component_id)`` for every row of ``docs`` (``doc_id``, ``text``).
+    """``(doc_id, n_shingles, component_id)`` for every row of ``docs`` (``doc_id``, ``text``); links as in the module text.
 
     Null, empty and wordless texts have no shingles and are components of their own. Rows that repeat a document
     are in its component; a null ``doc_id`` takes the component of its text. Component ids are exact minima, so ties
@@ -138,26 +182,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         held.join(common, "value").groupBy("doc_id", "n_shingles")
         .agg(F.array_sort(F.collect_list(F.struct("held_by", "value"))).alias("shared"))
         .withColumn("take", size - overlap_of(F.col("n_shingles")) + 1 - (size - F.size("shared")))
-        .filter("take > 0").select("doc_id", "n_shingles", F.explode(F.slice("shared", 1, F.col("take").cast("int"))).alias("entry"))
-        .select("doc_id", "n_shingles", "entry.value"), "lists",
+        .filter("take > 0").select("doc_id", (size - F.size("shared")).alias("alone"), F.explode(F.slice("shared", 1, F.col("take").cast("int"))).alias("entry"))
+        .select("doc_id", "alone", "entry.value"), "lists",
+    )
+    centres = staged(
+        lists.groupBy("value").agg(F.min(F.struct("alone", "doc_id")).alias("least"), F.count("*").alias("members")).filter("members > 1")
+        .select("value", F.col("least.doc_id").alias("centre")), "centres",
     )
-    centres = staged(lists.groupBy("value").agg(F.min("doc_id").alias("a"), F.count("*").alias("members")).filter("members > 1"), "centres")
-    alike = lambda x, y: (F.col(x) * 100 >= F.col(y) * PERCENT) & (F.col(y) * 100 >= F.col(x) * PERCENT)
-    first = lists.join(centres, "value").filter("doc_id > a").select("a", F.col("doc_id").alias("b")).distinct()
+    first = lists.join(centres, "value").filter("doc_id <> centre").select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b")).distinct()
     links = _verified(first, reps, texts)
     found = components(links)
     placed = staged(
-        lists.join(centres.select("value"), "value").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-        .withColumn("label", F.coalesce("label", "doc_id")), "placed",
-    )
-    split = staged(placed.groupBy("value").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("value"), "split")
-    open_ = placed.join(split, "value")
-    one, two = open_.select("value", *[F.col(c).alias(f"{c}_a") for c in ("doc_id", "n_shingles", "label")]), open_
-    rest = (
-        one.join(two, "value").filter((F.col("doc_id_a") < F.col("doc_id")) & (F.col("label_a") != F.col("label")) & alike("n_shingles_a", "n_shingles"))
-        .select(F.col("doc_id_a").alias("a"), F.col("doc_id").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+        lists.join(centres, "value").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+        .select("value", "doc_id", F.coalesce("label", "doc_id").alias("label")), "placed",
     )
-    more = _verified(rest, reps, texts)
+    unsettled = staged(placed.groupBy("value").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("value"), "unsettled")
+    more = _verified(_rest(texts, placed.join(unsettled, "value").select("doc_id", "label").distinct()), reps, texts)
     found = components(links.unionByName(more))
     of_class = staged(classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(*key, F.coalesce("label", "rep").alias("component_id")), "components")
     return seen.select("doc_id", *key).join(of_class, key, "left").select(

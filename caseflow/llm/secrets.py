@@ -30,14 +30,17 @@ HEX = r"([0-9a-f]{32,})"
 TOKEN = r"([A-Za-z0-9+/_=-]{20,})"
 
 SPAN = "array<struct<start:int,kind:int,stop:int,value:string>>"
-NO_SPANS = F.expr(f"cast(array() as {SPAN})")
+
+
+def no_spans() -> Column:
+    return F.expr(f"cast(array() as {SPAN})")
 
 
 def matches(text: Column, pattern: str, kind: int, least: int, gate: Column) -> Column:
     """Spans of a pattern with one group, whose group has at least ``least`` characters; only looked for behind ``gate``."""
     whole, group = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
     gaps = F.split(text, pattern, -1)
-    begin = F.struct(F.lit(0).alias("at"), NO_SPANS.alias("spans"))
+    begin = F.struct(F.lit(0).alias("at"), no_spans().alias("spans"))
 
     def step(state: Column, hit: Column) -> Column:
         start = state["at"] + F.length(hit["gap"])
@@ -46,7 +49,7 @@ def matches(text: Column, pattern: str, kind: int, least: int, gate: Column) ->
         return F.struct(stop.alias("at"), F.when(F.length(hit["group"]) >= least, F.array_append(state["spans"], span)).otherwise(state["spans"]).alias("spans"))
 
     hits = F.filter(F.arrays_zip(gaps.alias("gap"), whole.alias("whole"), group.alias("group")), lambda h: h["whole"].isNotNull())
-    return F.when(gate, F.aggregate(hits, begin, step, lambda s: s["spans"])).otherwise(NO_SPANS)
+    return F.when(gate, F.aggregate(hits, begin, step, lambda s: s["spans"])).otherwise(no_spans())
 
 
 def candidates(docs: DataFrame, repo_col: str = "doc_id", owner_col: str = "source") -> DataFrame:
@@ -105,7 +108,7 @@ def joined(spans: Column) -> Column:
 
 def op2_secrets(spark: SparkSession, folder: str) -> DataFrame:
     found = scan(table(spark, folder, "documents"))
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{n}") for k, n in enumerate(BASE_KINDS)]
+    counts = [F.expr(f"cast(size(filter(base, s -> s.kind = {k})) as bigint)").alias(f"n_{n}") for k, n in enumerate(BASE_KINDS)]
     return found.select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.concat("base", "tokens")).alias("spans"), "n_live", "n_example")
 
 
