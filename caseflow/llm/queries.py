@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from caseflow.llm import bpe, decontaminate, fingerprint, langid, neardup, pii, secrets, substring, tokencount
+from caseflow.llm import bpe, decontaminate, fingerprint, langid, neardup, pages, pii, secrets, substring, tokencount
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": bpe.op1_bpe,
     "op2_secrets": secrets.op2_secrets,
+    "op3_pages": pages.op3_pages,
     "op4_substring": substring.op4_substring,
     "op5_langid": langid.op5_langid,
     "op6_tokencount": tokencount.op6_tokencount,
