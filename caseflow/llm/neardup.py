@@ -119,9 +119,7 @@ def _verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame) -> DataFr
         return pairs
 
     likely = staged(sides(pairs, sketches, "sketch").mapInArrow(_likely, "a bigint, b bigint"), "likely")
-    asked = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    used = staged(texts.join(asked, "doc_id").dropDuplicates(["doc_id"]), "texts")
-    return staged(sides(likely, used, "text").mapInArrow(_linked, "a bigint, b bigint"), "links")
+    return staged(sides(likely, texts, "text").mapInArrow(_linked, "a bigint, b bigint"), "links")
 
 
 def _values(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,7 +132,7 @@ def _values(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _rest(texts: DataFrame, members: DataFrame) -> DataFrame:
     """All pairs ``(a, b)`` of ``members`` (``doc_id``, ``label``) with different labels that can still link."""
-    whole = texts.join(members, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "label", "text")
+    whole = texts.join(members, "doc_id").select("doc_id", "label", "text")
     sets = staged(whole.mapInArrow(_values, "doc_id bigint, label bigint, held array<bigint>"), "sets")
     held = sets.select("doc_id", "label", F.size("held").cast("long").alias("n"), F.explode("held").alias("value"))
     common = staged(held.groupBy("value").agg(F.count("*").alias("held_by")).filter("held_by > 1"), "shared")
@@ -190,14 +188,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .select("value", F.col("least.doc_id").alias("centre")), "centres",
     )
     first = lists.join(centres, "value").filter("doc_id <> centre").select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b")).distinct()
-    links = _verified(first, reps, texts)
+    # the one time that texts are shuffled: those of list members, for everything that follows
+    listed = lists.join(centres, "value").select("doc_id").distinct()
+    whole = staged(texts.join(listed, "doc_id").dropDuplicates(["doc_id"]), "texts")
+    links = _verified(first, reps, whole)
     found = components(links)
     placed = staged(
         lists.join(centres, "value").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
         .select("value", "doc_id", F.coalesce("label", "doc_id").alias("label")), "placed",
     )
     unsettled = staged(placed.groupBy("value").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("value"), "unsettled")
-    more = _verified(_rest(texts, placed.join(unsettled, "value").select("doc_id", "label").distinct()), reps, texts)
+    more = _verified(_rest(whole, placed.join(unsettled, "value").select("doc_id", "label").distinct()), reps, whole)
     found = components(links.unionByName(more))
     of_class = staged(classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(*key, F.coalesce("label", "rep").alias("component_id")), "components")
     return seen.select("doc_id", *key).join(of_class, key, "left").select(
