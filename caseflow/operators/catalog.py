@@ -14,26 +14,34 @@ def catalog_summary(catalog: DataFrame) -> DataFrame:
 
 
 def index_entries(catalog: DataFrame) -> DataFrame:
-    """Flat index (kind, term, name): one row per keyword or category of a file. Any term size is fine here."""
-    words = catalog.select(F.lit("keyword").alias("kind"), F.explode("keywords").alias("term"), "name")
-    groups = catalog.select(F.lit("category").alias("kind"), F.col("category").alias("term"), "name")
+    """Flat index (kind, term, path): one row per keyword or category of a file. Any term size is fine here."""
+    words = catalog.select(F.lit("keyword").alias("kind"), F.explode("keywords").alias("term"), "path")
+    groups = catalog.select(F.lit("category").alias("kind"), F.col("category").alias("term"), "path")
     return words.unionByName(groups)
 
 
-def inverted_index(catalog: DataFrame, per_row: int = 1000) -> DataFrame:
-    """Posting lists (kind, term, part, files): every file of a term, in hashed parts so that a common term is
-    spread over many rows instead of growing one list without end.
+def index_terms(catalog: DataFrame) -> DataFrame:
+    """(kind, term, n_files): in how many files each term occurs."""
+    return index_entries(catalog).distinct().groupBy("kind", "term").agg(F.count(F.lit(1)).alias("n_files"))
+
+
+def inverted_index(catalog: DataFrame, parts: int = 64) -> DataFrame:
+    """Posting lists (kind, term, part, n_files, files) of paths, each term always in ``parts`` hashed parts.
+
+    ``n_files`` is the size of the part; ``index_terms`` has the count of a term.
     """
-    entries = index_entries(catalog).distinct()
-    sizes = entries.groupBy("kind", "term").agg(F.count(F.lit(1)).alias("n"))
-    parts = entries.join(sizes, ["kind", "term"]).withColumn(
-        "part", F.pmod(F.xxhash64("name"), F.ceil(F.col("n") / per_row)).cast("int")
-    )
-    return parts.groupBy("kind", "term", "part").agg(
-        F.count(F.lit(1)).alias("n_files"), F.array_sort(F.collect_list("name")).alias("files")
+    entries = index_entries(catalog).distinct().withColumn("part", F.pmod(F.xxhash64("path"), F.lit(parts)).cast("int"))
+    return entries.groupBy("kind", "term", "part").agg(
+        F.count(F.lit(1)).alias("n_files"), F.array_sort(F.collect_list("path")).alias("files")
     )
 
 
+def search_index(catalog: DataFrame, term: str) -> DataFrame:
+    """Catalogue rows of the files that hold a term as keyword or category, with path, size and summary."""
+    hits = index_entries(catalog).filter(F.col("term") == F.lower(F.lit(term))).select("path").distinct()
+    return catalog.join(hits, "path", "left_semi")
+
+
 def organize_plan(catalog: DataFrame, strategy: str = "by_type") -> DataFrame:
     """(path, folder, target, reason) per file to move: by_type, semantic or by_date. No file is moved."""
     if strategy == "by_type":

@@ -52,34 +52,37 @@ def first_crossing(
     return totals.join(hit, keys, "left")
 
 
-def top_share(df: DataFrame, value: str, share: int = 5, whole_below: int = 1_000_000) -> DataFrame:
-    """(n, total, k, top_sum): the sum of the ``max(1, n div share)`` largest values, exactly.
+def top_share(df: DataFrame, value: str, share: int = 5, buckets: int = 4096, levels: int = 3) -> DataFrame:
+    """(n, total, k, top_sum): the sum of the ``max(1, n div share)`` largest values, exactly, in one way for every size.
 
-    Two approximate quantiles around the cut, further apart than their error bound, split the rows: everything
-    above is summed as it is, and only the thin band between them is looked at, by distinct value and count.
+    Each level cuts the range that holds the k-th largest value into ``buckets`` equal parts, adds up what lies above
+    and goes on with the part the k-th value is in. The last part is looked at by distinct value. No window sees more
+    than ``buckets`` rows but the last, whose part is 1 / buckets^levels of the range.
     """
-    margin, accuracy = 0.0002, 100_000
-    v = F.coalesce(F.col(value).cast("double"), F.lit(0.0))
-    base = df.select(v.alias("v"))
-    cut = 1.0 - 1.0 / share
-    quantiles = F.percentile_approx("v", F.array(F.lit(cut - margin), F.lit(cut + margin)), F.lit(accuracy))
-    span = base.agg(
-        F.count(F.lit(1)).alias("n"), F.sum("v").alias("total"), F.min("v").alias("lo"), F.max("v").alias("hi"),
-        quantiles.alias("q"),
-    ).select(
-        "n",
-        "total",
-        F.greatest(F.lit(1), F.floor(F.col("n") / share)).cast("long").alias("k"),
-        F.when(F.col("n") < whole_below, F.col("lo")).otherwise(F.col("q")[0]).alias("low_cut"),
-        F.when(F.col("n") < whole_below, F.col("hi")).otherwise(F.col("q")[1]).alias("high_cut"),
+    base = df.select(F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("v"))
+    whole = base.agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("total"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    k = F.greatest(F.lit(1), F.floor(F.col("n") / share)).cast("long").alias("k")
+    state = whole.select("n", "total", k, "lo", "hi", F.lit(0).cast("long").alias("above"), F.lit(0.0).alias("above_sum"))
+    down = Window.orderBy(F.col("part").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    for _ in range(levels):
+        inside = base.crossJoin(F.broadcast(state)).filter("v between lo and hi")  # one row
+        width = F.col("hi") - F.col("lo")
+        part = F.when(width > 0, F.least(F.floor((F.col("v") - F.col("lo")) / width * buckets), F.lit(buckets - 1))).otherwise(F.lit(0))
+        known = ["n", "total", "k", "above", "above_sum"]
+        parts = inside.groupBy(part.alias("part")).agg(
+            F.count(F.lit(1)).alias("m"), F.sum("v").alias("s"), F.min("v").alias("lo"), F.max("v").alias("hi"), *[F.max(c).alias(c) for c in known]
+        )
+        placed = parts.withColumns({
+            "before": F.col("above") + F.coalesce(F.sum("m").over(down), F.lit(0)),
+            "before_sum": F.col("above_sum") + F.coalesce(F.sum("s").over(down), F.lit(0.0)),
+        })
+        cut = placed.filter("before < k and before + m >= k")
+        state = cut.select("n", "total", "k", "lo", "hi", F.col("before").alias("above"), F.col("before_sum").alias("above_sum"))
+    values = base.crossJoin(F.broadcast(state)).filter("v between lo and hi").groupBy(F.col("v").alias("part")).agg(
+        F.count(F.lit(1)).alias("m"), *[F.max(c).alias(c) for c in known]
     )
-    placed = base.crossJoin(F.broadcast(span))  # one row
-    above = F.col("v") > F.col("high_cut")
-    top = placed.agg(F.count_if(above).alias("n_above"), F.coalesce(F.sum(F.when(above, F.col("v"))), F.lit(0.0)).alias("s_above"))
-    band = placed.filter((F.col("v") <= F.col("high_cut")) & (F.col("v") >= F.col("low_cut")))
-    values = band.groupBy("v").agg(F.count(F.lit(1)).alias("m"), F.max("k").alias("k")).crossJoin(F.broadcast(top))
-    down = Window.orderBy(F.col("v").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    seen = F.coalesce(F.sum("m").over(down), F.lit(0)) + F.col("n_above")
-    taken = values.withColumn("part", F.greatest(F.lit(0), F.least(F.col("m"), F.col("k") - seen)))
-    rest = taken.agg((F.max("s_above") + F.sum(F.col("part") * F.col("v"))).alias("top_sum"))
-    return span.select("n", "total", "k").crossJoin(F.broadcast(rest))  # one row each
+    seen = F.coalesce(F.sum("m").over(down), F.lit(0)) + F.col("above")
+    taken = values.withColumn("taken", F.greatest(F.lit(0), F.least(F.col("m"), F.col("k") - seen)))
+    rest = taken.agg((F.max("above_sum") + F.sum(F.col("taken") * F.col("part"))).alias("top_sum"))
+    first = whole.select("n", "total", k)
+    return first.crossJoin(F.broadcast(rest))  # one row each

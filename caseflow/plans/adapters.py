@@ -200,9 +200,9 @@ def _sql(engine: str) -> dict[str, tuple[list[str], str]]:
             ["documents"],
             """
             select doc_id, case doc_id % 8
-                     when 0 then '@united flight UA123 on 2/14 cancelled at ORD. Need refund! '
-                     when 1 then 'AA456 delayed 4 hours at LAX on Feb 15th. Missed connection! '
-                     when 2 then 'DL789 from ATL to JFK cancelled yesterday. Where is my refund? '
+                     when 0 then '@united UA123 on 2/14 from ORD was cancelled, please refund me. '
+                     when 1 then 'we sat at LAX, AA456 delayed 4 hours on Feb 15th and our connection left. '
+                     when 2 then 'no seat on DL789 from ATL to JFK, cancelled yesterday and no refund so far. '
                      when 3 then 'stuck 3 hours at gate, 5 hr delay, baggage lost on 03/07/2015 '
                      when 4 then 'B6 234 bumped for maintenance, luggage gone, paid $1,250.50 '
                      else '' end || text as tweet,

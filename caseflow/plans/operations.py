@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from caseflow.functions import impact as imp
+from caseflow.functions import text as tx
 from caseflow.operators import catalog as cat
 from caseflow.operators import profiling as prof
 from caseflow.operators import regress as reg
@@ -216,11 +217,16 @@ def tumbling_impact(t):
 CATEGORY_CASE = "case " + " ".join(
     f"when ext in ({', '.join(repr(e) for e in exts)}) then '{name}'" for name, exts in fil.CATEGORIES.items()
 ) + " else 'other' end"
-STOP = ", ".join(f"'{w}'" for w in ["the", "and", "for", "are", "but", "not", "you", "all", "can", "had", "her", "was", "one", "our", "out", "day", "get", "has", "him", "his", "how", "man", "new", "now", "old", "see", "two", "way", "who", "boy", "did", "its", "let", "put", "say", "she", "too", "use"])
+STOP = ", ".join(f"'{w}'" for w in sorted(tx.STOP_WORDS))
 CATALOG_CTES = {
     "files0": r"select path, split_part(path, '/', -1) as name, lower(regexp_extract(split_part(path, '/', -1), '[^.](\.[^./\\]+)$', 1)) as ext, size, content, modified from page_files",
-    "files": f"""select path, name, ext as extension, size, modified, {CATEGORY_CASE} as category, case when ext in ('.txt','.md','.csv','.json','.py','.js','.html') then
-        list_sort(list_distinct(list_filter(regexp_split_to_array(lower(substr(content, 1, 1000)), '[^\\p{{L}}\\p{{M}}\\p{{N}}_]+'), lambda w: regexp_matches(w, '^[a-z]{{3,}}$') and w not in ({STOP}))))[1:10]
+    "files": f"""select path, name, ext as extension, size, modified, {CATEGORY_CASE} as category,
+        case when ext = '.csv' then 'CSV data with ' || (len(trim(content)) - len(replace(trim(content), chr(10), '')) + 1) || ' rows, columns: ' || split_part(trim(content), chr(10), 1)
+          when ext = '.json' then 'JSON data structure containing configuration or data records'
+          when ext in ('.py', '.js') then 'Source code file (' || upper(substr(ext, 2)) || ') containing functions and logic' when ext = '.md' then 'Markdown documentation or notes'
+          when ext in ('.txt', '.html') then 'Text document with approximately ' || len(regexp_extract_all(trim(content), '\S+')) || ' words'
+          when ext in ('.pdf', '.png', '.jpg', '.jpeg') then 'Visual content: ' || name else '' end as summary, case when ext in ('.txt','.md','.csv','.json','.py','.js','.html') then
+        list_sort(list_distinct(list_filter(regexp_split_to_array(lower(content), '[^\\p{{L}}\\p{{M}}\\p{{N}}_]+'), lambda w: regexp_matches(w, '^[a-z]{{3,}}$') and w not in ({STOP}))))[1:10]
         when ext in ('.pdf', '.png', '.jpg', '.jpeg') then ['visual', 'document', 'image'] else [] end as keywords from files0""",
 }
 
@@ -229,9 +235,9 @@ def page_catalog_rows(t):
     return fil.catalog_entries(t("page_files"), "path", "content", "size", "modified")
 
 
-@query("page_catalog", ["page_files"], "select path, name, extension, size, category, array_to_string(keywords, ',') as keywords from files", CATALOG_CTES)
+@query("page_catalog", ["page_files"], "select path, name, extension, size, category, summary, array_to_string(keywords, ',') as keywords from files", CATALOG_CTES)
 def page_catalog(t):
-    return page_catalog_rows(t).select("path", "name", "extension", "size", "category", F.array_join("keywords", ",").alias("keywords"))
+    return page_catalog_rows(t).select("path", "name", "extension", "size", "category", "summary", F.array_join("keywords", ",").alias("keywords"))
 
 
 @query(
@@ -242,15 +248,17 @@ def catalog_summary(t):
     return cat.catalog_summary(page_catalog_rows(t))
 
 
-@query(
-    "inverted_index", ["page_files"],
-    """select kind, term, count(*) as n_files, string_agg(name, ',' order by name) as files from (
-         select distinct kind, term, name from (select 'keyword' as kind, unnest(keywords) as term, name from files union all select 'category', category, name from files)) group by kind, term""",
-    CATALOG_CTES,
-)
+INDEX_SQL = "select distinct kind, term, path from (select 'keyword' as kind, unnest(keywords) as term, path from files union all select 'category', category, path from files)"
+
+
+@query("inverted_index", ["page_files"], f"select kind, term, path from ({INDEX_SQL})", CATALOG_CTES)
 def inverted_index(t):
-    parts = cat.inverted_index(page_catalog_rows(t), per_row=1_000_000)
-    return parts.select("kind", "term", "n_files", F.array_join("files", ",").alias("files"))
+    return cat.inverted_index(page_catalog_rows(t)).select("kind", "term", F.explode("files").alias("path"))
+
+
+@query("index_terms", ["page_files"], f"select kind, term, count(*) as n_files from ({INDEX_SQL}) group by kind, term", CATALOG_CTES)
+def index_terms(t):
+    return cat.index_terms(page_catalog_rows(t))
 
 
 @query(

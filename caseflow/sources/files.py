@@ -30,8 +30,6 @@ SUMMARIES = {
     "text": "Text document with approximately %d words",
     "visual": "Visual content: %s",
 }
-HEAD_CHARS = 1000  # the catalogue looks at the head of a file by definition
-SUMMARY_CHARS = 200
 
 
 def file_category(extension: Column) -> Column:
@@ -46,13 +44,12 @@ def file_extension(name: Column) -> Column:
     return F.lower(F.regexp_extract(name, r"[^.](\.[^./\\]+)$", 1))
 
 
-def text_summary(head: Column, extension: Column, name: Column) -> Column:
-    """One line per file, by type."""
-    brief = F.substring(F.trim(head), 1, SUMMARY_CHARS)
-    lines = F.split(brief, "\n")
-    words = F.size(F.filter(F.split(brief, r"\s+"), lambda w: w != ""))
+def text_summary(text: Column, extension: Column, name: Column) -> Column:
+    """One line per file, by type; lines and words are counted over the whole text."""
+    whole = F.trim(text)
+    rows, words = F.regexp_count(whole, F.lit("\n")) + 1, F.regexp_count(whole, F.lit(r"\S+"))
     return (
-        F.when(extension == ".csv", F.format_string(SUMMARIES["csv"], F.size(lines), F.element_at(lines, 1)))
+        F.when(extension == ".csv", F.format_string(SUMMARIES["csv"], rows, F.substring_index(whole, "\n", 1)))
         .when(extension == ".json", F.lit(SUMMARIES["json"]))
         .when(extension.isin(".py", ".js"), F.format_string(SUMMARIES["code"], F.upper(F.substring(extension, 2, 9))))
         .when(extension == ".md", F.lit(SUMMARIES["md"]))
@@ -62,13 +59,18 @@ def text_summary(head: Column, extension: Column, name: Column) -> Column:
     )
 
 
-def catalog_entries(df: DataFrame, path: str, content: str, size: str, modified: str) -> DataFrame:
-    """Catalogue rows from any table that has a path, a text content, a size and a time."""
+def catalog_entries(
+    df: DataFrame, path: str, content: str, size: str, modified: str, head_chars: int | None = None, also: list[str] | None = None
+) -> DataFrame:
+    """Catalogue rows from any table that has a path, a text content, a size and a time.
+
+    Keywords and summaries come from the whole text; ``head_chars`` restricts them to its beginning.
+    """
     name = F.element_at(F.split(F.col(path), r"[/\\]"), -1)
     ext = file_extension(name)
-    head = F.substring(F.col(content), 1, HEAD_CHARS)
+    text = F.col(content) if head_chars is None else F.substring(F.col(content), 1, head_chars)
     words = (
-        F.when(ext.isin(TEXT_EXTENSIONS), keywords(head))
+        F.when(ext.isin(TEXT_EXTENSIONS), keywords(text))
         .when(ext.isin(VISUAL_EXTENSIONS), F.array(*[F.lit(w) for w in VISUAL_KEYWORDS]))
         .otherwise(F.array().cast("array<string>"))
     )
@@ -79,18 +81,30 @@ def catalog_entries(df: DataFrame, path: str, content: str, size: str, modified:
         F.col(size).cast("long").alias("size"),
         F.col(modified).alias("modified"),
         file_category(ext).alias("category"),
-        text_summary(head, ext, name).alias("summary"),
+        text_summary(text, ext, name).alias("summary"),
         words.alias("keywords"),
+        *(also or []),
     )
 
 
-def file_catalog(spark: SparkSession, folder: str) -> DataFrame:
-    """Recursive catalogue of a folder, one row per file."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    text = files.select(
-        "path", "length", "modificationTime", F.decode(F.substring("content", 1, 4 * HEAD_CHARS), "UTF-8").alias("text")
+def file_catalog(spark: SparkSession, folder: str, head_chars: int | None = None) -> DataFrame:
+    """Recursive catalogue of a folder, one row per file, with ``error``.
+
+    Only text files are opened, in a second read restricted to their suffixes; of all others the listing is enough. A
+    file that is no valid UTF-8 keeps its row with the reason in ``error`` and no keywords or summary.
+    """
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    suffix = file_extension(F.element_at(F.split("path", r"[/\\]"), -1))
+    plain = suffix.isin(TEXT_EXTENSIONS)
+    others = listed.filter(~plain).select("path", "length", "modificationTime", F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("error"))
+    pattern = "*.{" + ",".join(e[1:] + "," + e[1:].upper() for e in TEXT_EXTENSIONS) + "}"
+    opened = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder)
+    valid = F.is_valid_utf8(F.col("content"))
+    texts = opened.select(
+        "path", "length", "modificationTime", F.when(valid, F.decode("content", "UTF-8")).alias("text"), F.when(~valid, F.lit("not UTF-8 text")).alias("error")
     )
-    return catalog_entries(text, "path", "text", "length", "modificationTime")
+    rows = others.unionByName(texts)
+    return catalog_entries(rows, "path", "text", "length", "modificationTime", head_chars, ["error"])
 
 
 def checksum_manifest(spark: SparkSession, folder: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -65,8 +67,8 @@ def read_table(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
 
 def read_records(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """JSON lines, or one JSON array per file. JSON lines split; an array file is read whole."""
-    lines = spark.read.text(path).limit(20).filter(F.trim("value") != "").limit(1)
-    starts_array = lines.filter(F.ltrim("value").startswith("[")).limit(1).count() > 0
+    first = spark.read.text(path).filter(F.trim("value") != "").first()
+    starts_array = first is not None and first["value"].lstrip().startswith("[")
     reader = spark.read.option("multiLine", starts_array)
     return (reader.schema(schema) if schema else reader).json(path)
 
@@ -84,15 +86,17 @@ def read_auto(spark: SparkSession, path: str) -> DataFrame:
 
 
 def sniff_text(spark: SparkSession, path: str) -> dict:
-    """Format of a text file from its first lines: csv with its delimiter, json or text."""
-    head = [r.value for r in spark.read.text(path).limit(20).collect()]
-    head = [line for line in head if line.strip()]
-    if len(head) > 1:
-        for sep in DELIMITERS:
-            if len(head[0].split(sep)) > 1:
-                return {"kind": "csv", "sep": sep}
+    """Format of a text file from its first two lines that are not blank: csv with its delimiter, json or text.
+
+    Delimited text has more than one cell in both lines, quoted cells counting as one.
+    """
+    head = [r["value"] for r in spark.read.text(path).filter(F.trim("value") != "").limit(2).collect()]
     if head and head[0].lstrip()[:1] in ("{", "["):
         return {"kind": "json"}
+    if len(head) == 2:
+        for sep in DELIMITERS:
+            if all(len(cells) > 1 for cells in csv.reader(head, delimiter=sep)):
+                return {"kind": "csv", "sep": sep}
     return {"kind": "text"}
 
 

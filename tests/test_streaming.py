@@ -62,7 +62,7 @@ def test_cache_dedup(spark, tmp_path):
 
 def test_stream_cases(spark, tmp_path):
     facts = shaping.derive_fact_flags(fixtures.flights(spark))
-    claims = spark.createDataFrame([(1, "UA123", "2015-02-14", None, None, "cancelled"), (2, None, None, None, None, None)], "claim_id int, flight_number string, flight_date string, origin string, destination string, incident_type string")
+    claims = spark.createDataFrame([(1, "UA731", "2015-03-04", None, None, "cancelled"), (2, None, None, None, None, None)], "claim_id int, flight_number string, flight_date string, origin string, destination string, incident_type string")
     schema = claims.schema
     claims.write.json(str(tmp_path / "in"))
     writer = logs.stream_cases(logs.stream_log(spark, str(tmp_path / "in"), schema), facts, lambda df, i: df.drop("fact").write.mode("append").parquet(str(tmp_path / "out")))
