@@ -83,7 +83,9 @@ select *, c or s or bag or wifi as eligible, case when c or s then 'cash' when b
   concat_ws('; ', case when c then '14 CFR 259.5(b)(1) - Automatic refund required for cancelled flights' end,
     case when s and abroad then '14 CFR 259.5(b)(2) - International flights delayed 360+ minutes' when s then '14 CFR 259.5(b)(2) - Domestic flights delayed 180+ minutes' end,
     case when bag then '14 CFR 259.8 - Baggage delayed 12+ hours' end,
-    case when wifi then '14 CFR 259.6 - Ancillary services not provided (WiFi, seat assignments, etc.)' end) as citations
+    case when wifi then '14 CFR 259.6 - Ancillary services not provided (WiFi, seat assignments, etc.)' end) as citations,
+  coalesce(nullif(concat_ws('; ', case when c then 'BTS data confirms flight was cancelled' end, case when s then 'BTS data shows ' || printf('%.1f', bts_minutes) || ' minute arrival delay' end,
+    case when bag then 'Tweet mentions baggage issues' end, case when wifi then 'Tweet mentions WiFi/internet problems' end), ''), 'Flight performance within normal parameters') as evidence
 from decided""",
 }
 
@@ -254,12 +256,16 @@ def match_stats(t):
 @query(
     "decide", MATCH_USES,
     """select claim_id, eligible as refund_eligible, refund_type, deadline as airline_deadline_days, amount as estimated_refund_amount,
-       case when reasons = '' then 'No DOT refund criteria met' else reasons end as refund_reason, nullif(citations, '') as dot_rule_citation from decisions""",
+       case when reasons = '' then 'No DOT refund criteria met' else reasons end as refund_reason, nullif(citations, '') as dot_rule_citation,
+       evidence as evidence_summary, case when bag and not (c or s) then 'medium' else 'high' end as confidence_level,
+       case when bag and not (c or s) then 'Provide baggage claim tickets and tracking information'
+         when not eligible then 'Contact airline customer service for voluntary compensation' end as customer_action_required from decisions""",
     DECIDE_CTES,
 )
 def decide(t):
     return decided_cases(t)[0].select(
-        "claim_id", "refund_eligible", "refund_type", "airline_deadline_days", "estimated_refund_amount", "refund_reason", "dot_rule_citation"
+        "claim_id", "refund_eligible", "refund_type", "airline_deadline_days", "estimated_refund_amount", "refund_reason", "dot_rule_citation",
+        "evidence_summary", "confidence_level", "customer_action_required",
     )
 
 
@@ -310,16 +316,37 @@ def build_claim(t):
 
 @query(
     "reply_queue", MATCH_USES,
-    """select claim_id, "user" as recipient, bts_carrier || bts_flight_num || ' on ' || bts_date as flight, true as refund_eligible, 'high' as priority, false as requires_followup
+    """select claim_id, "user" as recipient, bts_carrier || bts_flight_num || ' on ' || bts_date as flight, true as refund_eligible, 'high' as priority, false as requires_followup,
+         'Hello @' || "user" || ', flight ' || bts_carrier || bts_flight_num || ' on ' || bts_date || ' qualifies for a refund: ' || reasons || '. Estimated amount $' || printf('%.2f', amount)
+         || ' (' || case refund_type when 'cash' then 'Cash' else 'Partial' end || '), due within ' || deadline || ' days. Legal basis: ' || citations || '. Evidence: ' || evidence
+         || '. This is based on public flight data and is not legal advice.' as content
        from decisions where eligible union all
-       select claim_id, "user", coalesce(flight_number, 'Unknown'), false, 'medium', true from cascade where match_status <> 'matched'""",
+       select claim_id, "user", coalesce(flight_number, 'Unknown'), false, 'medium', true, 'Hello @' || "user" || case match_status
+         when 'insufficient_data' then ', please send the flight number, the flight date and both airports so we can check your case.'
+         when 'low_confidence' then ', was your flight ' || bts_carrier || bts_flight_num || ' on ' || bts_date || '? Please confirm it and both cities before we continue.'
+         else ', we found no flight that fits. Please check the details, or ask ' || airline || ' for a voluntary compensation.' end from cascade where match_status <> 'matched'""",
     DECIDE_CTES,
 )
 def reply_queue(t):
-    return dec.reply_queue(*decided_cases(t)).drop("content")
+    return dec.reply_queue(*decided_cases(t))
 
 
-@query("summary_blocks")
+def _money(amount: str) -> str:
+    out = f"printf('%.2f', {amount})"
+    for _ in range(3):  # up to a thousand millions
+        out = rf"regexp_replace({out}, '([0-9])([0-9]{{3}})([.,])', '\1,\2\3')"
+    return out
+
+
+@query(
+    "summary_blocks", MATCH_USES,
+    f"""select '[{{"type":"header","text":"Daily case report"}},{{"type":"section","text":"*Total cases:* ' || (n + waiting) || '\\n*Eligible:* ' || n || '\\n*Manual review:* ' || waiting
+         || '\\n*Estimated refunds:* $' || {_money('amount')} || '"}},{{"type":"section","text":"*By carrier:*\\n' || lines || '"}}'
+         || case when waiting > 0 then ',{{"type":"section","text":"*' || waiting || ' cases require manual review*"}}' else '' end || ']' as blocks
+       from (select count(*) as n, round(sum(amount), 2) as amount from decisions where eligible), (select count(*) as waiting from cascade where match_status <> 'matched'),
+       (select string_agg(line, '\\n' order by line) as lines from (select '• ' || bts_carrier || ': ' || count(*) || ' cases, $' || {_money('round(sum(amount), 2)')} as line from decisions where eligible group by bts_carrier))""",
+    DECIDE_CTES,
+)
 def summary_blocks(t):
     return dec.summary_blocks(dec.case_breakdown(*decided_cases(t)))
 

@@ -175,9 +175,14 @@ CONTAINS_SQL = {
 }
 
 
-@query("contains_pairs", ["crm"], "select * from hits", CONTAINS_SQL)
+CALLED_SQL = {k: v.replace("from crm", "from (select name from crm union all select split_part(name, ' ', 1) from crm where pos % 7 = 0)") for k, v in CONTAINS_SQL.items()}
+
+
+@query("contains_pairs", ["crm"], "select * from hits", CALLED_SQL)
 def contains_pairs(t):
-    return res.contains_pairs(t("crm"), "name")
+    """Full names, and for some rows the first name alone, which lies inside many of them."""
+    names = t("crm").select("name")
+    return res.contains_pairs(names.unionByName(t("crm").filter("pos % 7 = 0").select(F.split_part("name", F.lit(" "), F.lit(1)).alias("name"))), "name")
 
 
 @query(
@@ -254,23 +259,50 @@ FUZZY_CTES = {
 }
 
 
-@query(
-    "fuzzy_pairs", ["crm"],
-    f"""select * from (select id_a, id_b, {pct_sql("na", "nb")} * 50 + case when ea.n > 0 and eb.n > 0 then {pct_sql("ea", "eb")} else 0 end * 30
+FUZZY_SQL = f"""select * from (select id_a, id_b, {pct_sql("na", "nb")} * 50 + case when ea.n > 0 and eb.n > 0 then {pct_sql("ea", "eb")} else 0 end * 30
         + case when ca.n > 0 and cb.n > 0 then {pct_sql("ca", "cb")} else 0 end * 20 as score
         from cand join bn na on na.k = id_a join bn nb on nb.k = id_b join be ea on ea.k = id_a join be eb on eb.k = id_b join bc ca on ca.k = id_a join bc cb on cb.k = id_b)
-        where score >= 8000""",
-    FUZZY_CTES,
-)
+        where score >= 8000"""
+
+
+@query("fuzzy_pairs", ["crm"], FUZZY_SQL, FUZZY_CTES)
 def fuzzy_pairs(t):
     return res.fuzzy_pairs(t("crm"), "pos")
 
 
-@query("dedupe_customers")
+# the rule as it is told: row by row, a row without an anchor among its earlier partners becomes an anchor
+CLUSTER_CTES = {
+    **FUZZY_CTES,
+    "pairs": FUZZY_SQL,
+    "later": "select id_b as id, list(id_a) as ps, row_number() over (order by id_b) as rn from pairs group by id_b",
+    "anchors": """with recursive walk(rn, found) as (
+        select 0::bigint, (select coalesce(list(distinct id_a), []) from pairs where id_a not in (select id_b from pairs))
+        union all select l.rn, case when list_has_any(l.ps, w.found) then w.found else list_append(w.found, l.id) end from walk w join later l on l.rn = w.rn + 1)
+      select unnest(arg_max(found, rn)) as anchor from walk""",
+    "taken": "select id_b as id, min(id_a) as anchor from pairs where id_a in (select anchor from anchors) and id_b not in (select anchor from anchors) group by id_b",
+    "clustered": """select c.*, coalesce(t.anchor, c.first) as cluster from (
+        select r.*, case when r.email <> '' then p.pos else r.pos end as first from crm r join people_ p on p.name = r.name and p.email = r.email and p.company = r.company) c
+      left join taken t on t.id = c.first""",
+}
+
+
+@query("dedupe_customers", ["crm"], "select pos, customer_id, cluster from clustered", CLUSTER_CTES)
 def dedupe_customers(t):
     return res.dedupe_customers(t("crm"), "pos").select("pos", "customer_id", "cluster")
 
 
+@query(
+    "golden_clusters", ["crm"],
+    """select cluster, min(pos) as pos, count(*) as merged_rows, """
+    + ", ".join(f"arg_min({c}, pos) filter (where {c} <> '') as {c}" for c in ["customer_id", "name", "email", "phone", "company", "status", "last_contact"])
+    + ", max(try_cast(nullif(regexp_replace(revenue, '[^0-9.]', '', 'g'), '') as double)) as revenue from clustered group by cluster",
+    CLUSTER_CTES,
+)
+def golden_clusters(t):
+    rows = t("crm").drop("base_key").withColumn("revenue", ty.clean_amount(F.col("revenue")))
+    return res.golden_record(res.dedupe_customers(rows, "pos"), "cluster", "pos")
+
+
 @query(
     "golden_record", ["crm"],
     """select customer_id, min(pos) as pos, count(*) as merged_rows, """
@@ -396,10 +428,10 @@ def xref_match(t):
 
 @query(
     "xref_missing", ["customers_a", "customers_b"],
-    "select pid, 'reference_0' as source, 'missing_reference' as type, 'medium' as severity from customers_a where pid not in (select pid from matches)", XREF_CTES,
+    "select pid, 'reference_0' as source, 'missing_reference' as type, 'medium' as severity, 'Verify record existence or check for data entry errors' as recommended_action from customers_a where pid not in (select pid from matches)", XREF_CTES,
 )
 def xref_missing(t):
-    return xref.xref_missing(t("customers_a"), xref_matches(t), "reference_0").drop("confidence_factor", "recommended_action")
+    return xref.xref_missing(t("customers_a"), xref_matches(t), "reference_0").drop("confidence_factor")
 
 
 def _order_matches(t):
