@@ -363,14 +363,12 @@ def payment_rollup(t):
     return out.withColumn("last_payment_date", F.col("last_payment_date").cast("string"))
 
 
-@query(
-    "reconcile_upsert", ["tickets", "crm"],
-    f"""select ticket_name, ticket_email, pos as entity_pos, score from (select *, row_number() over (partition by ticket_name, ticket_email order by score desc, pos) as rn
+UPSERT_SQL = f"""select ticket_name, ticket_email, pos as entity_pos, score from (select *, row_number() over (partition by ticket_name, ticket_email order by score desc, pos) as rn
         from (select r.name as ticket_name, r.email as ticket_email, e.pos, {pct_sql("rn_", "en_")} * 60 + case when ee_.n > 0 then {pct_sql("re_", "ee_")} else 0 end * 40 as score
           from cand c join recs r on r.k = c.rk join ents e on e.pos = c.ek join brn rn_ on rn_.k = c.rk join bre re_ on re_.k = c.rk
-          join ben en_ on en_.k = c.ek join bee ee_ on ee_.k = c.ek) where score >= 8000) where rn = 1""",
-    {
-        "parsed": r"""select trim(case when led <> '' then led else bare end) as name, email from (select *, regexp_extract(customer, '^([A-Za-z\s]+)\s+(?:from|at|-)\s+', 1) as led,
+          join ben en_ on en_.k = c.ek join bee ee_ on ee_.k = c.ek) where score >= 8000) where rn = 1"""
+UPSERT_CTES = {
+        "parsed": r"""select trim(case when led <> '' then led else bare end) as name, email, ticket_id, created, sentiment, revenue_impact from (select *, regexp_extract(customer, '^([A-Za-z\s]+)\s+(?:from|at|-)\s+', 1) as led,
           regexp_extract(customer, '^([A-Za-z\s]+)$', 1) as bare from tickets)""",
         "recs": "select *, row_number() over () as k from (select distinct name, email from parsed where name <> '' and email <> '')",
         "ents": "select name, email, min(pos) as pos from crm group by 1, 2",
@@ -378,8 +376,10 @@ def payment_rollup(t):
         "eb": f"""select pos as k, unnest(list_concat({keys_sql('name')}, list_filter(['e:' || lower(split_part(email, '@', 1))], lambda x: x <> 'e:'))) as b from ents""",
         "cand": "select distinct rb.k as rk, eb.k as ek from rb join eb using (b)",
         "brn": bits_sql("recs", "k", "name"), "bre": bits_sql("recs", "k", "email"), "ben": bits_sql("ents", "pos", "name"), "bee": bits_sql("ents", "pos", "email"),
-    },
-)
+    }
+
+
+@query("reconcile_upsert", ["tickets", "crm"], UPSERT_SQL, UPSERT_CTES)
 def reconcile_upsert(t):
     people = res.ticket_people(t("tickets")).select("name", "email").distinct()
     keyed = people.withColumn("rec_id", F.sha2(F.concat_ws("\x1f", "name", "email"), 256))
@@ -387,7 +387,30 @@ def reconcile_upsert(t):
     return keyed.join(matches, "rec_id").select(F.col("name").alias("ticket_name"), F.col("email").alias("ticket_email"), "entity_pos", "score")
 
 
-@query("upsert_customers")
+INSERT_CTES = {
+    **UPSERT_CTES,
+    "matched": UPSERT_SQL,
+    "placed": r"""select t.*, m.entity_pos, sha256(t.name || chr(31) || t.email) as rec_id from parsed t
+      left join matched m on m.ticket_name = t.name and m.ticket_email = t.email where t.name <> '' and t.email <> ''""",
+    "newp": "select distinct rec_id as k, name, email from placed where entity_pos is null",
+    "newb": f"""select k, unnest(list_concat({keys_sql('name')}, list_filter(['e:' || lower(split_part(email, '@', 1))], lambda x: x <> 'e:'))) as b from newp""",
+    "nn": bits_sql("newp", "k", "name"), "ne": bits_sql("newp", "k", "email"),
+    "pairs": f"""select id_a, id_b from (select distinct x.k as id_a, y.k as id_b from newb x join newb y on x.b = y.b and x.k < y.k)
+      join nn na on na.k = id_a join nn nb on nb.k = id_b join ne ea on ea.k = id_a join ne eb on eb.k = id_b where {pct_sql("na", "nb")} * 60 + {pct_sql("ea", "eb")} * 40 >= 8000""",
+    **{k: CLUSTER_CTES[k] for k in ("later", "anchors", "taken")},
+    "updates": """select entity_pos as pos, count(*) as support_issues, arg_max(sentiment, {'c': created, 't': ticket_id}) as sentiment,
+        arg_max(revenue_impact, {'c': created, 't': ticket_id}) as revenue_impact from placed where entity_pos is not null group by 1""",
+}
+
+
+@query(
+    "upsert_customers", ["tickets", "crm"],
+    """select customer_id, name, email, support_issues, sentiment, revenue_impact from crm left join updates using (pos) union all
+       select 'SUP-' || substr(coalesce(t.anchor, p.rec_id), 1, 12), arg_min(name, {'c': created, 't': ticket_id}), arg_min(email, {'c': created, 't': ticket_id}), count(*),
+         arg_max(sentiment, {'c': created, 't': ticket_id}), arg_max(revenue_impact, {'c': created, 't': ticket_id})
+       from placed p left join taken t on t.id = p.rec_id where entity_pos is null group by coalesce(t.anchor, p.rec_id)""",
+    INSERT_CTES,
+)
 def upsert_customers(t):
     tickets = res.ticket_people(t("tickets"))
     out = res.reconcile_upsert(t("crm").drop("base_key"), tickets, "pos")
