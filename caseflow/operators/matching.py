@@ -1,11 +1,12 @@
 """Match claims to fact rows: dated key, key alone, then shared attributes; best one per claim.
 
 Claims: ``claim_id, flight_number, flight_date, origin, destination`` (dates as ``yyyy-MM-dd`` text).
-Facts: ``fact_id`` (row order), ``entity_key, flight_date`` (date), ``origin, dest`` and the flag columns.
+Facts: ``fact_id`` (a long in row order), ``entity_key, flight_date`` (date), ``origin, dest`` and the flag columns.
 
 No tier ever pairs all rows that share a key. Each tier asks for the first fact under a key, so the facts
-are reduced to one row per lookup key (partial aggregation combines hot keys map-side), every claim turns
-into a fixed number of probes, and one equi-join answers all tiers. Scores are integer hundredths.
+are reduced to one id per lookup key (hash aggregates over longs, which combine hot keys map-side), every claim turns
+into a fixed number of probes, and one equi-join answers all tiers. Only the winner's columns are fetched, by id, at
+the end. Scores are integer hundredths.
 """
 
 from __future__ import annotations
@@ -24,32 +25,38 @@ def _key(kind: str, *parts: Column) -> Column:
     return F.concat_ws("\x1f", F.lit(kind), *parts)
 
 
-def one_fact_per_key_and_date(facts: DataFrame) -> DataFrame:
-    """The last row of an entity on a date counts; it keeps the place of the first one."""
-    return facts.groupBy("entity_key", "date_str").agg(
-        F.max_by(F.struct(*[F.col(c) for c in FACT_COLUMNS if c != "date_str"]), "fact_id").alias("f"),
-        F.min("fact_id").alias("pos"),
-    ).select("entity_key", "pos", F.struct(*[F.col("date_str") if c == "date_str" else F.col(f"f.{c}").alias(c) for c in FACT_COLUMNS]).alias("fact"))
+def fact_places(facts: DataFrame) -> DataFrame:
+    """(entity_key, date_str, pos, last): the last row of an entity on a date counts, at the place of the first one."""
+    return facts.groupBy("entity_key", "date_str").agg(F.min("fact_id").alias("pos"), F.max("fact_id").alias("last"))
 
 
 def fact_lookup(facts: DataFrame, tiers: tuple[str, ...] = TIERS) -> DataFrame:
-    """(lookup, pos, fact): the first fact under every key that the tiers ask for."""
-    day, o, d = F.col("fact.date_str"), F.col("fact.origin"), F.col("fact.dest")
+    """(lookup, pos): the place of the first fact under every key that the tiers ask for."""
+    places = fact_places(facts)
+    day, o, d = F.col("date_str"), F.col("origin"), F.col("dest")
     keys = []
     if "keyed_date" in tiers:
         keys.append(_key("kd", F.col("entity_key"), day))
     if "key_only" in tiers:
         keys.append(_key("k", F.col("entity_key")))
     if "partial" in tiers:
+        routes = facts.select("fact_id", "origin", "dest")
+        places = places.join(routes, F.col("fact_id") == F.col("last"))
         keys += [
             F.when(o.isNotNull() & d.isNotNull(), _key("od", o, d)),
             F.when(o.isNotNull() & d.isNotNull(), _key("odt", o, d, day)),
             F.when(o.isNotNull(), _key("ot", o, day)),
             F.when(d.isNotNull(), _key("dt", d, day)),
         ]
-    base = one_fact_per_key_and_date(facts)
-    exploded = base.select(F.explode(F.array_compact(F.array(*keys))).alias("lookup"), "pos", "fact")
-    return exploded.groupBy("lookup").agg(F.min_by("fact", "pos").alias("fact"), F.min("pos").alias("pos"))
+    exploded = places.select(F.explode(F.array_compact(F.array(*keys))).alias("lookup"), "pos")
+    return exploded.groupBy("lookup").agg(F.min("pos").alias("pos"))
+
+
+def with_facts(placed: DataFrame, facts: DataFrame) -> DataFrame:
+    """``placed`` with the fact that counts at its ``pos``."""
+    last = fact_places(facts).select("pos", "last")
+    rows = facts.select("fact_id", F.struct(*FACT_COLUMNS).alias("fact"))
+    return placed.join(last, "pos").join(rows, F.col("last") == F.col("fact_id")).drop("pos", "last", "fact_id")
 
 
 def _probes(claims: DataFrame, tolerance: int, tiers: tuple[str, ...]) -> DataFrame:
@@ -109,11 +116,12 @@ def match_claims(claims: DataFrame, facts: DataFrame, tolerance: int = 1, tiers:
     """
     probes = _probes(claims, tolerance, tiers)
     hits = probes.join(fact_lookup(facts, tiers), "lookup")
-    order = F.struct(F.col("tier"), -F.col("score"), F.col("tie"), F.col("pos"), F.col("reason"))
-    best = hits.groupBy("claim_id").agg(F.min_by(F.struct("tier", "score", "reason", "fact"), order).alias("m"))
-    return best.select(
-        "claim_id", F.col("m.tier").alias("tier"), F.col("m.score").alias("score_pct"), F.col("m.reason").alias("match_reason"), F.col("m.fact").alias("fact")
+    order = F.struct("tier", (-F.col("score")).alias("score"), "tie", "pos", "reason")
+    best = hits.groupBy("claim_id").agg(F.min(order).alias("m"))
+    placed = best.select(
+        "claim_id", F.col("m.tier").alias("tier"), (-F.col("m.score")).alias("score_pct"), F.col("m.reason").alias("match_reason"), F.col("m.pos").alias("pos")
     )
+    return with_facts(placed, facts).select("claim_id", "tier", "score_pct", "match_reason", "fact")
 
 
 def match_tolerance(claims: DataFrame, facts: DataFrame, tolerance: int = 1) -> DataFrame:

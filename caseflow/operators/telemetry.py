@@ -107,14 +107,14 @@ def replay_verify(expected: DataFrame, actual: DataFrame, bucket: Column, order_
 
     Positions are handed out per (run, bucket), so one long run is numbered by many tasks.
     """
-    e = running_position(expected, ["run_id"], bucket, order_by, "position").select("run_id", "position", F.col("model").alias("e_model"), F.col("outputs").alias("e_out"))
-    a = running_position(actual, ["run_id"], bucket, order_by, "position").select("run_id", "position", F.col("model").alias("a_model"), F.col("outputs").alias("a_out"))
+    e = running_position(expected, ["run_id"], bucket, order_by, "position").select("run_id", "position", F.col("model").alias("e_model"), F.col("outputs").alias("e_out"), F.lit(True).alias("in_e"))
+    a = running_position(actual, ["run_id"], bucket, order_by, "position").select("run_id", "position", F.col("model").alias("a_model"), F.col("outputs").alias("a_out"), F.lit(True).alias("in_a"))
     both = e.join(a, ["run_id", "position"], "full")
     issue = (
-        F.when(F.col("a_out").isNull(), "missing_call")
-        .when(F.col("e_out").isNull(), "extra_call")
+        F.when(F.col("in_a").isNull(), "missing_call")
+        .when(F.col("in_e").isNull(), "extra_call")
         .when(~F.col("e_model").eqNullSafe(F.col("a_model")), "model_mismatch")
-        .when(F.col("e_out") != F.col("a_out"), "output_mismatch")
+        .when(~F.col("e_out").eqNullSafe(F.col("a_out")), "output_mismatch")
     )
     return both.select("run_id", "position", issue.alias("issue")).filter("issue IS NOT NULL")
 

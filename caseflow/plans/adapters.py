@@ -44,10 +44,7 @@ def _sql(engine: str) -> dict[str, tuple[list[str], str]]:
         "facts_raw": (
             ["lineitem", "orders", "supplier", "customer"],
             f"""
-            select concat_ws('-', cast(l_orderkey as string), cast(l_linenumber as string), cast(l_partkey as string),
-                     cast(l_suppkey as string), cast(cast(l_shipdate as date) as string),
-                     cast(cast(round(l_quantity * 100) as bigint) as string),
-                     cast(cast(round(l_extendedprice * 100) as bigint) as string)) as fact_id,
+            select ((cast(l_orderkey as bigint) * 8 + l_linenumber) * 1048576 + l_partkey) * 65536 + l_suppkey as fact_id,
                    l_orderkey as order_key,
                    chr(cast(65 + s_nationkey as int)) || 'A' as carrier,
                    cast(l_suppkey as string) as fl_num,

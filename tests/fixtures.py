@@ -36,13 +36,13 @@ COMPLAINTS = [
     (8, "no plane for us from ATL to LHR on 3/07", "2015-03-07"),
 ]
 FLIGHTS = [
-    ("g01", "2015-03-04", "UA", "731", "DEN", "SFO", "0", "0", "1", "A"),
-    ("g02", "2015-03-05", "AA", "218", "DFW", "MIA", "110", "240", "0", None),
-    ("g03", "2015-03-06", "DL", "642", "ATL", "BOS", "30", "0", "1", "B"),
-    ("g04", "2015-03-07", "DL", "118", "ATL", "LHR", "60", "0", "Y", "A"),
-    ("g05", "2015-03-08", "WN", "377", "MDW", "LAX", "45", "120", "0.00", None),
-    ("g06", "2015-03-10", "UA", "590", "DEN", "SFO", "15", "30", "N", None),
-    ("g07", "2015-03-08", "DL", "415", "ATL", "LAX", "10", "bad", "0", None),
+    (1, "2015-03-04", "UA", "731", "DEN", "SFO", "0", "0", "1", "A"),
+    (2, "2015-03-05", "AA", "218", "DFW", "MIA", "110", "240", "0", None),
+    (3, "2015-03-06", "DL", "642", "ATL", "BOS", "30", "0", "1", "B"),
+    (4, "2015-03-07", "DL", "118", "ATL", "LHR", "60", "0", "Y", "A"),
+    (5, "2015-03-08", "WN", "377", "MDW", "LAX", "45", "120", "0.00", None),
+    (6, "2015-03-10", "UA", "590", "DEN", "SFO", "15", "30", "N", None),
+    (7, "2015-03-08", "DL", "415", "ATL", "LAX", "10", "bad", "0", None),
 ]
 
 
@@ -63,5 +63,5 @@ def complaints(spark):
 
 
 def flights(spark):
-    cols = "fact_id string, day string, carrier string, fl_num string, origin string, dest string, dep_delay string, arr_delay string, cancelled string, cancellation_code string"
+    cols = "fact_id bigint, day string, carrier string, fl_num string, origin string, dest string, dep_delay string, arr_delay string, cancelled string, cancellation_code string"
     return spark.createDataFrame(FLIGHTS, cols).selectExpr("*", "cast(day as date) as flight_date")

@@ -80,11 +80,11 @@ def test_match_equals_nested_loops(spark):
     facts, claims = [], []
     for i in range(300):
         hot = rnd.random() < 0.4
-        facts.append((f"{i:04d}", rnd.choice(days), "AB" if hot else rnd.choice(["CD", "EF"]), "1" if hot else str(rnd.randint(1, 6)),
+        facts.append((i, rnd.choice(days), "AB" if hot else rnd.choice(["CD", "EF"]), "1" if hot else str(rnd.randint(1, 6)),
                       "ORD" if hot else rnd.choice(["LAX", "JFK"]), rnd.choice(["SEA", "DEN"]), "0", rnd.choice(["0", "200"]), rnd.choice(["0", "1"]), None))
     for i in range(200):
         claims.append((i, rnd.choice([None, "AB1", "CD2", "ZZ9", "EF6"]), rnd.choice([None, *days, "2020-03-01"]), rnd.choice([None, "ORD", "LAX"]), rnd.choice([None, "SEA", "DEN"])))
-    cols = "fact_id string, day string, carrier string, fl_num string, origin string, dest string, dep_delay string, arr_delay string, cancelled string, cancellation_code string"
+    cols = "fact_id bigint, day string, carrier string, fl_num string, origin string, dest string, dep_delay string, arr_delay string, cancelled string, cancellation_code string"
     fdf = shaping.derive_fact_flags(spark.createDataFrame(facts, cols).selectExpr("*", "cast(day as date) as flight_date"))
     cdf = spark.createDataFrame(claims, "claim_id int, flight_number string, flight_date string, origin string, destination string")
     got = {r["claim_id"]: (r["tier"], r["score_pct"], r["fact"]["carrier"] + r["fact"]["fl_num"], r["fact"]["date_str"]) for r in matching.match_claims(cdf, fdf).collect()}
