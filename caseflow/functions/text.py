@@ -53,10 +53,20 @@ INTENT_SUGGESTIONS = {
     "general_automation": "data.profile,io.emit_report",
 }
 
+# What a text must hold, in lower case, before a pattern can match; looked for first, since most texts hold none of it.
+INCIDENT_NEEDLES = [["cancel"], ["delay"], ["missed"], ["lost", "baggage", "luggage"], ["overbook", "bumped"], ["mechanical", "maintenance"]]
+DELAY_NEEDLES = [["delay"], ["delay"], ["stuck"], ["late", "delay"]]
+
 _STRICT_CODE = r"\b([A-Z][A-Z0-9])\s*(\d{1,4})\b"
 _LOOSE_CODE = r"(?i)\b([A-Z]{2,3})\s*(\d{1,4})\b"
 
 
+def _gated(c: Column, needles: list[str], hit: Column) -> Column:
+    """``hit`` where the text holds one of the needles, else an empty text."""
+    low = F.lower(c)
+    return F.when(reduce(lambda x, y: x | y, [low.contains(n) for n in needles]), hit).otherwise(F.lit(""))
+
+
 def any_word(c: Column, words: list[str]) -> Column:
     """True when the text holds any of the words as a case-insensitive substring."""
     return F.coalesce(F.lower(c).rlike("|".join(words)), F.lit(False))
@@ -95,13 +105,13 @@ def mentioned_date(c: Column, reference_date: Column) -> Column:
         return F.try_to_date(F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0")), "yyyy-MM-dd")
 
     # every pattern scans the text once; its short hit is taken apart afterwards
-    full = F.split(F.regexp_extract(c, r"\b(\d{1,2})/(\d{1,2})/(\d{2,4})\b", 0), "/")
+    full = F.split(_gated(c, ["/"], F.regexp_extract(c, r"\b(\d{1,2})/(\d{1,2})/(\d{2,4})\b", 0)), "/")
     full_year = F.get(full, F.lit(2))
     full_year = F.when(F.length(full_year) == 2, F.concat(F.lit("20"), full_year)).otherwise(full_year)
-    short = F.split(F.regexp_extract(c, r"\b(\d{1,2})/(\d{1,2})\b", 0), "/")
+    short = F.split(_gated(c, ["/"], F.regexp_extract(c, r"\b(\d{1,2})/(\d{1,2})\b", 0)), "/")
     named = F.regexp_extract(c, r"(?i)\b(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\s+(\d{1,2})\b", 0)
     month_no = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower(F.substring(named, 1, 3)))
-    relative = F.lower(F.regexp_extract(c, r"(?i)\b(yesterday|today)\b", 1))
+    relative = F.lower(_gated(c, ["yesterday", "today"], F.regexp_extract(c, r"(?i)\b(yesterday|today)\b", 1)))
     return F.coalesce(
         F.when(F.length(full_year) == 4, ymd(full_year, F.get(full, F.lit(0)), F.get(full, F.lit(1)))),
         F.when(F.size(short) == 2, ymd(year, F.get(short, F.lit(0)), F.get(short, F.lit(1)))),
@@ -113,7 +123,7 @@ def mentioned_date(c: Column, reference_date: Column) -> Column:
 
 
 def _delay_hits(c: Column) -> list[Column]:
-    return [F.regexp_extract(c, "(?i)" + p, 1) for p in DELAY_PATTERNS]
+    return [_gated(c, n, F.regexp_extract(c, "(?i)" + p, 1)) for p, n in zip(DELAY_PATTERNS, DELAY_NEEDLES)]
 
 
 def delay_hours(c: Column) -> Column:
@@ -123,7 +133,7 @@ def delay_hours(c: Column) -> Column:
 
 def incident_types(c: Column) -> Column:
     """Distinct incident words, sorted and joined by ``, ``; null when nothing is mentioned."""
-    hits = [F.lower(F.regexp_extract(c, "(?i)" + p, 1)) for p in INCIDENT_PATTERNS]
+    hits = [F.lower(_gated(c, n, F.regexp_extract(c, "(?i)" + p, 1))) for p, n in zip(INCIDENT_PATTERNS, INCIDENT_NEEDLES)]
     delayed = reduce(lambda x, y: x | y, [h != "" for h in _delay_hits(c)])
     words = F.array(*hits, F.when(delayed, F.lit("delay")).otherwise(F.lit("")))
     kept = F.array_sort(F.array_distinct(F.filter(words, lambda w: w != "")))

@@ -224,7 +224,7 @@ CATALOG_CTES = {
         case when ext = '.csv' then 'CSV data with ' || (len(trim(content)) - len(replace(trim(content), chr(10), '')) + 1) || ' rows, columns: ' || split_part(trim(content), chr(10), 1)
           when ext = '.json' then 'JSON data structure containing configuration or data records'
           when ext in ('.py', '.js') then 'Source code file (' || upper(substr(ext, 2)) || ') containing functions and logic' when ext = '.md' then 'Markdown documentation or notes'
-          when ext in ('.txt', '.html') then 'Text document with approximately ' || len(regexp_extract_all(trim(content), '\S+')) || ' words'
+          when ext in ('.txt', '.html') then 'Text document with approximately ' || len(regexp_extract_all(trim(content), '\\S+')) || ' words'
           when ext in ('.pdf', '.png', '.jpg', '.jpeg') then 'Visual content: ' || name else '' end as summary, case when ext in ('.txt','.md','.csv','.json','.py','.js','.html') then
         list_sort(list_distinct(list_filter(regexp_split_to_array(lower(content), '[^\\p{{L}}\\p{{M}}\\p{{N}}_]+'), lambda w: regexp_matches(w, '^[a-z]{{3,}}$') and w not in ({STOP}))))[1:10]
         when ext in ('.pdf', '.png', '.jpg', '.jpeg') then ['visual', 'document', 'image'] else [] end as keywords from files0""",
