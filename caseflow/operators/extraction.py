@@ -82,24 +82,25 @@ def enrich_low_confidence(
     fn: Callable[[pd.DataFrame], pd.DataFrame] | None = None,
     threshold_pct: int = 60,
 ) -> DataFrame:
-    """Hand rows below the threshold to ``fn`` in Arrow batches and merge its non-empty answers.
+    """Hand rows below the threshold to ``fn`` in Arrow batches and merge its non-empty answers; other rows pass through.
 
     ``fn`` gets a pandas batch and returns the same rows; filled entity columns replace the old ones, the
     confidence rises by 30 points (at most 100) and the method becomes ``regex+hook``. Without ``fn`` nothing changes.
     """
     if fn is None:
         return df
-    low = F.coalesce(F.col("confidence_pct") < threshold_pct, F.lit(False))
     wanted = [c for c in ENTITY_COLUMNS if c in df.columns]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            answer = fn(batch.copy())
-            for c in wanted:
-                filled = answer[c].notna() & (answer[c].astype(str).str.strip() != "")
-                batch[c] = answer[c].where(filled, batch[c])
-            batch["confidence_pct"] = (batch["confidence_pct"] + HOOK_BONUS).clip(upper=100)
-            batch["extraction_method"] = "regex+hook"
+            weak = batch.index[batch["confidence_pct"] < threshold_pct]
+            if len(weak):
+                answer = fn(batch.loc[weak].copy())
+                for c in wanted:
+                    filled = answer[c].notna() & (answer[c].astype(str).str.strip() != "")
+                    batch.loc[weak, c] = answer[c].where(filled, batch.loc[weak, c])
+                batch.loc[weak, "confidence_pct"] = (batch.loc[weak, "confidence_pct"] + HOOK_BONUS).clip(upper=100)
+                batch.loc[weak, "extraction_method"] = "regex+hook"
             yield batch
 
-    return df.filter(~low).unionByName(df.filter(low).mapInPandas(run, df.schema))
+    return df.mapInPandas(run, df.schema)

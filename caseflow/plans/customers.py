@@ -314,6 +314,12 @@ def golden_record(t):
     return res.golden_record(rows, "customer_id", "pos")
 
 
+@query("drop_absorbed", ["crm"], "select pos, customer_id from clustered where pos = cluster", CLUSTER_CTES)
+def drop_absorbed(t):
+    rows = res.dedupe_customers(t("crm"), "pos").select("pos", "customer_id", "cluster")
+    return res.drop_absorbed(rows, rows.filter("pos <> cluster"), "pos").select("pos", "customer_id")
+
+
 @query(
     "reconcile_exact", ["payments", "crm"],
     "select transaction_id, customer_reference as matched_id, 100 as match_pct from payments where customer_reference in (select customer_id from crm)",
@@ -557,6 +563,28 @@ def record_confidence(t):
     return xref.record_confidence(primary, xref.source_confidence(primary, matches, found, "reference_0"), XREF_FIELDS)
 
 
+@query(
+    "two_source_confidence", ["customers_a", "customers_b"],
+    """select pid, round(base, 2) as cross_reference_score from (
+         select a.pid, case when m.pid is null then 0.8::double else m.confidence * (1 - 0.1::double * coalesce(f.n, 0)) end
+           * case when m.pid is null or a.pid % 2 = 1 then 0.8::double else m.confidence * (1 - 0.1::double * coalesce(f.n, 0)) end as base
+         from customers_a a left join m on m.pid = a.pid left join (select pid, count(*) as n from found group by pid) f on f.pid = a.pid)""",
+    DISCREPANCY_CTES,
+)
+def two_source_confidence(t):
+    """The second source only knows customers with an even number."""
+    primary, matches = t("customers_a"), xref_matches(t)
+    found = xref.discrepancies(primary, t("customers_b"), matches, XREF_FIELDS, "reference_0")
+    even = [x.filter("pid % 2 = 0") for x in (matches, found)]
+    sources = [xref.source_confidence(primary, matches, found, "reference_0"), xref.source_confidence(primary, *even, "reference_1")]
+    return xref.record_confidence(primary, xref.union_sources(sources), XREF_FIELDS).select("pid", "cross_reference_score")
+
+
+@query("select_existing", ["crm"], "select pos, name, email from crm")
+def select_existing(t):
+    return shp.select_existing(t("crm"), ["pos", "name", "no_such_column", "email"])
+
+
 # ---- insights ----
 
 

@@ -20,12 +20,16 @@ def stream_log(spark: SparkSession, path: str, schema: T.StructType, fmt: str =
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).format(fmt).load(path)
 
 
-def live_run_stats(calls: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Running figures per run and day; state of a day leaves with the watermark. Use update mode."""
+def live_run_stats(calls: DataFrame, delay: str = "1 hour", by_day: bool = False) -> DataFrame:
+    """Running figures per run, as the batch figures give them. Use update mode.
+
+    A run's state stays for good; ``by_day`` gives figures per run and day instead, whose state leaves with the watermark.
+    """
     n = F.count(F.lit(1))
+    keys = ["run_id", F.window("timestamp", "1 day")] if by_day else ["run_id"]
     return (
         calls.withWatermark("timestamp", delay)
-        .groupBy("run_id", F.window("timestamp", "1 day"))
+        .groupBy(*keys)
         .agg(
             n.alias("tools_executed"), F.sum("cost_usd").alias("total_cost_usd"), F.sum("co2_grams").alias("total_co2_grams"),
             F.sum("tokens_used").alias("total_tokens"), (F.count_if("cache_hit") / n * 100).alias("cache_hit_rate"),

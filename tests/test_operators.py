@@ -301,6 +301,10 @@ def test_sources_and_report(spark, tmp_path):
     assert readers.read_records(spark, str(tmp_path / "late.json")).count() == 2
     (tmp_path / "quoted.dat").write_text('\n"a, b"|c\n"1, 2"|3\n')
     assert readers.sniff_text(spark, str(tmp_path / "quoted.dat")) == {"kind": "csv", "sep": "|"}
+    writers.write_claims(spark.createDataFrame([(1, ("x", 2))], "claim_id int, claim struct<a:string,b:int>"), str(tmp_path / "claims"))
+    assert spark.read.json(str(tmp_path / "claims")).first()["claim"]["b"] == 2
+    assert readers.register("typed_rows", typed).count() == spark.sql("select * from typed_rows").count() == 2
+    assert readers.read_table(spark, str(csv)).columns == ["a", "b", "c"]
     with pytest.raises(ValueError, match="missing columns"):
         readers.require_columns(typed, ["zzz"])
     writers.append_log(spark.createDataFrame([("RUN_START",)], "op string"), str(tmp_path / "log"), "r1")

@@ -30,9 +30,11 @@ def _stream(spark, df, folder, schema):
 def test_live_run_stats(spark, tmp_path):
     calls = _calls(spark)
     out = _run(logs.live_run_stats(_stream(spark, calls, tmp_path / "c", CALLS)), spark, "live", "complete")
-    got = {r["run_id"]: (r["n"], r["c"]) for r in out.groupBy("run_id").agg(F.sum("tools_executed").alias("n"), F.sum("total_cost_usd").alias("c")).collect()}
+    got = {r["run_id"]: (r["tools_executed"], r["total_cost_usd"]) for r in out.collect()}
     want = {r["run_id"]: (r["tools_executed"], r["total_cost_usd"]) for r in telemetry.live_run_stats(calls).collect()}
-    assert got == want
+    assert got == want and out.count() == len(want)
+    days = _run(logs.live_run_stats(_stream(spark, calls, tmp_path / "e", CALLS), by_day=True), spark, "live_days", "complete")
+    assert days.agg(F.sum("tools_executed")).first()[0] == calls.count()
 
 
 def test_tumbling_and_sessions(spark, tmp_path):
