@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,9 +26,10 @@ def hash_split(df: DataFrame, key: str, ratio: float = 0.8, seed: int = 1337) ->
     When no row would validate, the row with the last key does.
     """
     on_train = split_byte(F.col(key), seed) / 255.0 < ratio
-    if df.filter(~on_train).isEmpty() and not df.offset(1).isEmpty():  # stops at the first validation row
-        on_train = on_train & (F.col(key) != F.lit(df.agg(F.max(key)).first()[0]))
-    return df.withColumn("part", F.when(on_train, "train").otherwise("val"))
+    whole = df.select(key).agg(F.count_if(~on_train).alias("__val"), F.count(F.lit(1)).alias("__n"), F.max(key).alias("__last"))
+    lonely = (F.col("__val") == 0) & (F.col("__n") > 1) & (F.col(key) == F.col("__last"))
+    split = df.crossJoin(F.broadcast(whole))  # one row
+    return split.withColumn("part", F.when(on_train & ~lonely, "train").otherwise("val")).drop("__val", "__n", "__last")
 
 
 def _feature(c: str) -> Column:
@@ -35,35 +39,51 @@ def _feature(c: str) -> Column:
 def train_linear(df: DataFrame, target: str, features: list[str], impute: str = "mean") -> DataFrame:
     """Least squares with a tiny ridge: one row per term (term, coef, impute_value), coefficients to 12 decimals.
 
-    Rows without a numeric target drop out, missing features take the column mean or median. Sums of centred
-    products come from one aggregate; only the (features + 1)^2 sums reach the driver, whatever the row count.
+    Rows without a numeric target drop out, missing features take the column mean or median. One aggregate gives counts,
+    means and covariances of every pair of columns over the rows that have both; the (features + 1)^2 normal equations
+    are solved from that one row. Nothing runs before the result is used; without rows that use fails.
     """
-    spark = df.sparkSession
-    rows = df.select(_feature(target).alias("__y"), *[_feature(f).alias(f"__x{i}") for i, f in enumerate(features)]).filter("__y IS NOT NULL")
-    xs = [f"__x{i}" for i in range(len(features))]
+    cols = ["__y", *[f"__x{i}" for i in range(len(features))]]
+    rows = df.select(*[_feature(f).alias(c) for f, c in zip([target, *features], cols)]).filter("__y IS NOT NULL")
     middle = F.avg if impute == "mean" else F.median
-    first = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("__y").alias("y"), *[F.coalesce(middle(x), F.lit(0.0)).alias(x) for x in xs]).first()
-    if not first["n"]:
-        raise ValueError(f"no rows with a numeric {target!r} to train on")
-    fills = [float(first[x]) for x in xs]
-    filled = rows.select((F.col("__y") - float(first["y"])).alias("__y"), *[(F.coalesce(x, F.lit(v)) - v).alias(x) for x, v in zip(xs, fills)])
-    cols = ["__y", *xs]
-    products = [F.sum(F.col(a) * F.col(b)).alias(f"{i}_{j}") for i, a in enumerate(cols) for j, b in enumerate(cols) if i <= j]
-    sums = filled.agg(*products, *[F.sum(c).alias(f"s_{i}") for i, c in enumerate(cols)]).first()
-    n = float(first["n"])
-    k = len(xs)
-    left, right = np.zeros((k + 1, k + 1)), np.zeros(k + 1)
-    left[0, 0], right[0] = n, sums["s_0"]
-    for i in range(k):
-        left[0, i + 1] = left[i + 1, 0] = sums[f"s_{i + 1}"]
-        right[i + 1] = sums[f"0_{i + 1}"]
-        for j in range(i, k):
-            left[i + 1, j + 1] = left[j + 1, i + 1] = sums[f"{i + 1}_{j + 1}"]
-    weights = np.linalg.solve(left + RIDGE * np.eye(k + 1), right)
-    intercept = float(first["y"]) + weights[0] - float(np.dot(weights[1:], fills))
-    terms = [("(intercept)", round(float(intercept), 12), None)]
-    terms += [(f, round(float(w), 12), round(v, 12)) for f, w, v in zip(features, weights[1:], fills)]
-    return spark.createDataFrame(terms, "term string, coef double, impute_value double")
+    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
+    aggs = [F.avg("__y").alias("c0"), *[F.coalesce(middle(c), F.lit(0.0)).alias(f"c{i}") for i, c in enumerate(cols) if i]]
+    for i, j in pairs:
+        a, b = F.col(cols[i]), F.col(cols[j])
+        both = a.isNotNull() & b.isNotNull()
+        aggs += [
+            F.count_if(both).cast("double").alias(f"n{i}_{j}"), F.covar_pop(a, b).alias(f"v{i}_{j}"),
+            F.avg(F.when(both, a)).alias(f"a{i}_{j}"), F.avg(F.when(both, b)).alias(f"b{i}_{j}"),
+        ]
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for _, r in batch.iterrows():
+                n, k = r["n0_0"], len(features)
+                if not n:
+                    raise ValueError(f"no rows with a numeric {target!r} to train on")
+
+                def product(i: int, j: int) -> float:
+                    """Sum of (x_i - c_i)(x_j - c_j) over the rows that have both; filled cells add nothing."""
+                    m = r[f"n{i}_{j}"]
+                    return m * (r[f"v{i}_{j}"] + (r[f"a{i}_{j}"] - r[f"c{i}"]) * (r[f"b{i}_{j}"] - r[f"c{j}"])) if m else 0.0
+
+                left, right = np.zeros((k + 1, k + 1)), np.zeros(k + 1)
+                left[0, 0] = n
+                for i in range(1, k + 1):
+                    m = r[f"n{i}_{i}"]
+                    left[0, i] = left[i, 0] = m * (r[f"a{i}_{i}"] - r[f"c{i}"]) if m else 0.0
+                    right[i] = product(0, i)
+                    for j in range(i, k + 1):
+                        left[i, j] = left[j, i] = product(i, j)
+                weights = np.linalg.solve(left + RIDGE * np.eye(k + 1), right)
+                fills = [float(r[f"c{i}"]) for i in range(1, k + 1)]
+                intercept = float(r["c0"]) + weights[0] - float(np.dot(weights[1:], fills))
+                terms = [("(intercept)", round(float(intercept), 12), None)]
+                terms += [(f, round(float(w), 12), round(v, 12)) for f, w, v in zip(features, weights[1:], fills)]
+                yield pd.DataFrame(terms, columns=["term", "coef", "impute_value"])
+
+    return rows.agg(*aggs).mapInPandas(solve, "term string, coef double, impute_value double")
 
 
 def mean_predictor(df: DataFrame, target: str) -> DataFrame:
@@ -81,11 +101,17 @@ def fit_one_feature(df: DataFrame, target: str, feature: str, by: list[str] | No
 
 
 def score_linear(df: DataFrame, model: DataFrame, into: str = "prediction") -> DataFrame:
-    """Intercept plus the weighted, imputed features as one Column expression; the model is a handful of terms."""
-    out = F.lit(0.0)
-    for term, coef, fill in [tuple(r) for r in model.collect()]:
-        out = out + (F.lit(coef) if fill is None else F.coalesce(money_amount(F.col(term)), F.lit(fill)) * coef)
-    return df.withColumn(into, out)
+    """Intercept plus the weighted, imputed features; the model is a handful of terms, joined as one row.
+
+    Terms that name no column of ``df`` do not count.
+    """
+    entry = F.struct(F.coalesce("coef", F.lit(0.0)).alias("coef"), F.coalesce("impute_value", F.lit(0.0)).alias("fill"))
+    one = model.agg(F.map_from_entries(F.collect_list(F.struct("term", entry))).alias("__model"))
+    out = F.coalesce(F.try_element_at("__model", F.lit("(intercept)"))["coef"], F.lit(0.0))
+    for c in df.columns:
+        term = F.try_element_at("__model", F.lit(c))
+        out = out + F.when(term.isNotNull(), F.coalesce(money_amount(F.col(f"`{c}`")), term["fill"]) * term["coef"]).otherwise(0.0)
+    return df.crossJoin(F.broadcast(one)).withColumn(into, out).drop("__model")
 
 
 def regression_metrics(df: DataFrame, target: str, prediction: str) -> DataFrame:
