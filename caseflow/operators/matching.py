@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from caseflow.session import cut_lineage
+
 FACT_COLUMNS = [
     "carrier", "fl_num", "date_str", "origin", "dest", "is_cancelled", "significant_delay", "refund_eligible",
     "arr_delay_minutes", "dep_delay_minutes",
@@ -108,20 +110,31 @@ def sufficient() -> Column:
     return (F.coalesce(F.col("flight_number"), F.lit("")) != "") | (F.coalesce(F.col("origin"), F.lit("")) != "")
 
 
-def match_claims(claims: DataFrame, facts: DataFrame, tolerance: int = 1, tiers: tuple[str, ...] = TIERS) -> DataFrame:
-    """Best match per matched claim: (claim_id, tier, score_pct, reason, fact).
+def prepared(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The lookup and the facts by place as written tables, for many batches of claims against the same facts."""
+    places = fact_places(facts)
+    rows = facts.select("fact_id", F.struct(*FACT_COLUMNS).alias("fact"))
+    return cut_lineage(fact_lookup(facts)), cut_lineage(places.join(rows, F.col("fact_id") == F.col("last")).select("pos", "fact"))
+
+
+def match_claims(
+    claims: DataFrame, facts: DataFrame | tuple[DataFrame, DataFrame], tolerance: int = 1, tiers: tuple[str, ...] = TIERS
+) -> DataFrame:
+    """Best match per matched claim: (claim_id, tier, score_pct, reason, fact). ``facts`` may be ``prepared``.
 
     A later tier counts only when the earlier ones found nothing; inside a tier the higher score wins, then the
     earlier date offset (dated key) or the earlier fact.
     """
     probes = _probes(claims, tolerance, tiers)
-    hits = probes.join(fact_lookup(facts, tiers), "lookup")
+    ready = isinstance(facts, tuple)
+    hits = probes.join(facts[0] if ready else fact_lookup(facts, tiers), "lookup")
     order = F.struct("tier", (-F.col("score")).alias("score"), "tie", "pos", "reason")
     best = hits.groupBy("claim_id").agg(F.min(order).alias("m"))
     placed = best.select(
         "claim_id", F.col("m.tier").alias("tier"), (-F.col("m.score")).alias("score_pct"), F.col("m.reason").alias("match_reason"), F.col("m.pos").alias("pos")
     )
-    return with_facts(placed, facts).select("claim_id", "tier", "score_pct", "match_reason", "fact")
+    found = placed.join(facts[1], "pos") if ready else with_facts(placed, facts)
+    return found.select("claim_id", "tier", "score_pct", "match_reason", "fact")
 
 
 def match_tolerance(claims: DataFrame, facts: DataFrame, tolerance: int = 1) -> DataFrame:
@@ -138,7 +151,7 @@ def match_partial(claims: DataFrame, facts: DataFrame, tolerance: int = 1) -> Da
     return match_claims(claims, facts, tolerance).filter("tier = 4")
 
 
-def match_cascade(claims: DataFrame, facts: DataFrame, tolerance: int = 1, threshold_pct: int = 70) -> DataFrame:
+def match_cascade(claims: DataFrame, facts: DataFrame | tuple[DataFrame, DataFrame], tolerance: int = 1, threshold_pct: int = 70) -> DataFrame:
     """Every claim with its status, pre-bonus and final score and the fact it matched.
 
     The final score adds 10 when the claim names what happened to the fact, 5 when the fact had any issue.

@@ -92,10 +92,14 @@ def cache_dedup(calls: DataFrame, delay: str = "1 hour") -> DataFrame:
 
 
 def stream_cases(claims: DataFrame, facts: DataFrame, sink: Callable[[DataFrame, int], None], tolerance: int = 1) -> DataStreamWriter:
-    """Match every micro-batch of claims against the static facts; the ranked best match needs a whole batch."""
+    """Match every micro-batch of claims against the static facts; the ranked best match needs a whole batch.
+
+    The facts are looked through once, before the stream starts.
+    """
+    ready = matching.prepared(facts)
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        sink(matching.match_cascade(batch, facts, tolerance), batch_id)
+        sink(matching.match_cascade(batch, ready, tolerance), batch_id)
 
     return claims.writeStream.foreachBatch(each)
 
