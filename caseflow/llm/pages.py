@@ -10,7 +10,10 @@ Pages carry no labels. The sample is labelled by its own markup where that is ex
 navigation, footer, aside, advert, comment and form elements). In every other row of the sample the token features
 are blanked, so that the trees also learn to tell text by density and place where markup says nothing. Every third
 article row is repeated with a token of one of the refused kinds and the label such markup gives, since a sample of
-pages need not show all kinds. Each split sees a third of the features, so that no single one decides alone.
+pages need not show all kinds. Every page is also taken in a second form, its telling elements turned into plain
+divisions at varying depths and its article cut to a few runs of text, so that size, depth and element names do not
+stand in for the layout.
+Each split sees a third of the features, so that no single one decides alone.
 """
 
 from __future__ import annotations
@@ -245,6 +248,25 @@ def _groups(name: str, attributes: str) -> int:
     return found
 
 
+TELLING = re.compile(r"<(/?)(article|main|nav|aside|header|footer|section)\b", re.I)
+
+
+def plain_form(source: str, number: int) -> Page:
+    """The page with divisions for its telling elements, named by their role, and the first runs of its article.
+
+    ``number`` says how many runs (1 to 7) and how many more divisions lie around (0 to 2).
+    """
+    runs, around = 1 + number % 7, number % 3
+    page = Page(TELLING.sub(lambda m: "</div>" * around + "</div" if m[1] else "<div>" * around + f'<div role="{m[2].lower()}"', source))
+    path = list(page.groups)
+    for i in range(1, len(path)):
+        path[i] |= path[page.parent[i]]
+    main = np.array([path[i] >> MAIN & 1 for i in page.leaf], int)
+    keep = np.flatnonzero((main == 0) | (np.cumsum(main) <= runs))
+    page.leaf, page.text, page.linked = ([x[i] for i in keep] for x in (page.leaf, page.text, page.linked))
+    return page
+
+
 def with_balance(rows: np.ndarray) -> np.ndarray:
     """Rows with two more features: how many refused kinds the path names, and whether it names the article and none of them."""
     tokens = rows[:, N_OWN : N_OWN + len(NAMES)]
@@ -305,8 +327,10 @@ def fit(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> Forest:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, labels = [], []
-            for source in batch.column("html").to_pylist():
-                for k, row in enumerate(Page(source or "").features()):
+            sources = [s or "" for s in batch.column("html").to_pylist()]
+            forms = [p for n, s in enumerate(sources) for p in (Page(s), plain_form(s, n))]
+            for page in forms:
+                for k, row in enumerate(page.features()):
                     label = markup_label(row)
                     if label is None:
                         continue
