@@ -13,7 +13,8 @@ article row is repeated with a token of one of the refused kinds and the label s
 pages need not show all kinds. Every page is also taken in a second form, its telling elements turned into plain
 divisions at varying depths and its article cut to a few runs of text, so that size, depth and element names do not
 stand in for the layout.
-Each split sees a third of the features, so that no single one decides alone.
+Rows with tokens are repeated with the other features of another row, so that tokens, where there are any, weigh more
+than layout. Each split sees a third of the features, so that no single one decides alone.
 """
 
 from __future__ import annotations
@@ -268,9 +269,9 @@ def plain_form(source: str, number: int) -> Page:
 
 
 def with_balance(rows: np.ndarray) -> np.ndarray:
-    """Rows with two more features: how many refused kinds the path names, and whether it names the article and none of them."""
+    """Rows with two more features: how many refused kinds the path names (a header outside an article is one), and whether it names the article and none of them."""
     tokens = rows[:, N_OWN : N_OWN + len(NAMES)]
-    refused = tokens[:, REFUSED].sum(1)
+    refused = tokens[:, REFUSED].sum(1) + tokens[:, HEADER] * (1 - tokens[:, MAIN])
     return np.hstack([rows[:, : N_OWN + len(NAMES)], refused[:, None], (tokens[:, MAIN] * (refused == 0))[:, None]])
 
 
@@ -336,13 +337,18 @@ def fit(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> Forest:
                         continue
                     if label and k % 3 == 0:
                         marked = row.copy()
-                        marked[N_OWN + REFUSED[k // 3 % len(REFUSED)]] = 1
+                        kind = [*REFUSED, HEADER][k // 3 % (len(REFUSED) + 1)]
+                        marked[N_OWN + kind] = 1
+                        marked[N_OWN + MAIN] *= kind != HEADER
                         rows.append(with_balance(marked[None])[0].tolist())
                         labels.append(0.0)
                     if k % 2:
                         row[N_OWN:] = 0
                     rows.append(row.tolist())
                     labels.append(label)
+            named = [i for i, r in enumerate(rows) if any(r[N_OWN:])]
+            mixed = [rows[j][:N_OWN] + rows[i][N_OWN:] for i, j in zip(named, named[17:] + named[:17])]
+            rows, labels = rows + mixed, labels + [labels[i] for i in named]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), pa.array(labels, pa.float64())], names=["features", "label"])
 
     sample = staged(small.filter(F.col("page_id").isin(ids)).select("html").mapInArrow(run, "features array<double>, label double").coalesce(1), "nodes")

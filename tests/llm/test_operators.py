@@ -133,6 +133,23 @@ def test_pages(spark):
     assert pages.extract(empty, pages.fit(empty)).count() == 0
 
 
+OTHER_LAYOUT = """<html><head><title>x</title></head><body class="page"><div id="topbar">Login | Home</div><div class="menu"><a href=1>One</a> <a>Two</a></div>
+<div class="cookie-notice"><p>We use cookies to make this site better, please accept them all now.</p></div>
+<div class="wrap"><div class="col"><h1>A title here</h1><p>The first paragraph of the text, which is long enough, with commas &amp; stops. It goes on and on.</p>
+<p>Second.</p><div class="advert">Buy this product now, best offer!</div><p>Third paragraph of some length that closes the text, with a <a href=2>link</a> in it.</p></div>
+<aside>Related: <ul><li><a>x</a><li><a>y</a></ul></aside></div><section id="comments"><p>Bob: nice article, I liked it a lot, thanks for writing it.</p></section>
+<form><label>Name</label><input></form><footer>(c) 2020 All rights</footer></body></html>"""
+
+
+def test_pages_of_another_layout(spark):
+    """Fitted on the given pages, tried on a page built in another way, without and with a telling class."""
+    model = pages.fit(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"))
+    want = "A title here\n\nThe first paragraph of the text, which is long enough, with commas & stops. It goes on and on.\n\nSecond.\n\nThird paragraph of some length that closes the text, with a link in it."
+    for html in (OTHER_LAYOUT, OTHER_LAYOUT.replace('class="col"', 'class="post-content"')):
+        page = pages.Page(html)
+        assert "\n\n".join(page.decode(model.chance(page.features()))) == want
+
+
 def test_page_tree_decoding_is_consistent():
     import numpy as np
 
