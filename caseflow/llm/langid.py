@@ -137,8 +137,13 @@ def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, longest: int = LON
     """The bounded sample of labelled rows the model is fitted on."""
     pool = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     pool = pool.filter((F.length("text") <= longest) & F.col("text").rlike(r"\p{L}"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id")), "doc_id")
-    drawn = pool.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_language)
+    ranked = pool.select("doc_id", "lang", F.xxhash64("doc_id").alias("hash"))
+    # all but about four times the wanted number of a language are left out by their hash before any row is ranked, and
+    # those wanted have the smallest hashes, so the rank sees as few rows whatever the size of the corpus
+    counts = ranked.groupBy("lang").agg((F.lit(4.0 * per_language) / F.count("*")).alias("share"))
+    few = ranked.join(counts, "lang").filter((F.col("hash") / F.lit(2.0**64) + 0.5) < F.col("share"))
+    order = Window.partitionBy("lang").orderBy("hash", "doc_id")
+    drawn = few.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_language)
     ids = [r[0] for r in drawn.select("doc_id").collect()]
     rows = pool.filter(F.col("doc_id").isin(ids)).select("doc_id", "text", "lang").collect() if ids else []
     rows = {r["doc_id"]: r for r in rows}
