@@ -141,7 +141,8 @@ def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, longest: int = LON
     # all but about four times the wanted number of a language are left out by their hash before any row is ranked, and
     # those wanted have the smallest hashes, so the rank sees as few rows whatever the size of the corpus
     counts = ranked.groupBy("lang").agg((F.lit(4.0 * per_language) / F.count("*")).alias("share"))
-    few = ranked.join(counts, "lang").filter((F.col("hash") / F.lit(2.0**64) + 0.5) < F.col("share"))
+    # one row a language, of which the model holds a column of weights each; a broadcast, so that no row moves before the filter
+    few = ranked.join(F.broadcast(counts), "lang").filter((F.col("hash") / F.lit(2.0**64) + 0.5) < F.col("share"))
     order = Window.partitionBy("lang").orderBy("hash", "doc_id")
     drawn = few.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_language)
     ids = [r[0] for r in drawn.select("doc_id").collect()]
