@@ -153,6 +153,42 @@ def test_fuzzy_pairs_equal_brute_force_inside_blocks(spark, hot_block):
     assert got == want and want
 
 
+KATE = [(900, "Kate Miller", "kate.miller@x.com", "Acme"), (901, "Cate Miller", "cate.miller@x.com", "Beta"), (902, "Cate Miller", "cate.miller@x.com", "Acme"),
+        (903, "", "no.name@x.com", "Acme"), (904, "", "no.nama@x.com", "Beta"), (905, "", "", "Acme")]
+
+
+def _ratio(a, b):
+    return 100 if a == b else plain_ratio(a, b)
+
+
+@pytest.mark.parametrize("hot_block", [2, 1000])
+def test_fuzzy_pairs_equal_all_pairs(spark, hot_block):
+    rows = _people(random.Random(7), 60) + KATE
+    df = spark.createDataFrame(rows, "pos int, name string, email string, company string")
+    found = [(r["id_a"], r["id_b"], r["score"]) for r in resolve.fuzzy_pairs(df, "pos", 80, hot_block).collect()]
+    first, want = {}, set()
+    for pos, *person in rows:
+        first.setdefault(tuple(person), pos)
+    for (a, i), (b, j) in combinations(sorted(first.items(), key=lambda x: x[1]), 2):
+        s = sum(w * _ratio(x, y) for w, x, y in zip((50, 30, 20), a, b) if w == 50 or (x and y))
+        if s >= 8000:
+            want.add((i, j, s))
+    assert sorted(found) == sorted(want) and {(900, 902), (903, 904)} <= {(i, j) for i, j, _ in want}
+
+
+def test_changed_initials_are_found_by_every_fuzzy_join(spark):
+    people = spark.createDataFrame(KATE[:1], "pos int, name string, email string, company string").withColumn("customer_id", F.lit("K1"))
+    records = spark.createDataFrame([("r", "Cate Miller", "cate.miller@x.com")], "rec_id string, name string, email string")
+    assert resolve.upsert_matches(people, records, "pos").first()["entity_pos"] == 900
+    refs = spark.createDataFrame([("Cate Miller",)], "ref string")
+    assert resolve.best_names(refs, people, "name", "customer_id", "pos", 80).first()["matched_id"] == "K1"
+    one, two = people.select(F.col("pos").alias("pid"), F.lit("1").alias("id"), "email", "name"), records.select(F.lit(5).alias("rid"), F.lit("2").alias("id"), "email", "name")
+    for id_ in ("2", ""):  # ids that differ, and no id
+        other = two.withColumn("id", F.lit(id_))
+        found = xref.xref_match(one, other, ["id", "email", "name"]).count()
+        assert found == 1, id_
+
+
 def test_star_clusters_equal_sequential_rule(spark):
     rnd = random.Random(11)
     n = 60
