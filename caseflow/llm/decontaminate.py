@@ -9,8 +9,10 @@ any other.
 Only suffixes that begin with as many words of the test vocabulary as the shortest window has can hold a window; the
 others are left out of the array, which loses no match of that length or more.
 
-Test items are read in blocks of at most ``block_bytes`` of text, one broadcast and one narrow pass for each, so a
-broadcast never exceeds that size however many items there are.
+Test items are read in blocks for which at most ``block_bytes`` of arrays are built, one broadcast and one narrow pass
+for each, so a broadcast never exceeds that size however many items there are; one item that is larger is a block of its
+own, and its arrays grow with its words, not with their square. Only the first words of a suffix, as many as a window
+has, are kept for each suffix; the rest is read from the item's words while a search goes deeper.
 """
 
 from __future__ import annotations
@@ -33,11 +35,18 @@ WORD_BYTES = byte_table([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x
 MARKED = "hits array<struct<start:bigint,stop:bigint>>, items array<string>, longest bigint"
 
 
-def item_blocks(items: DataFrame, limit: int) -> Iterator[list[tuple[str | None, str]]]:
-    """Test items in lists of at most ``limit`` bytes of text (one longer item is a list of its own)."""
+def word_bytes(limit: int, window: int) -> int:
+    """Most bytes that ``test_suffixes`` builds for a word of a block of at most ``limit`` bytes."""
+    per = max(64 // (max(limit, 1).bit_length() + 1), 1)
+    return 8 * (6 + 2 * -(-window // per))
+
+
+def item_blocks(items: DataFrame, limit: int, window: int = WINDOW) -> Iterator[list[tuple[str | None, str]]]:
+    """Test items in lists of at most ``limit`` bytes of text and of arrays (one longer item is a list of its own)."""
     held, size = [], 0
     for item, text in items.toLocalIterator():
-        n = len(text.encode())
+        words = Words(pa.chunked_array([pa.array([text], pa.string())]), WORD_BYTES, hashed=False).count
+        n = max(len(text.encode()), int(words[0]) * word_bytes(limit, window))
         if held and size + n > limit:
             yield held
             held, size = [], 0
@@ -59,21 +68,54 @@ def test_suffixes(items: list[tuple[str | None, str]], window: int) -> dict:
     left = np.repeat(words.first[1:], counts) - at
     need = np.minimum(window, np.repeat(counts, counts))
     use = left >= need
-    coded = np.concatenate([code.astype(U64) + U64(1), np.zeros(depth * per, U64)])
-    low, high = (np.zeros((int(use.sum()), depth), U64) for _ in range(2))
-    whole = low.copy()
-    for k in range(depth * per):
-        here = coded[at[use] + k]
+    place = at[use]
+    coded = np.concatenate([code.astype(U64) + U64(1), np.zeros(max(window, per) + per, U64)])
+    packed = np.zeros(len(code), U64)
+    for k in range(per):
+        packed |= coded[k : k + len(code)] << U64(bits * (per - 1 - k))
+    low, high = (np.zeros((len(place), min(-(-window // per), depth)), U64) for _ in range(2))
+    for k in range(low.shape[1] * per):
+        within = k < need[use]
+        here = coded[np.minimum(place + k, len(coded) - 1)]
         shift = U64(bits * (per - 1 - k % per))
-        whole[:, k // per] |= np.where(k < left[use], here, U64(0)) << shift
-        low[:, k // per] |= np.where(k < need[use], here, U64(0)) << shift
-        high[:, k // per] |= np.where(k < need[use], here, U64((1 << bits) - 1)) << shift
+        low[:, k // per] |= np.where(within, here, U64(0)) << shift
+        high[:, k // per] |= np.where(within, here, U64((1 << bits) - 1)) << shift
     return {
-        "vocabulary": vocabulary, "bits": bits, "per": per, "depth": depth, "whole": whole, "low": low, "high": high, "left": left[use],
-        "need": need[use], "item": doc[use], "names": [i for i, _ in items], "shortest": int(need.min(initial=window)),
+        "vocabulary": vocabulary, "bits": bits, "per": per, "depth": depth, "packed": packed, "place": place, "low": low, "high": high,
+        "left": left[use], "need": need[use], "item": doc[use], "names": [i for i, _ in items], "shortest": int(need.min(initial=window)),
     }
 
 
+class Suffixes:
+    """Column d of the packed words of each whole test suffix, read from the words of the items; zero after an item's end."""
+
+    def __init__(self, tests: dict):
+        per, bits = tests["per"], tests["bits"]
+        self.per, self.packed, self.place, self.left = per, tests["packed"], tests["place"], tests["left"]
+        self.depth = tests["depth"]
+        self.keep = np.array([((1 << bits * n) - 1) << bits * (per - n) for n in range(per + 1)], U64)
+
+    def __len__(self) -> int:
+        return len(self.place)
+
+    def at(self, rows: np.ndarray, d: int) -> np.ndarray:
+        there = np.minimum(self.place[rows] + d * self.per, len(self.packed) - 1)
+        return self.packed[there] & self.keep[np.clip(self.left[rows] - d * self.per, 0, self.per)]
+
+
+class Windows:
+    """Column d of dense rows of packed words, as ``Suffixes`` gives it."""
+
+    def __init__(self, rows: np.ndarray):
+        self.rows, self.depth = rows, rows.shape[1]
+
+    def __len__(self) -> int:
+        return len(self.rows)
+
+    def at(self, rows: np.ndarray, d: int) -> np.ndarray:
+        return self.rows[rows, d]
+
+
 class Shard:
     """Suffix array of the texts of one block, down to the length of the longest test item."""
 
@@ -118,15 +160,15 @@ class Shard:
             new[tied] = np.concatenate([[True], (deeper[1:] != deeper[:-1]) | (of[1:] != of[:-1])])
         return order
 
-    def bound(self, queries: np.ndarray, upper: bool) -> np.ndarray:
+    def bound(self, queries: Suffixes | Windows, upper: bool) -> np.ndarray:
         """Number of suffixes below each query (at or below, if ``upper``), by binary search."""
         low, high = np.zeros(len(queries), np.int64), np.full(len(queries), len(self.suffix), np.int64)
         open_ = np.flatnonzero(low < high)
         while len(open_):
             mid = (low[open_] + high[open_]) // 2
             at, before, tied = self.suffix[mid], np.full(len(open_), upper), np.arange(len(open_))
-            for d in range(queries.shape[1]):
-                have, want = self.packed[at[tied] + d * self.per], queries[open_[tied], d]
+            for d in range(queries.depth):
+                have, want = self.packed[at[tied] + d * self.per], queries.at(open_[tied], d)
                 before[tied] = (have < want) | ((have == want) & upper)
                 tied = tied[have == want]
                 if not len(tied):
@@ -136,14 +178,14 @@ class Shard:
             open_ = open_[low[open_] < high[open_]]
         return low
 
-    def longest(self, queries: np.ndarray, length: np.ndarray, bits: int) -> np.ndarray:
+    def longest(self, queries: Suffixes, length: np.ndarray, bits: int) -> np.ndarray:
         """Words of the longest verbatim match of each test suffix: the better of its two neighbours in the array."""
         at, best = self.bound(queries, False), np.zeros(len(queries), np.int64)
         for near in (at - 1, at):
             some = np.flatnonzero((near >= 0) & (near < len(self.suffix)))
             place, same, going = self.suffix[near[some]], np.zeros(len(some), np.int64), np.arange(len(some))
-            for d in range(queries.shape[1]):
-                differ = self.packed[place[going] + d * self.per] ^ queries[some[going], d]
+            for d in range(queries.depth):
+                differ = self.packed[place[going] + d * self.per] ^ queries.at(some[going], d)
                 for k in range(self.per):
                     going_on = (differ >> U64(bits * (self.per - 1 - k))) == 0
                     same[going[going_on]] += 1
@@ -161,9 +203,9 @@ def _mark(words: Words, tests: dict) -> tuple[list, list, list]:
     shard = Shard(words, tests)
     if not len(shard.suffix) or not len(tests["need"]):
         return hits, items, longest
-    match = shard.longest(tests["whole"], tests["left"], tests["bits"])
+    match = shard.longest(Suffixes(tests), tests["left"], tests["bits"])
     found = np.flatnonzero(match >= tests["need"])
-    first, past = shard.bound(tests["low"][found], False), shard.bound(tests["high"][found], True)
+    first, past = shard.bound(Windows(tests["low"][found]), False), shard.bound(Windows(tests["high"][found]), True)
     places = shard.suffix[ragged(first, past - first)]
     which = np.repeat(found, past - first)
     covered = merged_cover(places, places + tests["need"][which], len(shard.run))[shard.place]
@@ -207,7 +249,7 @@ def match_items(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_b
     asked = items.select(F.col("item_id").cast("string"), F.coalesce("text", F.lit("")))
     own = [f for f in docs.schema.fields]
     out = docs
-    for number, block in enumerate(item_blocks(asked, block_bytes)):
+    for number, block in enumerate(item_blocks(asked, block_bytes, window)):
         shared = spark.sparkContext.broadcast(test_suffixes(block, window))
 
         def run(batches: Iterable[pa.RecordBatch], shared=shared, earlier=number > 0) -> Iterator[pa.RecordBatch]:

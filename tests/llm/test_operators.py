@@ -4,6 +4,8 @@ import hashlib
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 pytest.importorskip("public_tokenizers")
@@ -12,6 +14,7 @@ import sentencepiece  # noqa: E402
 import tiktoken  # noqa: E402
 
 from caseflow.llm import bpe, decontaminate, fingerprint, langid, neardup, pages, pii, secrets, substring, tokencount  # noqa: E402
+from caseflow.llm.shared import Words  # noqa: E402
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, hits string, `left` int"
 SPACE = "[^\x20\x09-\x0d]+"
@@ -296,6 +299,28 @@ def plain_hits(rows, items):
     return sorted(out, key=repr)
 
 
+def test_decontaminate_one_very_long_item():
+    rnd = random.Random(4)
+    words = [f"w{rnd.randrange(3000)}" for _ in range(20000)]
+    short = [f"s{i}" for i in range(12)]
+    items = [("long", " ".join(words)), ("short", " ".join(short)), ("two", "only two")]
+    tests = decontaminate.test_suffixes(items, 10)
+    built = sum(x.nbytes for x in tests.values() if isinstance(x, np.ndarray))
+    assert built <= 20014 * decontaminate.word_bytes(decontaminate.BLOCK_BYTES, 10)
+    texts = [" ".join(["x", *words[100:5000], "y"]), " ".join(words[:9]), " ".join(["z", *short[1:], *words[-15:]]), "not only two"]
+    hits, names, longest = decontaminate._mark(Words(pa.chunked_array([pa.array(texts)]), decontaminate.WORD_BYTES, lower=True), tests)
+    assert hits == [[{"start": 1, "stop": 4901}], [], [{"start": 1, "stop": 27}], [{"start": 1, "stop": 3}]]
+    assert [sorted(set(x)) for x in names] == [["long"], [], ["long", "short"], ["two"]] and longest == [4900, 0, 15, 2]
+
+
+def test_decontaminate_blocks_bound_the_arrays(spark):
+    items = spark.createDataFrame([(str(i), " ".join(f"w{i}x{j}" for j in range(50))) for i in range(40)], "item_id string, text string")
+    blocks = list(decontaminate.item_blocks(items, 1 << 16))
+    assert sum(map(len, blocks)) == 40
+    for block in blocks:
+        assert sum(x.nbytes for x in decontaminate.test_suffixes(block, 10).values() if isinstance(x, np.ndarray)) <= 1 << 16
+
+
 @pytest.mark.parametrize("block_bytes", [decontaminate.BLOCK_BYTES, 300])
 def test_decontaminate(spark, docs, none, block_bytes):
     texts = random_texts(11, 60, 40, 150)
