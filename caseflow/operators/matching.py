@@ -32,6 +32,11 @@ def fact_places(facts: DataFrame) -> DataFrame:
     return facts.groupBy("entity_key", "date_str").agg(F.min("fact_id").alias("pos"), F.max("fact_id").alias("last"))
 
 
+def fact_rows(facts: DataFrame) -> DataFrame:
+    """(fact_id, fact): one row per id, the least fact where rows share one, so that repeated rows multiply nothing."""
+    return facts.groupBy("fact_id").agg(F.min(F.struct(*FACT_COLUMNS)).alias("fact"))
+
+
 def fact_lookup(facts: DataFrame, tiers: tuple[str, ...] = TIERS) -> DataFrame:
     """(lookup, pos): the place of the first fact under every key that the tiers ask for."""
     places = fact_places(facts)
@@ -42,7 +47,7 @@ def fact_lookup(facts: DataFrame, tiers: tuple[str, ...] = TIERS) -> DataFrame:
     if "key_only" in tiers:
         keys.append(_key("k", F.col("entity_key")))
     if "partial" in tiers:
-        routes = facts.select("fact_id", "origin", "dest")
+        routes = fact_rows(facts).select("fact_id", "fact.origin", "fact.dest")
         places = places.join(routes, F.col("fact_id") == F.col("last"))
         keys += [
             F.when(o.isNotNull() & d.isNotNull(), _key("od", o, d)),
@@ -57,7 +62,8 @@ def fact_lookup(facts: DataFrame, tiers: tuple[str, ...] = TIERS) -> DataFrame:
 def with_facts(placed: DataFrame, facts: DataFrame) -> DataFrame:
     """``placed`` with the fact that counts at its ``pos``."""
     last = fact_places(facts).select("pos", "last")
-    rows = facts.select("fact_id", F.struct(*FACT_COLUMNS).alias("fact"))
+    last = last.groupBy("pos").agg(F.max("last").alias("last"))  # places share a position where ids are not unique
+    rows = fact_rows(facts)
     return placed.join(last, "pos").join(rows, F.col("last") == F.col("fact_id")).drop("pos", "last", "fact_id")
 
 
@@ -112,8 +118,8 @@ def sufficient() -> Column:
 
 def prepared(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The lookup and the facts by place as written tables, for many batches of claims against the same facts."""
-    places = fact_places(facts)
-    rows = facts.select("fact_id", F.struct(*FACT_COLUMNS).alias("fact"))
+    places = fact_places(facts).groupBy("pos").agg(F.max("last").alias("last"))
+    rows = fact_rows(facts)
     return cut_lineage(fact_lookup(facts)), cut_lineage(places.join(rows, F.col("fact_id") == F.col("last")).select("pos", "fact"))
 
 

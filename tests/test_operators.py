@@ -122,6 +122,16 @@ def test_match_equals_nested_loops(spark):
     assert got == want
 
 
+def test_repeated_fact_ids_do_not_multiply_claims(spark):
+    facts = [(1, "AB", "1", "ORD", "SEA"), (1, "AB", "1", "ORD", "SEA"), (1, "CD", "2", "ORD", "SEA"), (2, "EF", "3", "LAX", "DEN")]
+    cols = "fact_id bigint, carrier string, fl_num string, origin string, dest string"
+    more = ["date '2020-01-02' as flight_date", "'0' as dep_delay", "'0' as arr_delay", "'0' as cancelled", "cast(null as string) as cancellation_code"]
+    fdf = shaping.derive_fact_flags(spark.createDataFrame(facts, cols).selectExpr("*", *more))
+    cdf = spark.createDataFrame([(1, "AB1", "2020-01-02", None, None), (2, "EF3", None, None, None)], "claim_id int, flight_number string, flight_date string, origin string, destination string")
+    for given in (fdf, matching.prepared(fdf)):
+        assert sorted(r["claim_id"] for r in matching.match_claims(cdf, given).collect()) == [1, 2]
+
+
 def _people(rnd, n):
     firsts, out = ["Maria", "John", "Ana"], []
     for i in range(n):
