@@ -48,10 +48,17 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements whose content is not markup.
 RAW = frozenset("script style title textarea xmp iframe noembed noframes".split())
 #: Elements whose text never counts.
-SILENT = frozenset("head noscript template svg math object video audio canvas button select datalist map".split())
+SILENT = frozenset("head noscript template svg annotation annotation-xml object video audio canvas button select datalist map".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img input".split()
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img input "
+    "math maction menclose merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub "
+    "msubsup msup mtable mtd mtext mtr munder munderover none semantics annotation annotation-xml".split()
 )
+#: What a head may hold; anything else ends it.
+IN_HEAD = frozenset("html head base basefont bgsound link meta title style script noscript template noframes".split())
+#: Elements in which "/>" closes.
+FOREIGN = frozenset({"svg", "math"})
+UNQUOTED_END = re.compile(r"""=\s*[^\s"'>]*/$""")
 #: Start tags that close an open element of these names, up to the named limits.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
@@ -68,7 +75,10 @@ GROUPS = {
 NAMES = list(GROUPS)
 GROUP_OF = {t: i for i, words in enumerate(GROUPS.values()) for t in words.split()}
 MAIN, HEADER = NAMES.index("main"), NAMES.index("header")
+#: Elements that are refused by name even where they hold all marked text.
+ASIDE = frozenset({"nav", "aside", "footer"})
 REFUSED = [i for i, n in enumerate(NAMES) if n not in ("main", "header")]
+KEPT_AROUND = ~sum(1 << i for i in [*REFUSED, HEADER])
 WORD = re.compile(r"[a-z]+")
 N_OWN = 21
 
@@ -107,6 +117,8 @@ class Page:
 
         def words(a: int, b: int) -> None:
             nonlocal linked
+            if a < b and stack[-1][0] == "head" and source[a:b].strip():
+                pop()
             if a < b and not silent:
                 piece = source[a:b]
                 piece = html.unescape(piece) if "&" in piece else piece
@@ -132,10 +144,20 @@ class Page:
                         pop()
                     pop()
                 continue
+            if name == "head" and any(n == "body" for n, _ in stack):
+                continue
+            if name == "body" and any(n == "head" for n, _ in stack):
+                while stack[-1][0] != "head":
+                    pop()
+            if stack[-1][0] == "head" and name not in IN_HEAD:
+                pop()
             if name == "br":
                 run.append(" ")
             if name not in INLINE:
                 flush()
+            given = tag[2] or tag[4] or ""
+            if given.endswith("/") and not UNQUOTED_END.search(given) and (name in FOREIGN or any(n in FOREIGN for n, _ in stack)):
+                continue
             if name in RAW:
                 close = re.compile(rf"</{re.escape(name)}[\s/>]", re.I).search(source, at)
                 at = end if not close else max(source.find(">", close.start()) + 1, close.end())
@@ -148,7 +170,7 @@ class Page:
                 self.kids[block] += 1
                 self.parent.append(block)
                 self.tag.append(name)
-                self.groups.append(_groups(name, tag[2] or tag[4] or ""))
+                self.groups.append(_groups(name, given))
                 self.depth.append(self.depth[block] + 1)
                 self.kids.append(0)
                 block = len(self.parent) - 1
@@ -156,6 +178,18 @@ class Page:
             links += name == "a"
             silent += name in SILENT
         flush()
+        self._clear_around()
+
+    def _clear_around(self) -> None:
+        """Refused kinds go from html, body and the elements that hold every element marked as article."""
+        own = [int(g >> MAIN & 1 and t not in ("html", "body")) for g, t in zip(self.groups, self.tag)]
+        held = list(own)
+        for i in range(len(held) - 1, 0, -1):
+            held[self.parent[i]] += held[i]
+        for i, t in enumerate(self.tag):
+            around = held[i] == held[0] and held[i] > own[i] and t not in ASIDE
+            if around or t in ("html", "body"):
+                self.groups[i] &= KEPT_AROUND
 
     @staticmethod
     def _close(stack: list, name: str, pop) -> None:

@@ -388,3 +388,18 @@ def test_near_duplicates(spark, docs, none):
     kept = neardup.drop_near_duplicates(df)
     assert kept.columns == df.columns
     assert {r["doc_id"] for r in kept.collect()} == {d for d, _, c in want if d == c}
+
+
+def test_pages_open_head_foreign_elements_and_tokens_around():
+    assert pages.Page("<html><head><title>t</title><meta a=b><body><p>one two</p></body></html>").text == ["one two"]
+    assert pages.Page("<head><noscript><body><p>one").text == ["one"]
+    assert pages.Page("<head><link href=x><div>one</div>").text == ["one"]
+    assert pages.Page("<head><title>t</title>plain").text == ["plain"]
+    assert pages.Page('<div><svg class="i"/>one</div><p><svg><path d="m"/><text>no</text></svg>two</p>').text == ["one", "two"]
+    assert pages.Page("<article><p>for <math><mi>x</mi><mspace/><mo>=</mo><mn>1</mn></math> holds</p></article>").text == ["for x=1 holds"]
+    around = "<body class='has-sidebar'><form id=f><nav>menu</nav><article>one</article><div class=comments><p>two</p></div></form></body>"
+    page = pages.Page(around)
+    labels = dict(zip(page.text, map(pages.markup_label, page.features())))
+    assert labels == {"menu": 0.0, "one": 1.0, "two": 0.0}
+    aside = pages.Page("<body><aside><article>card</article></aside></body>")
+    assert [pages.markup_label(x) for x in aside.features()] == [0.0]
