@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from caseflow.llm import bpe, decontaminate, fingerprint, langid, neardup, pages, pii, secrets, substring, tokencount
+from caseflow.llm import bpe, decontaminate, divergence, fingerprint, langid, neardup, pages, pii, secrets, substring, tokencount
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": bpe.op1_bpe,
@@ -19,5 +19,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": pii.op8_pii,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_neardup": neardup.op10_neardup,
+    "op11_divergence": divergence.op11_divergence,
+}
+ORACLES: dict[str, str] = {
+    "op2_secrets": secrets.SQL,
+    "op4_substring": substring.SQL,
+    "op9_decontaminate": decontaminate.SQL,
+    "op10_neardup": neardup.SQL,
+    "op11_divergence": divergence.SQL,
 }
-ORACLES: dict[str, str] = {"op2_secrets": secrets.SQL, "op4_substring": substring.SQL, "op9_decontaminate": decontaminate.SQL, "op10_neardup": neardup.SQL}
