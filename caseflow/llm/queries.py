@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from caseflow.llm import bpe, decontaminate, divergence, fingerprint, langid, neardup, pages, pii, secrets, substring, tokencount
+from caseflow.llm import bpe, decontaminate, divergence, fingerprint, langid, neardup, packing, pages, pii, secrets, substring, tokencount
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": bpe.op1_bpe,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_neardup": neardup.op10_neardup,
     "op11_divergence": divergence.op11_divergence,
+    "op13_packing": packing.op13_packing,
 }
 ORACLES: dict[str, str] = {
     "op2_secrets": secrets.SQL,

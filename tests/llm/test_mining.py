@@ -2,9 +2,15 @@
 
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
-from caseflow.llm import divergence
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
+import tokenizers
+
+from caseflow.llm import divergence, packing
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, term string, item string, value bigint, `left` int"
 ODD = [None, "", " ", "\n\t ", "Wort", "Zwei Wörter-zwei", "a" * 5000, "12345 678", "né\x1cà b\xa0c", "日本語 テキスト 🤣🤣", "x" * 300_000 + " end", "the The THE of 1the"]
@@ -82,3 +88,65 @@ def test_pair_corrections_leave_the_task_in_parts(spark):
         for r in divergence.pair_corrections(df, held).collect():
             got[r["source"], r["item"]] += r["value"]
         assert got == want
+
+
+def test_packing(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = tokenizers.Tokenizer.from_file(path)
+    odd = ["<|endoftext|> x <|endoftext|>", "\xa0\xa0 a\x85b", " " * 5000 + "z", "\n" * 2000, "l'été c'est «ça» don't 12½ ", "x\x1c\x1d y", "word " * 9000, "ab1" * 4000]
+    df = corpus(spark).unionByName(spark.createDataFrame([(500 + i, t, "en", "s", "x", "x", 1, 1) for i, t in enumerate(odd)], SCHEMA))
+    capacity = 128
+    want = Counter()
+    for r in df.collect():
+        ids = [*library.encode(r["text"] or "", add_special_tokens=False).ids, 0]
+        first = len(ids) % capacity or capacity
+        starts = [0, *range(first, len(ids), capacity)]
+        for n, (a, b) in enumerate(zip(starts, [*starts[1:], len(ids)])):
+            want[r["doc_id"], n, a, b - a, zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids[a:b]))] += 1
+    total = sum(k[3] * n for k, n in want.items())
+    for settings in ({}, {"island": 40, "population": 3, "generations": 3}):
+        rows = packing.pack_documents(df, path, public_tokenizers.PATTERN, capacity, **settings).collect()
+        assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows) == want
+        sequences = defaultdict(list)
+        for r in rows:
+            sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+        for found in sequences.values():
+            at = 0
+            for offset, length in sorted(found):
+                assert offset == at
+                at += length
+            assert at <= capacity
+        assert len(sequences) <= -(-total // capacity) + 1
+    assert packing.pack_documents(df.limit(0), path, public_tokenizers.PATTERN).count() == 0
+
+
+def test_texts_that_go_to_the_library():
+    texts = ["plain é", "\xa0", "日", " " * 999, " " * 1000, "a" + " " * 600, " " * 600 + "b", "", None, "c"]
+    assert packing.Encoder.plain_texts(pa.chunked_array([texts])).tolist() == [True, False, False, False, False, False, False, True, True, True]
+    assert packing.Encoder.plain_texts(pa.chunked_array([["x", " " * 999, "y", "z" + "\n" * 1000]])).tolist() == [True, True, True, False]
+
+
+def test_island_operators():
+    rng = np.random.default_rng(0)
+    lengths = rng.integers(1, 100, 300)
+    island = packing.Island(lengths, 100, 1)
+    a, b = island.fresh(0), island.fresh(0.5)
+    donated = island.well_filled(b)
+    child = island.inject(a.copy(), donated)
+    for bins in (a, b, child, island.mutate(child)):
+        assert np.bincount(bins, lengths).max() <= 100
+        assert len(bins) == 300
+    for pieces in donated:  # injected bins are whole and have no other piece
+        assert set(np.flatnonzero(child == child[pieces[0]])) >= set(pieces)
+    patterns = [sorted(lengths[m].tolist()) for m in donated]
+    assert [sorted(lengths[m].tolist()) for m in island.filled_from(patterns)] == patterns
+    assert island.filled_from([[100]]) == []
+    best = island.evolve([], patterns, 4, 10)[0]
+    assert island.worth(best) <= island.worth(a)
+
+
+def test_bins_of_large_pieces(spark):
+    """No two pieces fit together: every piece stays alone, however often it is dealt."""
+    df = spark.range(300).selectExpr("id as unit", "60 as length")
+    rows = packing.pack(df, 100, island=50).collect()
+    assert len({r["sequence_id"] for r in rows}) == 300 and all(r["offset"] == 0 for r in rows)
