@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from caseflow.llm import bpe, decontaminate, divergence, fingerprint, langid, neardup, packing, pages, pii, secrets, substring, tokencount
+from caseflow.llm import (
+    bpe, collocations, decontaminate, divergence, fingerprint, langid, neardup, packing, pages, pii, secrets, substring, tokencount,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": bpe.op1_bpe,
@@ -20,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_neardup": neardup.op10_neardup,
     "op11_divergence": divergence.op11_divergence,
+    "op12_collocations": collocations.op12_collocations,
     "op13_packing": packing.op13_packing,
 }
 ORACLES: dict[str, str] = {
@@ -28,4 +31,5 @@ ORACLES: dict[str, str] = {
     "op9_decontaminate": decontaminate.SQL,
     "op10_neardup": neardup.SQL,
     "op11_divergence": divergence.SQL,
+    "op12_collocations": collocations.SQL,
 }

@@ -10,7 +10,7 @@ import public_tokenizers
 import pyarrow as pa
 import tokenizers
 
-from caseflow.llm import divergence, packing
+from caseflow.llm import collocations, divergence, packing
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, term string, item string, value bigint, `left` int"
 ODD = [None, "", " ", "\n\t ", "Wort", "Zwei Wörter-zwei", "a" * 5000, "12345 678", "né\x1cà b\xa0c", "日本語 テキスト 🤣🤣", "x" * 300_000 + " end", "the The THE of 1the"]
@@ -150,3 +150,52 @@ def test_bins_of_large_pieces(spark):
     df = spark.range(300).selectExpr("id as unit", "60 as length")
     rows = packing.pack(df, 100, island=50).collect()
     assert len({r["sequence_id"] for r in rows}) == 300 and all(r["offset"] == 0 for r in rows)
+
+
+def plain_collocations(rows, min_count, most_words, top):
+    f, n = defaultdict(Counter), Counter()
+    for text, lang in rows:
+        for piece in re.split("[.,;:!?\x0a-\x0d]", lowered(text)):
+            words = re.findall("[^\x20\x09]+", piece)
+            n[lang] += len(words)
+            for k in range(1, most_words + 1):
+                f[lang].update(tuple(words[i : i + k]) for i in range(len(words) - k + 1))
+    out = []
+    for lang, count in f.items():
+        kept = [p for p, c in count.items() if len(p) > 1 and c >= min_count]
+        inside = {q[i:j] for q in kept for i in range(len(q)) for j in range(i + 2, len(q) + 1) if j - i < len(q) and count[q] >= count[q[i:j]]}
+        scored = []
+        for p in kept:
+            if p in inside:
+                continue
+            score, k = min((1000 * count[p] * n[lang] // (count[p[:k]] * count[p[k:]]), k) for k in range(1, len(p)))
+            scored.append((-score, -count[p], " ".join(p).encode(), count[p[:k]], count[p[k:]]))
+        out += [(lang, i + 1, p.decode(), -a, left, right, n[lang], -s) for i, (s, a, p, left, right) in enumerate(sorted(scored)[:top])]
+    return sorted(out)
+
+
+def test_collocations(spark):
+    df = corpus(spark, 8, 220)
+    rows = [(r["text"] or "", r["lang"] or "und") for r in df.collect()]
+    for min_count, top, block, phrases in ((8, 2000, 8 << 20, 2_000_000), (3, 15, 3000, 200), (100, 10, 1, 5)):
+        want = plain_collocations(rows, min_count, 5, top)
+        got = collocations.collocations(df.repartition(5), min_count, 5, top, block, phrases)
+        assert got.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
+        assert sorted(map(tuple, got.collect())) == want
+    assert collocations.collocations(df.limit(0)).count() == 0
+
+
+def test_trie():
+    rng = np.random.default_rng(5)
+    for words in (3, 300, 70_000):
+        text = rng.integers(0, words + 1, 4000).astype(np.int32) if words < 1000 else np.concatenate([rng.integers(1, words + 1, 40)] * 30).astype(np.int32)
+        grams = {tuple(text[i : i + k].tolist()) for k in (2, 3, 4) for i in range(len(text) - k + 1) if (text[i : i + k] > 0).all()}
+        some = {g for i, g in enumerate(sorted(grams)) if i % 3}
+        some = {g[:k] for g in some for k in range(2, len(g) + 1)}
+        phrases = np.array([list(g) + [0] * (5 - len(g)) for g in sorted(some)], np.int32)
+        trie = collocations.Trie(phrases, words)
+        for k, (at, state) in enumerate(trie.walk(text, 5), 1):
+            found = {i for i in range(len(text) - k + 1) if tuple(text[i : i + k].tolist()) in some}
+            if k > 1:
+                assert set(at.tolist()) == found
+                assert all(tuple(phrases[n][:k].tolist()) == tuple(text[i : i + k].tolist()) for i, n in zip(at.tolist(), trie.number[state].tolist()))
