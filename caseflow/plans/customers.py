@@ -41,13 +41,6 @@ def token_key_sql(text: str) -> str:
     return f"array_to_string(list_sort(string_split(trim(regexp_replace(lower({text}), '[^a-z0-9_]+', ' ', 'g')), ' ')), ' ')"
 
 
-def keys_sql(text: str) -> str:
-    """Halves of each word with the initials of the other words."""
-    words = f"list_distinct(list_filter(string_split_regex(lower({text}), '[^a-z0-9]+'), lambda w: w <> ''))"
-    inner = "list_transform(case when len(ws) = 1 then [''] else [substr(o, 1, 1) for o in ws if o <> w] end, lambda i: ['f:' || substr(w, 1, 4) || '|' || i, 'l:' || right(w, 4) || '|' || i])"
-    return f"(select list_distinct(flatten(flatten([{inner} for w in ws]))) from (select {words} as ws))"
-
-
 # ---- cleaning and typing ----
 
 
@@ -247,21 +240,17 @@ def email_similarity(t):
     return t("crm").select("pos", sim.email_similarity(F.col("email"), other).alias("email_pct"))
 
 
-BLOCKS_SQL = f"""select p.pos as k, unnest(list_distinct(list_concat({keys_sql("p.name")},
-   list_filter([case when split_part(p.email, '@', 1) <> '' then 'e:' || lower(split_part(p.email, '@', 1)) end,
-                case when trim(p.company) <> '' then 'c:' || lower(trim(p.company)) || '|' || lower(substr(trim(p.name), 1, 2)) end], lambda x: x is not null)))) as block
-   from crm p"""
+# all pairs; the name alone must reach 60, since the other fields give 5,000 of the 8,000 points at most
 FUZZY_CTES = {
     "people_": "select name, email, company, min(pos) as pos from crm group by 1, 2, 3",
-    "blocks": BLOCKS_SQL.replace("from crm p", "from people_ p"),
     "bn": bits_sql("people_", "pos", "name"), "be": bits_sql("people_", "pos", "email"), "bc": bits_sql("people_", "pos", "company"),
-    "cand": "select distinct x.k as id_a, y.k as id_b from blocks x join blocks y on x.block = y.block and x.k < y.k",
+    "named": f"select * from (select na.k as id_a, nb.k as id_b, {pct_sql('na', 'nb')} as n from bn na join bn nb on na.k < nb.k) where n >= 60",
 }
 
 
-FUZZY_SQL = f"""select * from (select id_a, id_b, {pct_sql("na", "nb")} * 50 + case when ea.n > 0 and eb.n > 0 then {pct_sql("ea", "eb")} else 0 end * 30
+FUZZY_SQL = f"""select * from (select id_a, id_b, named.n * 50 + case when ea.n > 0 and eb.n > 0 then {pct_sql("ea", "eb")} else 0 end * 30
         + case when ca.n > 0 and cb.n > 0 then {pct_sql("ca", "cb")} else 0 end * 20 as score
-        from cand join bn na on na.k = id_a join bn nb on nb.k = id_b join be ea on ea.k = id_a join be eb on eb.k = id_b join bc ca on ca.k = id_a join bc cb on cb.k = id_b)
+        from named join be ea on ea.k = id_a join be eb on eb.k = id_b join bc ca on ca.k = id_a join bc cb on cb.k = id_b)
         where score >= 8000"""
 
 
@@ -332,10 +321,8 @@ RECONCILE_CTES = {
     "refs": "select distinct customer_reference as ref from payments where customer_reference not in (select customer_id from crm) and customer_reference <> ''",
     "names_": "select name, arg_min(customer_id, pos) as customer_id, min(pos) as pos from crm where trim(name) <> '' group by name",
     "br": bits_sql("refs", "ref", "ref"), "bn": bits_sql("names_", "name", "name"),
-    "wr": f"select ref, unnest({keys_sql('ref')}) as w from refs", "wn": f"select name, unnest({keys_sql('name')}) as w from names_",
-    "cand": "select distinct ref, name from wr join wn using (w)",
     "best_ref": f"""select ref, customer_id as matched_id, pct as match_pct from (select *, row_number() over (partition by ref order by pct desc, pos) as rn
-      from (select c.ref, n.customer_id, n.pos, {pct_sql("a", "b")} as pct from cand c join br a on a.k = c.ref join bn b on b.k = c.name join names_ n on n.name = c.name)
+      from (select a.k as ref, n.customer_id, n.pos, {pct_sql("a", "b")} as pct from br a cross join bn b join names_ n on n.name = b.k)
       where pct >= 80) where rn = 1""",
 }
 
@@ -370,18 +357,16 @@ def payment_rollup(t):
 
 
 UPSERT_SQL = f"""select ticket_name, ticket_email, pos as entity_pos, score from (select *, row_number() over (partition by ticket_name, ticket_email order by score desc, pos) as rn
-        from (select r.name as ticket_name, r.email as ticket_email, e.pos, {pct_sql("rn_", "en_")} * 60 + case when ee_.n > 0 then {pct_sql("re_", "ee_")} else 0 end * 40 as score
-          from cand c join recs r on r.k = c.rk join ents e on e.pos = c.ek join brn rn_ on rn_.k = c.rk join bre re_ on re_.k = c.rk
-          join ben en_ on en_.k = c.ek join bee ee_ on ee_.k = c.ek) where score >= 8000) where rn = 1"""
+        from (select r.name as ticket_name, r.email as ticket_email, ek as pos, c.n * 60 + case when ee_.n > 0 then {pct_sql("re_", "ee_")} else 0 end * 40 as score
+          from (select rk, ek, named.n from named) c join recs r on r.k = c.rk join bre re_ on re_.k = c.rk join bee ee_ on ee_.k = c.ek) where score >= 8000) where rn = 1"""
+# all pairs; the name must reach 67, since the e-mail gives 4,000 of the 8,000 points at most
 UPSERT_CTES = {
         "parsed": r"""select trim(case when led <> '' then led else bare end) as name, email, ticket_id, created, sentiment, revenue_impact from (select *, regexp_extract(customer, '^([A-Za-z\s]+)\s+(?:from|at|-)\s+', 1) as led,
           regexp_extract(customer, '^([A-Za-z\s]+)$', 1) as bare from tickets)""",
         "recs": "select *, row_number() over () as k from (select distinct name, email from parsed where name <> '' and email <> '')",
         "ents": "select name, email, min(pos) as pos from crm group by 1, 2",
-        "rb": f"""select k, unnest(list_concat({keys_sql('name')}, list_filter(['e:' || lower(split_part(email, '@', 1))], lambda x: x <> 'e:'))) as b from recs""",
-        "eb": f"""select pos as k, unnest(list_concat({keys_sql('name')}, list_filter(['e:' || lower(split_part(email, '@', 1))], lambda x: x <> 'e:'))) as b from ents""",
-        "cand": "select distinct rb.k as rk, eb.k as ek from rb join eb using (b)",
         "brn": bits_sql("recs", "k", "name"), "bre": bits_sql("recs", "k", "email"), "ben": bits_sql("ents", "pos", "name"), "bee": bits_sql("ents", "pos", "email"),
+        "named": f"select * from (select a.k as rk, b.k as ek, {pct_sql('a', 'b')} as n from brn a cross join ben b) where n >= 67",
     }
 
 
@@ -399,10 +384,10 @@ INSERT_CTES = {
     "placed": r"""select t.*, m.entity_pos, sha256(t.name || chr(31) || t.email) as rec_id from parsed t
       left join matched m on m.ticket_name = t.name and m.ticket_email = t.email where t.name <> '' and t.email <> ''""",
     "newp": "select distinct rec_id as k, name, email from placed where entity_pos is null",
-    "newb": f"""select k, unnest(list_concat({keys_sql('name')}, list_filter(['e:' || lower(split_part(email, '@', 1))], lambda x: x <> 'e:'))) as b from newp""",
     "nn": bits_sql("newp", "k", "name"), "ne": bits_sql("newp", "k", "email"),
-    "pairs": f"""select id_a, id_b from (select distinct x.k as id_a, y.k as id_b from newb x join newb y on x.b = y.b and x.k < y.k)
-      join nn na on na.k = id_a join nn nb on nb.k = id_b join ne ea on ea.k = id_a join ne eb on eb.k = id_b where {pct_sql("na", "nb")} * 60 + {pct_sql("ea", "eb")} * 40 >= 8000""",
+    "alike": f"select * from (select na.k as id_a, nb.k as id_b, {pct_sql('na', 'nb')} as n from nn na join nn nb on na.k < nb.k) where n >= 67",
+    "pairs": f"""select id_a, id_b from (select id_a, id_b, alike.n as points from alike) join ne ea on ea.k = id_a join ne eb on eb.k = id_b
+      where points * 60 + {pct_sql("ea", "eb")} * 40 >= 8000""",
     **{k: CLUSTER_CTES[k] for k in ("later", "anchors", "taken")},
     "updates": """select entity_pos as pos, count(*) as support_issues, arg_max(sentiment, {'c': created, 't': ticket_id}) as sentiment,
         arg_max(revenue_impact, {'c': created, 't': ticket_id}) as revenue_impact from placed where entity_pos is not null group by 1""",
@@ -434,17 +419,15 @@ def xref_matches(t):
 
 
 XREF_CTES = {
-    "pa": f"select pid as k, lower(trim(id)) as id, lower(trim(email)) as email, {token_key_sql('name')} as name, {keys_sql('name')} as words from customers_a",
-    "rb": f"select rid as k, lower(trim(id)) as id, lower(trim(email)) as email, {token_key_sql('name')} as name, {keys_sql('name')} as words from customers_b",
+    "pa": f"select pid as k, lower(trim(id)) as id, lower(trim(email)) as email, {token_key_sql('name')} as name from customers_a",
+    "rb": f"select rid as k, lower(trim(id)) as id, lower(trim(email)) as email, {token_key_sql('name')} as name from customers_b",
     "pe": bits_sql("pa", "k", "email"), "re": bits_sql("rb", "k", "email"), "pn": bits_sql("pa", "k", "name"), "rn": bits_sql("rb", "k", "name"),
-    "keys_a": "select k, 'i' || id as b from pa where id <> '' union all select k, 'e' || split_part(email, '@', 1) from pa where split_part(email, '@', 1) <> '' union all select k, 'n' || unnest(words) from pa",
-    "keys_b": "select k, 'i' || id as b from rb where id <> '' union all select k, 'e' || split_part(email, '@', 1) from rb where split_part(email, '@', 1) <> '' union all select k, 'n' || unnest(words) from rb",
-    "cand": "select distinct x.k as pid, y.k as rid from keys_a x join keys_b y using (b)",
-    "scored": f"""select pid, rid, case when a.id <> '' and b.id <> '' then case when a.id = b.id then 100 else 0 end else 0 end
+    # all pairs
+    "scored": f"""select a.k as pid, b.k as rid, case when a.id <> '' and b.id <> '' then case when a.id = b.id then 100 else 0 end else 0 end
         + case when a.email <> '' and b.email <> '' then least(100, {pct_sql("ea", "eb")} + case when contains(a.email, '@') and contains(b.email, '@') and split_part(a.email, '@', 2) = split_part(b.email, '@', 2) then 20 else 0 end) else 0 end
         + case when a.name <> '' and b.name <> '' then {pct_sql("na", "nb")} else 0 end as score_sum,
         (a.id <> '' and b.id <> '')::int + (a.email <> '' and b.email <> '')::int + (a.name <> '' and b.name <> '')::int as valid_fields
-      from cand join pa a on a.k = pid join rb b on b.k = rid join pe ea on ea.k = pid join re eb on eb.k = rid join pn na on na.k = pid join rn nb on nb.k = rid""",
+      from pa a cross join rb b join pe ea on ea.k = a.k join re eb on eb.k = b.k join pn na on na.k = a.k join rn nb on nb.k = b.k""",
     "matches": """select pid, rid, score_sum, valid_fields, score_sum / valid_fields / 100 as confidence from (select *, row_number() over (partition by pid order by score_sum / valid_fields desc, rid) as rn
       from scored where valid_fields > 0 and score_sum > 60 * valid_fields) where rn = 1""",
 }

@@ -146,31 +146,46 @@ def _people(rnd, n):
     return out
 
 
-@pytest.mark.parametrize("hot_block", [2, 1000])
-def test_fuzzy_pairs_equal_brute_force_inside_blocks(spark, hot_block):
-    rows = _people(random.Random(5), 120)
-    df = spark.createDataFrame(rows, "pos int, name string, email string, company string")
-    got = {(r["id_a"], r["id_b"]): r["score"] for r in resolve.fuzzy_pairs(df, "pos", 80, hot_block).collect()}
-    keyed = resolve.distinct_people(df, "pos").select("id", "name", "email", "company", candidates.name_blocks(F.col("name"), F.col("email"), F.col("company")).alias("b")).collect()
-    want = {}
-    for a, b in combinations(sorted(keyed, key=lambda r: r["id"]), 2):
-        if set(a["b"]) & set(b["b"]):
-            s = 50 * plain_ratio(a["name"], b["name"])
-            s += 30 * plain_ratio(a["email"], b["email"]) if a["email"] and b["email"] else 0
-            s += 20 * plain_ratio(a["company"], b["company"]) if a["company"] and b["company"] else 0
-            if s >= 8000:
-                want[(a["id"], b["id"])] = s
-    assert got == want and want
-
-
-KATE = [(900, "Kate Miller", "kate.miller@x.com", "Acme"), (901, "Cate Miller", "cate.miller@x.com", "Beta"), (902, "Cate Miller", "cate.miller@x.com", "Acme"),
-        (903, "", "no.name@x.com", "Acme"), (904, "", "no.nama@x.com", "Beta"), (905, "", "", "Acme")]
+@pytest.mark.parametrize("hot_block", [3, 1000])
+def test_scored_pairs_equal_all_pairs(spark, hot_block):
+    """Short, empty, long and many-lettered texts, one table and two, at low and high bounds."""
+    rnd = random.Random(hot_block)
+    texts = ["", "a", "b", "ab", "ba", "aaa", "aaaa", "Ünïcode ß", "ünïcode s", "日本語テキスト", "日本語のテキスト"]
+    texts += ["".join(rnd.choice("abcde ") for _ in range(rnd.randint(1, 18))) for _ in range(90)]
+    base = "".join(rnd.choice("abcdefghij ") for _ in range(90))
+    texts += [base[: rnd.randint(60, 90)] + "".join(rnd.choice("xyz") for _ in range(rnd.randint(0, 20))) for _ in range(12)]
+    texts = sorted(set(texts))
+    rows = [(i, t, str(len(t) % 2)) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "id bigint, text string, parity string")
+    other = spark.createDataFrame([(100 + i, t[::-1] if i % 3 else t, p) for i, t, p in rows], "id bigint, text string, parity string")
+    keep = lambda found: found["text"]
+    for bound in (35, 60, 75, 100):
+        pct = {(i, j): _ratio(a, b) for (i, a, _), (j, b, _) in combinations(rows, 2)}
+        found = candidates.scored_pairs(df, None, "text", bound, ["text"], keep, hot_block=hot_block).collect()
+        assert sorted(map(tuple, found)) == sorted((i, j, n) for (i, j), n in pct.items() if n >= bound)
+        found = candidates.scored_pairs(df, other, "text", bound, ["text"], keep, ("parity",), "parity", hot_block).collect()
+        want = [(i, j, _ratio(a, b)) for i, a, p in rows for j, b, q in map(tuple, other.collect()) if p == q]
+        assert sorted(map(tuple, found)) == sorted(w for w in want if w[2] >= bound)
+    assert candidates.scored_pairs(df.limit(0), other, "text", 80, ["text"], keep).count() == 0
+    within = candidates.scored_pairs(df.limit(9), other, None, 1, ["text"], lambda found: found["text_filled"].astype(int), within="parity", hot_block=hot_block)
+    left, right = df.limit(9).collect(), other.collect()
+    assert sorted(map(tuple, within.collect())) == sorted((a["id"], b["id"], int(bool(a["text"] and b["text"]))) for a in left for b in right if a["parity"] == b["parity"])
+
+
+def test_either_bound_loses_no_sum():
+    for threshold, first, second, rest in ((8000, 50, 30, 20), (8000, 60, 40, 0), (9000, 50, 30, 20), (6000, 10, 90, 0), (3000, 50, 30, 20)):
+        p, q = candidates.either_bound(threshold, first, second, rest)
+        assert all(x >= p or y >= q for x in range(101) for y in range(101) if first * x + second * y + 100 * rest >= threshold)
 
 
 def _ratio(a, b):
     return 100 if a == b else plain_ratio(a, b)
 
 
+KATE = [(900, "Kate Miller", "kate.miller@x.com", "Acme"), (901, "Cate Miller", "cate.miller@x.com", "Beta"), (902, "Cate Miller", "cate.miller@x.com", "Acme"),
+        (903, "", "no.name@x.com", "Acme"), (904, "", "no.nama@x.com", "Beta"), (905, "", "", "Acme")]
+
+
 @pytest.mark.parametrize("hot_block", [2, 1000])
 def test_fuzzy_pairs_equal_all_pairs(spark, hot_block):
     rows = _people(random.Random(7), 60) + KATE
