@@ -154,15 +154,11 @@ def case_breakdown(decisions: DataFrame, unmatched: DataFrame, key: str = "bts_c
     )
 
 
-def build_claims(decisions: DataFrame, claim_day: str, bucket: Column, order_by: list[str]) -> DataFrame:
-    """Nested claim per eligible case, numbered in the given order.
-
-    ``bucket`` is a coarse column that grows with ``order_by``: numbering adds up bucket sizes first, so no task
-    ever sorts all claims.
-    """
-    numbered = running_position(decisions.filter("refund_eligible"), [], bucket, order_by, "claim_no")
+def build_claims(decisions: DataFrame, claim_day: str, order_by: list[str]) -> DataFrame:
+    """Nested claim per eligible case, numbered in the given order from 0, with four digits or as many as it takes."""
+    numbered = running_position(decisions.filter("refund_eligible"), [], order_by, "claim_no")
     claim = F.struct(
-        F.concat(F.lit(f"RFC-{claim_day}-"), F.lpad((F.col("claim_no") - 1).cast("string"), 4, "0")).alias("claim_id"),
+        F.concat(F.lit(f"RFC-{claim_day}-"), F.format_string("%04d", F.col("claim_no") - 1)).alias("claim_id"),
         F.struct(F.coalesce("user", F.lit("Unknown")).alias("handle"), F.lit("direct_message").alias("contact_method")).alias("passenger"),
         F.struct(
             F.col("bts_carrier").alias("carrier"), F.col("bts_flight_num").alias("flight_number"), F.col("bts_date").alias("date"),

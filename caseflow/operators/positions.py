@@ -1,55 +1,74 @@
 """Row positions, running totals and top-share sums without sorting a whole group in one task.
 
-All helpers take a coarse ``bucket`` that never decreases along the wanted order. Buckets are aggregated first
-(map-side combined), their totals are accumulated over the small bucket table, and only rows inside one
-(key, bucket) are ordered. A key that holds a third of the data is spread over its buckets.
+Rows are dealt by ranges of (keys, order), whose borders Spark draws from a sample of the rows, so a key of any size
+lies in as many ranges as its share of the rows. The dealt rows are written once, with their place in the range. What
+lies before a range is one figure: only the first key of a range can have begun in an earlier one, so the totals that
+are carried forward are at most one row a range.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from caseflow.session import cut_lineage
 
-def _before(keys: list[str], order: str):
-    return Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+#: Bits of ``monotonically_increasing_id`` that count the rows within a partition.
+ROW_BITS = 33
 
 
-def running_position(df: DataFrame, keys: list[str], bucket: Column, order_by: list, into: str) -> DataFrame:
-    """1-based position of each row within its keys."""
-    staged = df.withColumn("__bucket", bucket)
-    sizes = staged.groupBy(*keys, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
-    offsets = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(_before(keys, "__bucket")), F.lit(0))).drop("__n")
-    inner = Window.partitionBy(*keys, "__bucket").orderBy(*order_by)
-    return (
-        staged.join(offsets, [*keys, "__bucket"])
-        .withColumn(into, F.row_number().over(inner) + F.col("__before"))
-        .drop("__bucket", "__before")
-    )
+def ordered_ranges(df: DataFrame, keys: list[str], order_by: list[str]) -> DataFrame:
+    """``df`` in ranges of (keys, order), with ``__part`` (the range) and ``__row`` (the place in it, from 0). Rows that tie lie in one range."""
+    place = F.monotonically_increasing_id()
+    dealt = df.repartitionByRange(*keys, *order_by).sortWithinPartitions(*keys, *order_by).withColumn("__at", place)
+    held = cut_lineage(dealt)  # borders are drawn anew if the ranges are computed a second time
+    return held.withColumns({"__part": F.shiftright("__at", ROW_BITS), "__row": F.col("__at").bitwiseAND(F.lit((1 << ROW_BITS) - 1))}).drop("__at")
+
+
+def _joined(a: DataFrame, b: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """``a`` with the other columns of ``b``, null being equal to null."""
+    b = b.select(*[F.col(c).alias(f"__of_{c}") if c in on else F.col(c) for c in b.columns])
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"__of_{c}")) for c in on])
+    return a.join(b, same, how).drop(*[f"__of_{c}" for c in on])
+
 
+def _carried(sums: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """``sums`` (one row a range and key) with ``__before``: what the key has in earlier ranges."""
+    earlier = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # at most one row a range
+    return sums.withColumn("__before", F.sum(value).over(earlier))
 
-def first_crossing(
-    df: DataFrame, keys: list[str], bucket: Column, order_by: list, amount: str, limit: str
-) -> DataFrame:
+
+def running_position(df: DataFrame, keys: list[str], order_by: list[str], into: str) -> DataFrame:
+    """1-based position of each row within its keys. Null is a key like any other; rows that tie get positions in any order."""
+    ranges = ordered_ranges(df, keys, order_by)
+    sizes = ranges.groupBy("__part", *keys).agg(F.count(F.lit(1)).alias("__n"))
+    carried = _carried(sizes, keys, "__n").filter("__before IS NOT NULL").select("__part", "__before")  # one row a range at most
+    inside = F.row_number().over(Window.partitionBy("__part", *keys).orderBy("__row"))
+    # the first key of a range is the one whose rows are counted as the rows of the range are
+    numbered = ranges.withColumn("__in_key", inside).join(F.broadcast(carried), "__part", "left")
+    before = F.when(F.col("__in_key") == F.col("__row") + 1, F.coalesce("__before", F.lit(0))).otherwise(0)
+    return numbered.withColumn(into, F.col("__in_key") + before).drop("__part", "__row", "__in_key", "__before")
+
+
+def first_crossing(df: DataFrame, keys: list[str], order_by: list[str], amount: str, limit: str) -> DataFrame:
     """Per key: total amount, its limit, and the first row at which the running total exceeds the limit.
 
-    Amounts are charges (never negative), so the crossing lies in the first bucket whose end total is over.
-    The columns named in ``order_by`` come back under ``breach``; null when the limit holds.
+    Amounts are charges (never negative), so the crossing lies in the first range whose end total is over. The columns
+    named in ``order_by`` come back under ``breach``; null when the limit holds. Null is a key like any other.
     """
-    staged = df.withColumn("__bucket", bucket)
-    sums = staged.groupBy(*keys, "__bucket").agg(F.sum(amount).alias("__sum"), F.max(limit).alias("__limit"))
-    ends = sums.withColumn("__before", F.coalesce(F.sum("__sum").over(_before(keys, "__bucket")), F.lit(0.0)))
+    ranges = ordered_ranges(df, keys, order_by)
+    sums = ranges.groupBy("__part", *keys).agg(F.sum(amount).alias("__sum"), F.max(limit).alias("__limit"))
     totals = sums.groupBy(*keys).agg(F.sum("__sum").alias("total"), F.max("__limit").alias("limit"))
+    ends = _carried(sums, keys, "__sum").withColumn("__before", F.coalesce("__before", F.lit(0.0)))
     over = ends.filter(F.col("__before") + F.col("__sum") > F.col("__limit"))
-    crossing = over.groupBy(*keys).agg(F.min_by(F.struct("__bucket", "__before"), "__bucket").alias("c")).select(
-        *keys, "c.__bucket", "c.__before"
-    )
-    inner = Window.partitionBy(*keys, "__bucket").orderBy(*order_by).rowsBetween(Window.unboundedPreceding, 0)
-    inside = staged.join(crossing, [*keys, "__bucket"]).withColumn("__run", F.sum(amount).over(inner) + F.col("__before"))
-    hit = inside.filter(F.col("__run") > F.col(limit)).groupBy(*keys).agg(
-        F.min(F.struct(*order_by)).alias("breach"), F.min("__run").alias("usage_at_breach")
-    )
-    return totals.join(hit, keys, "left")
+    crossing = over.groupBy(*keys).agg(F.min_by(F.struct("__part", "__before"), "__part").alias("c")).select(*keys, "c.__part", "c.__before")
+    inside = _joined(ranges, crossing, ["__part", *keys])
+    run = Window.partitionBy("__part", *keys).orderBy("__row").rowsBetween(Window.unboundedPreceding, 0)
+    hit = inside.withColumn("__run", F.sum(amount).over(run) + F.col("__before")).filter(F.col("__run") > F.col(limit))
+    hit = hit.groupBy(*keys).agg(F.min(F.struct(*order_by)).alias("breach"), F.min("__run").alias("usage_at_breach"))
+    return _joined(totals, hit, keys, "left")
 
 
 def top_share(df: DataFrame, value: str, share: int = 5, buckets: int = 4096, levels: int = 3) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caseflow.functions.impact import tool_category, tool_impact
@@ -102,13 +102,13 @@ def cache_stats(calls: DataFrame, last: int = 100) -> DataFrame:
     )
 
 
-def replay_verify(expected: DataFrame, actual: DataFrame, bucket: Column, order_by: list[str]) -> DataFrame:
+def replay_verify(expected: DataFrame, actual: DataFrame, order_by: list[str]) -> DataFrame:
     """(run_id, position, issue) by comparing call i of each run with call i of its replay.
 
-    Positions are handed out per (run, bucket), so one long run is numbered by many tasks.
+    Positions are handed out by ranges of (run, order), so one long run is numbered by many tasks.
     """
-    e = running_position(expected, ["run_id"], bucket, order_by, "position").select("run_id", "position", F.col("model").alias("e_model"), F.col("outputs").alias("e_out"), F.lit(True).alias("in_e"))
-    a = running_position(actual, ["run_id"], bucket, order_by, "position").select("run_id", "position", F.col("model").alias("a_model"), F.col("outputs").alias("a_out"), F.lit(True).alias("in_a"))
+    e = running_position(expected, ["run_id"], order_by, "position").select("run_id", "position", F.col("model").alias("e_model"), F.col("outputs").alias("e_out"), F.lit(True).alias("in_e"))
+    a = running_position(actual, ["run_id"], order_by, "position").select("run_id", "position", F.col("model").alias("a_model"), F.col("outputs").alias("a_out"), F.lit(True).alias("in_a"))
     both = e.join(a, ["run_id", "position"], "full")
     issue = (
         F.when(F.col("in_a").isNull(), "missing_call")
@@ -148,14 +148,14 @@ def undo_list(log: DataFrame) -> DataFrame:
     return log.filter(made).join(F.broadcast(last), "run_id").select("run_id", "op", target.alias("path"), "ts").orderBy(F.col("ts").desc(), "path")
 
 
-def quota_usage(charges: DataFrame, bucket: Column, limits: dict[str, float] = DEFAULT_LIMITS) -> DataFrame:
+def quota_usage(charges: DataFrame, limits: dict[str, float] = DEFAULT_LIMITS) -> DataFrame:
     """Per (app, metric): usage, limit, percent of it (at most 100) and the first charge that breaks it.
 
-    Charges: ``app, metric, amount, ts, charge_id``. ``bucket`` is a coarse time that splits busy apps.
+    Charges: ``app, metric, amount, ts, charge_id``.
     """
     limit = F.create_map(*[F.lit(x) for k, v in limits.items() for x in (k, float(v))])
     known = charges.withColumn("__quota", limit[F.col("metric")]).filter("__quota IS NOT NULL").withColumn("amount", F.col("amount").cast("double"))
-    out = first_crossing(known, ["app", "metric"], bucket, ["ts", "charge_id"], "amount", "__quota")
+    out = first_crossing(known, ["app", "metric"], ["ts", "charge_id"], "amount", "__quota")
     return out.select(
         "app", "metric", F.col("total").alias("usage"), "limit",
         F.least(F.lit(100.0), F.col("total") / F.col("limit") * 100).alias("usage_pct"),

@@ -38,13 +38,14 @@ def _sql(engine: str) -> dict[str, tuple[list[str], str]]:
     d = _days(engine, "l_shipdate", "o_orderdate")
     cap = lambda s: f"upper(substr({s}, 1, 1)) || substr({s}, 2, 40)"
     dig = "lpad(cast((c_custkey * 7919 + 2015550000) % 10000000000 as string), 10, '0')"
+    wide = "decimal(38, 0)" if engine == "spark" else "hugeint"
     ts = "cast(ts as timestamp)" if engine == "spark" else "ts"
     ts_seconds = "unix_seconds(cast(ts as timestamp))" if engine == "spark" else "cast(floor(epoch(ts)) as bigint)"
     return {
         "facts_raw": (
             ["lineitem", "orders", "supplier", "customer"],
             f"""
-            select ((cast(l_orderkey as bigint) * 8 + l_linenumber) * 1048576 + l_partkey) * 65536 + l_suppkey as fact_id,
+            select ((cast(l_orderkey as {wide}) * 8 + l_linenumber) * 4294967296 + l_partkey) * 4294967296 + l_suppkey as fact_id,
                    l_orderkey as order_key,
                    chr(cast(65 + s_nationkey as int)) || 'A' as carrier,
                    cast(l_suppkey as string) as fl_num,

@@ -106,12 +106,12 @@ def decided_cases(t):
 
 @query(
     "fact_flags", ["facts_raw"],
-    "select fact_id, entity_key, date_str, arr_delay_minutes, dep_delay_minutes, is_cancelled, significant_delay, refund_eligible from facts",
+    "select cast(fact_id as varchar) as fact_id, entity_key, date_str, arr_delay_minutes, dep_delay_minutes, is_cancelled, significant_delay, refund_eligible from facts",
     {"facts": FLAG_SQL},
 )
 def fact_flags(t):
     return facts(t).select(
-        "fact_id", "entity_key", "date_str", "arr_delay_minutes", "dep_delay_minutes", "is_cancelled", "significant_delay", "refund_eligible"
+        F.col("fact_id").cast("string").alias("fact_id"), "entity_key", "date_str", "arr_delay_minutes", "dep_delay_minutes", "is_cancelled", "significant_delay", "refund_eligible"
     )
 
 
@@ -297,17 +297,14 @@ def case_breakdown(t):
 
 @query(
     "build_claim", MATCH_USES,
-    """select 'RFC-20240501-' || case when rn < 10000 then lpad(cast(rn as varchar), 4, '0') else substr(cast(rn as varchar), 1, 4) end as claim_no,
+    """select 'RFC-20240501-' || printf('%04d', rn) as claim_no,
        claim_id, bts_carrier as carrier, reasons as reason, amount, case when refund_type = 'cash' then 'high' else 'medium' end as priority
-       from (select *, row_number() over (order by claim_id) - 1 as rn from decisions where eligible)""".replace(
-        "case when rn < 10000 then lpad(cast(rn as varchar), 4, '0') else substr(cast(rn as varchar), 1, 4) end",
-        "case when rn < 10000 then lpad(cast(rn as varchar), 4, '0') else cast(rn as varchar) end",
-    ),
+       from (select *, row_number() over (order by claim_id) - 1 as rn from decisions where eligible)""",
     DECIDE_CTES,
 )
 def build_claim(t):
     decisions, _ = decided_cases(t)
-    claims = dec.build_claims(decisions, "20240501", F.floor(F.col("claim_id") / 4096), ["claim_id"])
+    claims = dec.build_claims(decisions, "20240501", ["claim_id"])
     return claims.select(
         F.col("claim.claim_id").alias("claim_no"), "claim_id", F.col("claim.flight.carrier").alias("carrier"), F.col("claim.refund.reason").alias("reason"),
         F.col("claim.refund.estimated_amount").alias("amount"), F.col("claim.priority").alias("priority"),

@@ -146,7 +146,7 @@ def cache_stats(t):
 def replay_verify(t):
     calls = t("calls").select("run_id", "call_id", "timestamp", "model", "outputs", "latency_ms", "tokens_used")
     replay = calls.filter("tokens_used > 0").withColumn("outputs", F.when(F.col("latency_ms") > 100, F.concat("outputs", F.lit("x"))).otherwise(F.col("outputs")))
-    return tel.replay_verify(calls, replay, F.date_trunc("day", "timestamp"), ["timestamp", "call_id"])
+    return tel.replay_verify(calls, replay, ["timestamp", "call_id"])
 
 
 @query(
@@ -178,7 +178,7 @@ LIMITS = {"io_bytes": 1_500_000.0, "files_written": 2_000_000.0, "cpu_ms": 900_0
          where lim is not null) group by app, metric)""",
 )
 def quota_breach(t):
-    out = tel.quota_usage(t("charges"), F.date_trunc("day", "ts"), LIMITS)
+    out = tel.quota_usage(t("charges"), LIMITS)
     return out.select("app", "metric", "usage", "limit", F.round("usage_pct", 6).alias("usage_pct"), "breach_id")
 
 

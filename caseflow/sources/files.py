@@ -90,20 +90,19 @@ def catalog_entries(
 def file_catalog(spark: SparkSession, folder: str, head_chars: int | None = None) -> DataFrame:
     """Recursive catalogue of a folder, one row per file, with ``error``.
 
-    Only text files are opened, in a second read restricted to their suffixes; of all others the listing is enough. A
-    file that is no valid UTF-8 keeps its row with the reason in ``error`` and no keywords or summary.
+    The listing has every file. Files with a text suffix, in any case, are opened by a second read and joined to the
+    listing by path; of all others the listing is enough. A text file that is gone meanwhile, cannot be read or is no
+    valid UTF-8 keeps its row with the reason in ``error`` and no keywords or summary.
     """
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    suffix = file_extension(F.element_at(F.split("path", r"[/\\]"), -1))
-    plain = suffix.isin(TEXT_EXTENSIONS)
-    others = listed.filter(~plain).select("path", "length", "modificationTime", F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("error"))
-    pattern = "*.{" + ",".join(e[1:] + "," + e[1:].upper() for e in TEXT_EXTENSIONS) + "}"
-    opened = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder)
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "length", "modificationTime")
+    plain = file_extension(F.element_at(F.split("path", r"[/\\]"), -1)).isin(TEXT_EXTENSIONS)
+    any_case = ["".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in e[1:]) for e in TEXT_EXTENSIONS]
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{" + ",".join(any_case) + "}")
+    opened = reader.option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).load(folder)
     valid = F.is_valid_utf8(F.col("content"))
-    texts = opened.select(
-        "path", "length", "modificationTime", F.when(valid, F.decode("content", "UTF-8")).alias("text"), F.when(~valid, F.lit("not UTF-8 text")).alias("error")
-    )
-    rows = others.unionByName(texts)
+    texts = opened.select("path", F.when(valid, F.decode("content", "UTF-8")).alias("text"), F.when(~valid, F.lit("not UTF-8 text")).alias("error"), F.lit(True).alias("read"))
+    missed = F.when(plain & F.col("read").isNull(), F.lit("cannot be read"))
+    rows = listed.join(texts, "path", "left").withColumn("error", F.coalesce("error", missed))
     return catalog_entries(rows, "path", "text", "length", "modificationTime", head_chars, ["error"])
 
 

@@ -69,7 +69,7 @@ def test_complaint_chain(spark):
     assert dec[7]["estimated_refund_amount"] == 25.0
     stats = matching.match_stats(cascade).first()
     assert stats["total"] == 8 and stats["successful_matches"] + stats["no_matches"] == 8
-    claims = decisions.build_claims(decisions.decide(matching.matched_cases(cascade)), "20240501", F.floor(F.col("claim_id") / 2), ["claim_id"])
+    claims = decisions.build_claims(decisions.decide(matching.matched_cases(cascade)), "20240501", ["claim_id"])
     assert sorted(r["claim"]["claim_id"] for r in claims.collect())[0] == "RFC-20240501-0000"
 
 
@@ -291,7 +291,7 @@ def test_positions(spark):
     rnd = random.Random(1)
     values = [(i, "hot" if rnd.random() < 0.6 else "k", rnd.randrange(50), float(rnd.choice([0, 0, 5, 9, 40]))) for i in range(500)]
     df = spark.createDataFrame(values, "id long, k string, t long, v double")
-    got = {r["id"]: r["p"] for r in positions.running_position(df, ["k"], F.floor(F.col("t") / 7), ["t", "id"], "p").collect()}
+    got = {r["id"]: r["p"] for r in positions.running_position(df, ["k"], ["t", "id"], "p").collect()}
     for k in ("hot", "k"):
         order = [i for i, kk, t, _ in sorted(values, key=lambda x: (x[2], x[0])) if kk == k]
         assert [got[i] for i in order] == list(range(1, len(order) + 1))
@@ -301,10 +301,51 @@ def test_positions(spark):
     assert positions.top_share(df.limit(3), "v").first()["k"] == 1
 
 
+def test_one_key_holds_nine_tenths_of_the_rows(spark):
+    """The hot key is dealt over all ranges; positions and the crossing are those of the whole key; null is a key."""
+    n = 4000
+    df = spark.range(n).selectExpr("id as charge_id", "case when id % 10 > 0 then 'hot' when id % 20 > 0 then null else 'k' || id % 7 end as app", "'m' as metric", "cast((id * 7919) % 4000 as bigint) as ts", "1.0D as amount", "900.5D as top")
+    rows = df.collect()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # ranges this small would be joined to one
+    reset = lambda: spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    parts = positions.ordered_ranges(df, ["app"], ["ts"]).groupBy("__part").count().collect()
+    assert len(parts) > 2 and max(r["count"] for r in parts) < 0.6 * n
+    order = {}
+    for r in sorted(rows, key=lambda r: r["ts"]):
+        order.setdefault(r["app"], []).append(r["charge_id"])
+    got = {r["charge_id"]: r["p"] for r in positions.running_position(df, ["app"], ["ts"], "p").collect()}
+    assert got == {c: i + 1 for ids in order.values() for i, c in enumerate(ids)}
+    whole = {r["charge_id"]: r["p"] for r in positions.running_position(df, [], ["ts"], "p").collect()}
+    assert whole == {r["charge_id"]: i + 1 for i, r in enumerate(sorted(rows, key=lambda r: r["ts"]))}
+    found = {r["app"]: (r["total"], r["breach"] and r["breach"]["charge_id"]) for r in positions.first_crossing(df, ["app", "metric"], ["ts", "charge_id"], "amount", "top").collect()}
+    assert found == {a: (float(len(ids)), ids[900] if len(ids) > 900 else None) for a, ids in order.items()}
+    assert positions.running_position(df.limit(0), ["app"], ["ts"], "p").count() == 0
+    reset()
+
+
+def test_claim_numbers_beyond_four_digits(spark):
+    decided = spark.range(10_001).selectExpr("id as claim_id", "true as refund_eligible", "'u' as user", "'AA' as bts_carrier", "'1' as bts_flight_num", "'2020-01-01' as bts_date", "'A' as bts_origin", "'B' as bts_destination", "'delay' as incident_type", "'t' as original_text", "false as bts_cancelled", "1.0D as bts_arr_delay_minutes", "'r' as refund_reason", "'c' as dot_rule_citation", "1.0D as estimated_refund_amount", "'cash' as refund_type", "7 as airline_deadline_days", "80 as final_pct", "'e' as evidence_summary")
+    ids = {r["claim_id"]: r["claim"]["claim_id"] for r in decisions.build_claims(decided, "20240501", ["claim_id"]).collect()}
+    assert len(set(ids.values())) == 10_001 and (ids[7], ids[9_999], ids[10_000]) == ("RFC-20240501-0007", "RFC-20240501-9999", "RFC-20240501-10000")
+
+
+def test_fact_ids_of_large_keys(spark):
+    from caseflow.plans.adapters import _sql
+
+    key, line = 2**40, "select cast({k} as bigint) as l_orderkey, 7 as l_linenumber, cast({p} as bigint) as l_partkey, cast({s} as bigint) as l_suppkey, date '2020-01-01' as l_shipdate, 'R' as l_returnflag, 'O' as l_linestatus"
+    spark.sql(" union all ".join(line.format(k=k, p=p, s=s) for k in (1, key) for p in (1, 2**31) for s in (1, 2**31))).createOrReplaceTempView("big_lines")
+    spark.sql(f"select cast(k as bigint) as o_orderkey, 1 as o_custkey, date '2020-01-01' as o_orderdate from values (1), ({key}) as t(k)").createOrReplaceTempView("big_orders")
+    spark.sql("select cast(s as bigint) as s_suppkey, 1 as s_nationkey from values (1), (2147483648) as t(s)").createOrReplaceTempView("big_suppliers")
+    spark.sql("select 1 as c_custkey, 2 as c_nationkey").createOrReplaceTempView("big_customers")
+    text = _sql("spark")["facts_raw"][1].format(lineitem="big_lines", orders="big_orders", supplier="big_suppliers", customer="big_customers")
+    rows = spark.sql(text).select("fact_id", "order_key").orderBy("fact_id").collect()
+    assert len({r["fact_id"] for r in rows}) == 8 and [r["order_key"] for r in rows] == [1] * 4 + [key] * 4
+
+
 def test_quota_usage(spark):
     rows = [("a", "cpu_ms", 10.0, i, i) for i in range(20)] + [("b", "cpu_ms", 1.0, 3, 100)]
     df = spark.createDataFrame(rows, "app string, metric string, amount double, ts long, charge_id long")
-    got = {r["app"]: r for r in telemetry.quota_usage(df, F.floor(F.col("ts") / 4), {"cpu_ms": 75.0}).collect()}
+    got = {r["app"]: r for r in telemetry.quota_usage(df, {"cpu_ms": 75.0}).collect()}
     assert got["a"]["breach_id"] == 7 and got["a"]["usage_pct"] == 100.0 and got["b"]["breach_id"] is None
 
 
@@ -319,7 +360,7 @@ def test_telemetry_rules(spark):
     m = telemetry.run_metrics(metered).first()
     assert m["tools_by_category"] == {"data": 1, "ml": 1, "other": 4} and m["most_carbon_intensive_tool"] == "train_lr"
     replay = calls.filter("call_id < 6")
-    issues = telemetry.replay_verify(calls, replay, F.lit(0), ["call_id"]).collect()
+    issues = telemetry.replay_verify(calls, replay, ["call_id"]).collect()
     assert [(i["position"], i["issue"]) for i in issues] == [(6, "missing_call")]
     assert telemetry.replay_counts(calls, replay).first()["actual_calls"] == 5
 
@@ -378,10 +419,13 @@ def test_sources_and_report(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     (tmp_path / "sub" / "t.csv").write_text("x,y\n" + "1,2\n" * 900)
     (tmp_path / "pic.PNG").write_bytes(b"\x89PNG")
+    (tmp_path / "mixed.Txt").write_text("case of a suffix")
+    (tmp_path / "none").write_text("no suffix")
     cat = files.file_catalog(spark, str(tmp_path))
     assert {r["category"] for r in cat.collect()} >= {"spreadsheets", "data", "images"}
     of = {r["path"].rsplit("/", 2)[-2] + "/" + r["name"]: r for r in cat.collect()}
     assert of["sub/t.csv"]["summary"].startswith("CSV data with 902 rows") and of[tmp_path.name + "/bad.txt"]["error"] and of["sub/t.csv"]["error"] is None
+    assert {"mixed.Txt", "none", "pic.PNG"} <= {r["name"] for r in cat.collect()} and "suffix" in of[tmp_path.name + "/mixed.Txt"]["keywords"]
     assert catalog.index_terms(cat).filter("kind = 'category' and term = 'spreadsheets'").first()["n_files"] == 2
     assert catalog.search_index(cat, "Spreadsheets").count() == 2
     assert catalog.catalog_summary(cat).filter("category is null").count() == 1

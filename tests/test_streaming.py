@@ -47,14 +47,41 @@ def test_tumbling_and_sessions(spark, tmp_path):
     assert _run(sessions, spark, "sess", "append").count() > 0
 
 
-def test_quota_breach_equals_batch(spark, tmp_path):
-    charges = spark.range(40).selectExpr("id as charge_id", "timestamp_seconds(1700000000 + id) as ts", "concat('a', id % 2) as app", "'cpu_ms' as metric", "10.0D as amount")
+def test_quota_breach_equals_batch_in_any_order(spark, tmp_path):
+    """The same alert whatever the order of arrival and the number of batches; late charges within the delay count."""
+    limits = {"cpu_ms": 95.0}
+    charges = spark.range(60).selectExpr("id as charge_id", "timestamp_seconds(1700000000 + cast(id * 7 % 60 as int)) as ts", "concat('a', id % 2) as app", "'cpu_ms' as metric", "cast(1 + id * 13 % 19 as double) as amount")
+    want = {r["app"]: (r["breach_id"], r["breach_ts"]) for r in telemetry.quota_usage(charges, limits).collect()}
+    assert len(want) == 2 and None not in want.values()
+    close = spark.sql("select 999L as charge_id, timestamp_seconds(1700100000) as ts, 'late' as app, 'cpu_ms' as metric, 0.0D as amount")
     schema = "charge_id long, ts timestamp, app string, metric string, amount double"
-    charges.coalesce(1).write.json(str(tmp_path / "q"))
-    out = _run(logs.quota_breach(logs.stream_log(spark, str(tmp_path / "q"), schema), {"cpu_ms": 95.0}), spark, "quota", "append")
-    got = {r["app"]: r["breach_id"] for r in out.collect()}
-    batch = telemetry.quota_usage(charges, F.date_trunc("minute", "ts"), {"cpu_ms": 95.0})
-    assert got == {r["app"]: r["breach_id"] for r in batch.collect()} and len(got) == 2
+    for n, order in enumerate((F.col("charge_id"), -F.col("charge_id"), F.hash("charge_id"))):
+        folder = tmp_path / f"q{n}"
+        rows = charges.orderBy(order).collect()
+        size = (60, 7, 20)[n]
+        for i in range(0, 60, size):
+            spark.createDataFrame(rows[i : i + size], schema).coalesce(1).write.mode("append").json(str(folder))
+        close.coalesce(1).write.mode("append").json(str(folder))
+        out = _run(logs.quota_breach(logs.stream_log(spark, str(folder), schema, files_per_trigger=1), limits, "5 minutes"), spark, f"quota{n}", "append")
+        assert sorted((r["app"], (r["breach_id"], r["breach_ts"])) for r in out.collect()) == sorted(want.items())
+
+
+def test_finished_runs_leave_the_state(spark, tmp_path):
+    calls = _calls(spark)  # runs r0, r1 and r2, a call a minute
+    stamp = lambda m: f"timestamp_seconds(1700000000 + {m} * 60)"
+    ends = spark.sql(f"select 'r0' as run_id, {stamp(58)} as timestamp union all select 'r1', {stamp(59)}")
+    later = spark.sql(f"select 900L as call_id, 'r9' as run_id, {stamp(5000)} as timestamp, 0.5D as cost_usd, 1.0D as co2_grams, 1L as tokens_used, false as cache_hit, 'k' as key")
+    for n, df in enumerate((calls.filter("call_id < 30"), calls.filter("call_id >= 30"), later)):
+        df.coalesce(1).write.mode("append").json(str(tmp_path / "c"))
+    ends.coalesce(1).write.json(str(tmp_path / "e"))
+    stream = logs.finished_runs(logs.stream_log(spark, str(tmp_path / "c"), CALLS, files_per_trigger=1), logs.stream_log(spark, str(tmp_path / "e"), "run_id string, timestamp timestamp"), "10 minutes", "1 hour")
+    q = stream.writeStream.outputMode("append").format("memory").queryName("finished").trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = {r["run_id"]: r for r in spark.table("finished").collect()}
+    want = {r["run_id"]: r for r in telemetry.live_run_stats(calls).collect()}
+    assert set(got) == {"r0", "r1", "r2"} and [got[r]["closed"] for r in ("r0", "r1", "r2")] == [True, True, False]
+    assert all(got[r][c] == want[r][c] for r in want for c in ("tools_executed", "total_cost_usd", "total_co2_grams", "total_tokens", "cache_hit_rate"))
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] == 1  # the run that is still open
 
 
 def test_cache_dedup(spark, tmp_path):
