@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from caseflow.operators.positions import running_position
+
 
 def catalog_summary(catalog: DataFrame) -> DataFrame:
     """Files and megabytes per (category, extension), per category, and overall (nulls)."""
@@ -25,17 +27,42 @@ def index_terms(catalog: DataFrame) -> DataFrame:
     return index_entries(catalog).distinct().groupBy("kind", "term").agg(F.count(F.lit(1)).alias("n_files"))
 
 
-def inverted_index(catalog: DataFrame, parts: int = 64) -> DataFrame:
-    """Posting lists (kind, term, part, n_files, files) of paths, each term always in ``parts`` hashed parts.
+def inverted_index(catalog: DataFrame, block: int = 1024) -> DataFrame:
+    """Posting blocks (kind, term, block, n_files, first, last, files): the paths of a term in order, at most ``block`` in one.
 
-    ``n_files`` is the size of the part; ``index_terms`` has the count of a term.
+    A path's place among those of its term decides its block, so a term that every file has is cut in as many blocks as
+    it takes, and none is larger than the others. ``first`` and ``last`` say which blocks a range of paths needs. Paths
+    are stored as they differ from the one before: ``files`` has the number of characters they share and the rest.
     """
-    entries = index_entries(catalog).distinct().withColumn("part", F.pmod(F.xxhash64("path"), F.lit(parts)).cast("int"))
-    return entries.groupBy("kind", "term", "part").agg(
-        F.count(F.lit(1)).alias("n_files"), F.array_sort(F.collect_list("path")).alias("files")
+    placed = running_position(index_entries(catalog).distinct(), ["kind", "term"], ["path"], "at")
+    blocks = placed.withColumn("block", F.floor((F.col("at") - 1) / block).cast("int")).groupBy("kind", "term", "block")
+    paths = blocks.agg(F.array_sort(F.collect_list("path")).alias("paths"))  # at most ``block`` of them
+
+    def differs(path, i):
+        """Number of characters shared with the path before, and what follows them."""
+        earlier = F.when(i > 0, F.element_at("paths", F.greatest(i, F.lit(1)))).otherwise("")
+        spots = F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.length(path), F.length(earlier))))
+        unlike = F.filter(spots, lambda k: F.substr(path, k, F.lit(1)) != F.substr(earlier, k, F.lit(1)))
+        shared = F.when(F.length(earlier) == 0, 0).otherwise(F.coalesce(F.get(unlike, F.lit(0)) - 1, F.least(F.length(path), F.length(earlier))))
+        return F.struct(shared.cast("int").alias("shared"), F.substr(path, shared + 1, F.length(path)).alias("rest"))
+
+    return paths.select(
+        "kind", "term", "block", F.size("paths").alias("n_files"), F.element_at("paths", 1).alias("first"), F.element_at("paths", -1).alias("last"),
+        F.transform("paths", differs).alias("files"),
     )
 
 
+def postings(index: DataFrame) -> DataFrame:
+    """(kind, term, path): the posting blocks as flat rows again."""
+    start = F.struct(F.lit("").alias("path"), F.array().cast("array<string>").alias("all"))
+
+    def grown(state, entry):
+        path = F.concat(F.substr(state["path"], F.lit(1), entry["shared"]), entry["rest"])
+        return F.struct(path.alias("path"), F.concat(state["all"], F.array(path)).alias("all"))
+
+    return index.select("kind", "term", F.explode(F.aggregate("files", start, grown, lambda state: state["all"])).alias("path"))
+
+
 def search_index(catalog: DataFrame, term: str) -> DataFrame:
     """Catalogue rows of the files that hold a term as keyword or category, with path, size and summary."""
     hits = index_entries(catalog).filter(F.col("term") == F.lower(F.lit(term))).select("path").distinct()

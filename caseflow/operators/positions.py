@@ -10,13 +10,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseflow.session import cut_lineage
 
 #: Bits of ``monotonically_increasing_id`` that count the rows within a partition.
 ROW_BITS = 33
+LARGEST = 1.7976931348623157e308
 
 
 def ordered_ranges(df: DataFrame, keys: list[str], order_by: list[str]) -> DataFrame:
@@ -105,3 +106,35 @@ def top_share(df: DataFrame, value: str, share: int = 5, buckets: int = 4096, le
     rest = taken.agg((F.max("above_sum") + F.sum(F.col("taken") * F.col("part"))).alias("top_sum"))
     first = whole.select("n", "total", k)
     return first.crossJoin(F.broadcast(rest))  # one row each
+
+
+def _clamped(v: Column) -> Column:
+    """Infinite values as the largest finite ones."""
+    return F.when(v == float("inf"), LARGEST).when(v == float("-inf"), -LARGEST).otherwise(v)
+
+
+def medians(df: DataFrame, columns: list[str], buckets: int = 1024, levels: int = 5) -> DataFrame:
+    """One row with the exact median of every column (null where it has no number), all columns side by side.
+
+    The two middle values of each column are found as ``top_share`` finds its value: the range that holds a wanted rank
+    is cut in ``buckets`` equal parts, counts decide the part to go on with, and ranges of one value are done. After the
+    levels the last ranges are looked at by distinct value. Cells leave a task as counts only.
+    """
+    cells = F.array(*[F.struct(F.lit(i).alias("c"), _clamped(F.col(f"`{c}`").cast("double")).alias("v")) for i, c in enumerate(columns)])
+    base = df.select(F.explode(cells).alias("x")).select("x.c", "x.v").filter("v IS NOT NULL AND NOT isnan(v)")
+    whole = base.groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    ranks = F.explode(F.array(F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1)).alias("k")
+    state = whole.select("c", F.lit(0).cast("long").alias("above"), "lo", "hi", ranks).distinct()  # two rows a column at most
+    down = Window.partitionBy("c", "k").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    for level in range(levels + 1):
+        inside = base.join(F.broadcast(state), "c").filter("v between lo and hi")
+        # halves, so that the width of the widest range is a number
+        width = F.col("hi") / 2 - F.col("lo") / 2
+        part = F.when(width > 0, F.least(F.floor((F.col("v") / 2 - F.col("lo") / 2) / width * buckets), F.lit(buckets - 1)).cast("double")).otherwise(0.0)
+        parts = inside.groupBy("c", "k", (part if level < levels else F.col("v")).alias("part")).agg(
+            F.count(F.lit(1)).alias("m"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.max("above").alias("above")
+        )
+        placed = parts.withColumn("above", F.col("above") + F.coalesce(F.sum("m").over(down), F.lit(0)))
+        state = placed.filter("above < k AND above + m >= k").select("c", "above", "lo", "hi", "k")
+    found = state.groupBy("c").agg((F.min("lo") * 0.5 + F.max("hi") * 0.5).alias("v"))
+    return found.agg(*[F.max(F.when(F.col("c") == i, F.col("v"))).alias(c) for i, c in enumerate(columns)])

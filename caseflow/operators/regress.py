@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caseflow.functions.typing import money_amount
+from caseflow.operators.positions import medians
 from caseflow.operators.shaping import guard
 
 RIDGE = 1e-8
@@ -41,13 +42,12 @@ def train_linear(df: DataFrame, target: str, features: list[str], impute: str =
 
     Rows without a numeric target drop out, missing features take the column mean or median. One aggregate gives counts,
     means and covariances of every pair of columns over the rows that have both; the (features + 1)^2 normal equations
-    are solved from that one row. Nothing runs before the result is used; without rows that use fails.
+    are solved from that one row, to which exact medians are joined if asked for. Nothing runs before the result is used; without rows that use fails.
     """
     cols = ["__y", *[f"__x{i}" for i in range(len(features))]]
     rows = df.select(*[_feature(f).alias(c) for f, c in zip([target, *features], cols)]).filter("__y IS NOT NULL")
-    middle = F.avg if impute == "mean" else F.median
     pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
-    aggs = [F.avg("__y").alias("c0"), *[F.coalesce(middle(c), F.lit(0.0)).alias(f"c{i}") for i, c in enumerate(cols) if i]]
+    aggs = [F.avg("__y").alias("c0"), *[F.coalesce(F.avg(c), F.lit(0.0)).alias(f"c{i}") for i, c in enumerate(cols) if i and impute == "mean"]]
     for i, j in pairs:
         a, b = F.col(cols[i]), F.col(cols[j])
         both = a.isNotNull() & b.isNotNull()
@@ -83,7 +83,11 @@ def train_linear(df: DataFrame, target: str, features: list[str], impute: str =
                 terms += [(f, round(float(w), 12), round(v, 12)) for f, w, v in zip(features, weights[1:], fills)]
                 yield pd.DataFrame(terms, columns=["term", "coef", "impute_value"])
 
-    return rows.agg(*aggs).mapInPandas(solve, "term string, coef double, impute_value double")
+    sums = rows.agg(*aggs)
+    if impute != "mean" and features:
+        middles = medians(rows, cols[1:]).select(*[F.coalesce(c, F.lit(0.0)).alias(f"c{i}") for i, c in enumerate(cols) if i])
+        sums = sums.crossJoin(F.broadcast(middles))  # one row each
+    return sums.mapInPandas(solve, "term string, coef double, impute_value double")
 
 
 def mean_predictor(df: DataFrame, target: str) -> DataFrame:

@@ -253,7 +253,7 @@ INDEX_SQL = "select distinct kind, term, path from (select 'keyword' as kind, un
 
 @query("inverted_index", ["page_files"], f"select kind, term, path from ({INDEX_SQL})", CATALOG_CTES)
 def inverted_index(t):
-    return cat.inverted_index(page_catalog_rows(t)).select("kind", "term", F.explode("files").alias("path"))
+    return cat.postings(cat.inverted_index(page_catalog_rows(t)))
 
 
 @query("index_terms", ["page_files"], f"select kind, term, count(*) as n_files from ({INDEX_SQL}) group by kind, term", CATALOG_CTES)

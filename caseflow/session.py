@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -26,6 +28,15 @@ def build_session(app: str = "caseflow", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+def written_lines(df: DataFrame) -> str:
+    """Folder in the shared storage that ``df``, one text column, was written to; whoever reads it may delete it afterwards."""
+    spark = df.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{shared.rstrip('/')}/lines-{uuid.uuid4().hex}"
+    df.write.text(path)
+    return path
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the folder the cluster names in ``spark.checkpoint.dir``.
 

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from caseflow.functions.typing import NUMBER_SHAPE, to_number
+from caseflow.session import written_lines
+from caseflow.sources.arrays import array_elements
 
 DELIMITERS = [",", ";", "\t", "|"]
 
@@ -66,11 +68,16 @@ def read_table(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
 
 
 def read_records(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """JSON lines, or one JSON array per file. JSON lines split; an array file is read whole."""
+    """JSON lines, or JSON arrays of objects, one a file. Either is read by many tasks however large a file is.
+
+    The objects of an array are written as JSON lines to the shared folder first, so that the reader that infers the
+    schema and the one that reads see the same lines.
+    """
     first = spark.read.text(path).filter(F.trim("value") != "").first()
-    starts_array = first is not None and first["value"].lstrip().startswith("[")
-    reader = spark.read.option("multiLine", starts_array)
-    return (reader.schema(schema) if schema else reader).json(path)
+    reader = spark.read.schema(schema) if schema else spark.read
+    if first is None or not first["value"].lstrip().startswith("["):
+        return reader.json(path)
+    return reader.json(written_lines(array_elements(spark, path).select(F.col("element").alias("value"))))
 
 
 def read_auto(spark: SparkSession, path: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from caseflow.functions.typing import clean_amount
 from caseflow.operators import candidates, catalog, decisions, extraction, insights, matching, positions, profiling, regress, resolve, shaping, telemetry, xref
-from caseflow.sources import files, readers, writers
+from caseflow.sources import arrays, files, readers, writers
 from tests import fixtures
 from tests.test_functions import plain_ratio
 
@@ -436,6 +436,60 @@ def test_sources_and_report(spark, tmp_path):
     assert "".join(p.read_text() for p in sorted((tmp_path / "s").glob("part-*"))).splitlines() == ['{"a":5,"b":1}', '{"a":1,"b":2}']
 
 
+def test_json_arrays_are_read_by_byte_ranges(spark, tmp_path):
+    """Strings with brackets, quotes and escapes, nested values, pretty print, several files; ranges of a few bytes."""
+    import json
+
+    rnd = random.Random(4)
+    odd = ["}", "{", "]\\", '\\"}', '"', "a,b", "日本", "x" * 50, "", "\n", "{[", "\\\\"]
+    rows = [{"id": i, "s": rnd.choice(odd) + rnd.choice(odd), "n": {"a": [i, {"b": rnd.choice(odd)}], "c": None}} for i in range(120)]
+    folder = tmp_path / "arrays"
+    folder.mkdir()
+    (folder / "a.json").write_text(json.dumps(rows[:50]))
+    (folder / "b.json").write_text("\n " + json.dumps(rows[50:110], indent=2, ensure_ascii=False) + "\n")
+    (folder / "c.json").write_text(json.dumps(rows[110:], separators=(",", ":")))
+    (folder / "d.json").write_text("[]")
+    keep = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    for size in ("37", "400", "1m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        found = arrays.array_elements(spark, str(folder)).orderBy("file", "place").collect()
+        assert [json.loads(r["element"]) for r in found] == rows
+    spark.conf.set("spark.sql.files.maxPartitionBytes", keep[0])
+    spark.conf.set("spark.sql.files.openCostInBytes", keep[1])
+    got = readers.read_records(spark, str(folder / "b.json"))
+    assert sorted((r["id"], r["s"]) for r in got.collect()) == [(r["id"], r["s"]) for r in rows[50:110]]
+    assert readers.read_records(spark, str(folder / "c.json"), "id long, s string").count() == 10
+    assert readers.read_records(spark, str(folder / "d.json"), "id long").count() == 0
+
+
+def test_medians(spark):
+    rnd = random.Random(9)
+    rows = [(rnd.choice([None, 1.5, 1.5, 2.0]), rnd.gauss(0, 1e6), float(i % 2), rnd.choice([1e308, -1e308, 0.0]), None) for i in range(701)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double, e double")
+    for part in (df, df.limit(2), df.limit(1), df.limit(0)):
+        for buckets, levels in ((1024, 5), (2, 3)):
+            got = positions.medians(part, df.columns, buckets, levels).first()
+            assert got == part.agg(*[F.median(c).alias(c) for c in df.columns]).first()
+    model = {r["term"]: r for r in regress.train_linear(df.selectExpr("b as y", "a", "c"), "y", ["a", "c"], "median").collect()}
+    assert model["a"]["impute_value"] == df.filter("b IS NOT NULL").agg(F.median("a")).first()[0]
+
+
+def test_distinct_counts_and_posting_blocks(spark):
+    df = spark.createDataFrame([(i, "x" if i % 3 else None, f"v{i % 7}", None) for i in range(500)], "a int, b string, c string, d string")
+    for exact in (True, False):
+        got = {r["name"]: r["unique_count"] for r in profiling.distinct_counts(df, exact).collect()}
+        assert (got["b"], got["c"], got["d"]) == (1, 7, 0) and abs(got["a"] - 500) <= (0 if exact else 75)
+    paths = [f"/data/{'common/' if i % 2 else ''}file{i}.txt" for i in range(103)] + ["/data", ""]
+    cat = spark.createDataFrame([(p, "docs", ["rare"] if i % 50 == 0 else []) for i, p in enumerate(paths)], "path string, category string, keywords array<string>")
+    index = catalog.inverted_index(cat, 10)
+    blocks = index.collect()
+    assert max(r["n_files"] for r in blocks) == 10 and sum(r["n_files"] for r in blocks if r["term"] == "docs") == len(paths)
+    flat = sorted(tuple(r) for r in catalog.postings(index).collect())
+    assert flat == sorted(tuple(r) for r in catalog.index_entries(cat).distinct().collect())
+    assert all(r["first"] <= r["last"] for r in blocks)
+
+
 def test_enrich_hook_keeps_strong_rows(spark):
     found = extraction.extract_entities(fixtures.complaints(spark), "original_text", F.col("day").cast("date"))
     done = extraction.enrich_low_confidence(found, lambda b: b.assign(origin="JFK"), 60)
