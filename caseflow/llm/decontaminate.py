@@ -286,7 +286,6 @@ def op9_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", F.array_sort("items")), 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"),
-        "longest",
     )
 
 
