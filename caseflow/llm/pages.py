@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -95,6 +96,7 @@ class Page:
 
     def _parse(self, source: str) -> None:
         stack: list[tuple[str, int]] = [("#root", 0)]  # name and number of the block element it is or lies in
+        opened: Counter = Counter()  # how many elements of each name are on the stack
         run: list[str] = []
         links, silent, linked, at, end = 0, 0, 0, 0, len(source)
 
@@ -112,6 +114,7 @@ class Page:
         def pop() -> None:
             nonlocal links, silent
             name, _ = stack.pop()
+            opened[name] -= 1
             links -= name == "a"
             silent -= name in SILENT
 
@@ -139,14 +142,14 @@ class Page:
             if source[tag.start() + 1] == "/":
                 if name not in INLINE:
                     flush()
-                if any(n == name for n, _ in stack[1:]):
+                if opened[name] > 0:
                     while stack[-1][0] != name:
                         pop()
                     pop()
                 continue
-            if name == "head" and any(n == "body" for n, _ in stack):
+            if name == "head" and opened["body"]:
                 continue
-            if name == "body" and any(n == "head" for n, _ in stack):
+            if name == "body" and opened["head"]:
                 while stack[-1][0] != "head":
                     pop()
             if stack[-1][0] == "head" and name not in IN_HEAD:
@@ -156,7 +159,7 @@ class Page:
             if name not in INLINE:
                 flush()
             given = tag[2] or tag[4] or ""
-            if given.endswith("/") and not UNQUOTED_END.search(given) and (name in FOREIGN or any(n in FOREIGN for n, _ in stack)):
+            if given.endswith("/") and not UNQUOTED_END.search(given) and (name in FOREIGN or any(opened[n] for n in FOREIGN)):
                 continue
             if name in RAW:
                 close = re.compile(rf"</{re.escape(name)}[\s/>]", re.I).search(source, at)
@@ -164,7 +167,7 @@ class Page:
                 continue
             if name in VOID:
                 continue
-            self._close(stack, name, pop)
+            self._close(stack, opened, name, pop)
             block = stack[-1][1]
             if name not in INLINE:
                 self.kids[block] += 1
@@ -175,6 +178,7 @@ class Page:
                 self.kids.append(0)
                 block = len(self.parent) - 1
             stack.append((name, block))
+            opened[name] += 1
             links += name == "a"
             silent += name in SILENT
         flush()
@@ -192,10 +196,12 @@ class Page:
                 self.groups[i] &= KEPT_AROUND
 
     @staticmethod
-    def _close(stack: list, name: str, pop) -> None:
+    def _close(stack: list, opened: Counter, name: str, pop) -> None:
         names, limits = CLOSES.get(name, (set(), set()))
         if name in CLOSES_P:
             names, limits = {"p"}, {"table", "article", "section", "div", "td", "th", "li", "blockquote", "button"}
+        if not any(opened[n] for n in names):
+            return
         for depth in range(len(stack) - 1, 0, -1):
             if stack[depth][0] in names:
                 while len(stack) > depth:
@@ -355,9 +361,17 @@ def _nodes(root) -> list[tuple]:
 
 
 def fit(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> Forest:
-    """Boosted trees on the explicit markup of at most ``sample_pages`` pages, those with the smallest hash of their id."""
+    """Boosted trees on the explicit markup of at most ``sample_pages`` pages, those with the smallest hash of their id.
+
+    Rows that repeat a page are one page of the sample; of pages that share an id each counts.
+    """
     small = pages.filter(F.col("page_id").isNotNull() & (F.length("html") <= SAMPLE_CHARS))
-    ids = [r[0] for r in small.select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(sample_pages).collect()]
+    key = F.struct(F.xxhash64("page_id").alias("place"), F.col("page_id"), F.xxhash64("html").alias("content"))
+    keyed = small.select(key.alias("key"), "html")
+    last = keyed.select("key").distinct().orderBy("key").limit(sample_pages).agg(F.max("key").alias("key"))
+    # a parallel scan keeps the pages up to the last key; only those meet in one task, in the order of their keys
+    drawn = keyed.join(F.broadcast(last.withColumnRenamed("key", "last")), F.col("key") <= F.col("last"))  # one row
+    drawn = staged(drawn.groupBy("key").agg(F.min("html").alias("html")), "pages")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -385,7 +399,8 @@ def fit(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> Forest:
             rows, labels = rows + mixed, labels + [labels[i] for i in named]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), pa.array(labels, pa.float64())], names=["features", "label"])
 
-    sample = staged(small.filter(F.col("page_id").isin(ids)).select("html").mapInArrow(run, "features array<double>, label double").coalesce(1), "nodes")
+    ordered = drawn.repartition(1).sortWithinPartitions("key").select("html")
+    sample = staged(ordered.mapInArrow(run, "features array<double>, label double"), "nodes")
     if sample.select("label").distinct().count() < 2:
         # one class or none: article text is what lies in main elements, or anything outside the refused ones
         nodes: list[tuple] = []

@@ -403,3 +403,35 @@ def test_pages_open_head_foreign_elements_and_tokens_around():
     assert labels == {"menu": 0.0, "one": 1.0, "two": 0.0}
     aside = pages.Page("<body><aside><article>card</article></aside></body>")
     assert [pages.markup_label(x) for x in aside.features()] == [0.0]
+
+
+def test_pages_of_many_open_elements_and_stray_end_tags():
+    import time
+
+    start = time.time()
+    deep = "<div>" * 100_000 + "one" + "</p>" * 100_000 + "<b>" * 50_000 + "<p>two" * 20_000 + "</section>" * 50_000
+    assert pages.Page(deep).text[:2] == ["one", "two"] and time.time() - start < 20
+
+
+def test_pages_repeated_ids_clashing_columns_and_layouts(spark):
+    """Generated layouts whose article text is known; rows that share an id, repeated rows and columns that clash."""
+    rng = random.Random(6)
+    vocabulary = [f"word{i}" for i in range(300)]
+    sentence = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n)).capitalize() + "."
+    made, want = [], {}
+    for n in range(60):
+        blocks = [sentence(rng.randint(18, 60)) for _ in range(rng.randint(3, 8))]
+        menu = "".join(f"<li><a href='/{i}'>Item {i}</a></li>" for i in range(rng.randint(4, 12)))
+        body = "".join(f"<p>{b}</p>" for b in blocks)
+        article = rng.choice(["<article>{}</article>", "<main><div class='content'>{}</div></main>", "<div id='main'><article class='post'>{}</article></div>"]).format(body)
+        side = rng.choice(["<aside><p>{}</p></aside>", "<div class='sidebar'><p>{}</p></div>"]).format(sentence(8))
+        parts = [f"<nav><ul>{menu}</ul></nav>", article, side, f"<footer><p>{sentence(5)}</p></footer>"]
+        if n % 2:
+            parts[1], parts[2] = parts[2], parts[1]
+        html = "<html><head><title>t</title></head><body>" + "".join(parts) + "</body></html>"
+        made.append((n // 2, f"u{n}", html, 1.0, "x"))
+        want[f"u{n}"] = "\n\n".join(blocks)
+    df = spark.createDataFrame([*made, made[0]], "page_id bigint, url string, html string, label double, text string")
+    got = rows_of(pages.extract(df, pages.fit(df)))
+    assert sorted(r["url"] for r in got) == sorted([*want, "u0"]) and set(got[0]) == {"page_id", "url", "text"}
+    assert sum(r["text"] == want[r["url"]] for r in got) >= 0.95 * len(got)
