@@ -120,6 +120,24 @@ def test_secrets(spark, docs, none):
     assert secrets.scan(none).count() == 0
 
 
+def test_secrets_of_a_long_text_and_of_many_repositories(spark):
+    """Five megabytes of digests in one text; a token that one owner has in many repositories; a token beside base spans."""
+    import time
+
+    lines = [hashlib.md5(str(i).encode()).hexdigest() + f"  file{i}.bin" for i in range(115_000)]
+    key = "Zk3LmNopQ9rStUvWxYz012"
+    rows = [(1, "\n".join(lines), "one")] + [(10 + i, f"use {key} here", "same") for i in range(secrets.EXAMPLE_REPOS)]
+    rows += [(5, f"token={key[:15]}/x {'b' * 20}1 secret='{'c' * 30}9'", "two"), (6, "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa1", "three")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    start = time.time()
+    got = {r["doc_id"]: r for r in secrets.scan(df).collect()}
+    assert time.time() - start < 120
+    assert [(s["start"], s["stop"]) for s in got[1]["base"]] == [(m.start(), m.end()) for m in re.finditer("[0-9a-f]{32,}", rows[0][1])]
+    assert got[1]["tokens"] == [] and all(not got[10 + i]["tokens"] and got[10 + i]["n_example"] == 1 for i in range(secrets.EXAMPLE_REPOS))
+    assert [s["kind"] for s in got[5]["base"]] == [0, 0] and got[5]["tokens"] == []  # the other token has too few digits
+    assert got[6]["tokens"] == [] and got[6]["n_example"] == 1
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var t="</p>";</script></head><body><nav><ul><li><a href="/a">One</a><li><a>Two</a></ul></nav><!-- <p>no</p> -->
 <div class="ad">Buy now.</div><article><h1>Head {n}</h1><p><b>First&nbsp;&amp; foremost,   the text.<br>goes on<p>Second <a href=x>link</a> {n}.</p>
 <script>if (a < b) {{}}</script>{long}</article><div class="comments"><p>Nice one, thanks.</p></div><footer>&copy; us</footer></body></html>"""
