@@ -70,11 +70,11 @@ def _sketches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat = np.concatenate(kept) if kept else np.zeros(0, np.int64)
         yield pa.RecordBatch.from_arrays(
             [
-                block.column("doc_id").combine_chunks(), pa.array(count, pa.int64()), pa.array(signed(np.array(left, U64))),
+                block.column("doc_id").combine_chunks(), block.column("own").combine_chunks(), pa.array(count, pa.int64()), pa.array(signed(np.array(left, U64))),
                 pa.array(signed(np.array(right, U64))),
                 pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(flat)),
             ],
-            names=["doc_id", "n_shingles", "left", "right", "sketch"],
+            names=["doc_id", "own", "n_shingles", "left", "right", "sketch"],
         )
 
 
@@ -159,20 +159,12 @@ def _rest(texts: DataFrame, members: DataFrame) -> DataFrame:
     return met[0].unionByName(met[1]).select(F.least("doc_id", "doc_id_x").alias("a"), F.greatest("doc_id", "doc_id_x").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """``(doc_id, n_shingles, component_id)`` for every row of ``docs`` (``doc_id``, ``text``); links as in the module text.
-
-    Null, empty and wordless texts have no shingles and are components of their own. Rows that repeat a document
-    are in its component; a null ``doc_id`` takes the component of its text. Component ids are exact minima, so ties
-    cannot arise.
-    """
-    texts = texts_of(docs)
-    seen = staged(texts.mapInArrow(_sketches, "doc_id bigint, n_shingles bigint, `left` bigint, `right` bigint, sketch array<bigint>"), "sketches")
+def _grouped(texts: DataFrame) -> DataFrame:
+    """``(doc_id, own, n_shingles, group)`` for every row of ``texts`` (``doc_id``, here the number of a row, ``own``, ``text``)."""
+    seen = staged(texts.mapInArrow(_sketches, "doc_id bigint, own bigint, n_shingles bigint, `left` bigint, `right` bigint, sketch array<bigint>"), "sketches")
     key = ["left", "right", "n_shingles"]
     classes = staged(seen.filter("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("rep")), "classes")
-    reps = staged(
-        seen.select("doc_id", "n_shingles", "sketch").join(classes.filter("rep is not null").select(F.col("rep").alias("doc_id")).distinct(), "doc_id").dropDuplicates(["doc_id"]), "reps",
-    )
+    reps = staged(seen.select("doc_id", "n_shingles", "sketch").join(classes.select(F.col("rep").alias("doc_id")), "doc_id"), "reps")
     held = reps.select("doc_id", "n_shingles", F.explode("sketch").alias("value"))
     common = staged(held.groupBy("value").agg(F.count("*").alias("held_by")).filter("held_by > 1"), "values")
     size = F.least("n_shingles", F.lit(SKETCH))
@@ -190,7 +182,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     first = lists.join(centres, "value").filter("doc_id <> centre").select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b")).distinct()
     # the one time that texts are shuffled: those of list members, for everything that follows
     listed = lists.join(centres, "value").select("doc_id").distinct()
-    whole = staged(texts.join(listed, "doc_id").dropDuplicates(["doc_id"]), "texts")
+    whole = staged(texts.select("doc_id", "text").join(listed, "doc_id"), "texts")
     links = _verified(first, reps, whole)
     found = components(links)
     placed = staged(
@@ -200,17 +192,31 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     unsettled = staged(placed.groupBy("value").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("value"), "unsettled")
     more = _verified(_rest(whole, placed.join(unsettled, "value").select("doc_id", "label").distinct()), reps, whole)
     found = components(links.unionByName(more))
-    of_class = staged(classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(*key, F.coalesce("label", "rep").alias("component_id")), "components")
-    return seen.select("doc_id", *key).join(of_class, key, "left").select(
-        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
-    )
+    of_class = staged(classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(*key, F.coalesce("label", "rep").alias("group")), "components")
+    return seen.select("doc_id", "own", *key).join(of_class, key, "left").select("doc_id", "own", "n_shingles", F.coalesce("group", "doc_id").alias("group"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """``(doc_id, n_shingles, component_id)`` for every row of ``docs`` (``doc_id``, ``text``); links as in the module text.
+
+    Rows are numbered as they are written, and all work is on those numbers; so rows that repeat a document, that share
+    an id but not the text, or that have no id are told apart. ``component_id`` is the smallest id in the component, for
+    rows without id as well; null if no row of it has one. Null, empty and wordless texts have no shingles and are
+    components of their own.
+    """
+    numbered = texts_of(docs).select(F.monotonically_increasing_id().alias("doc_id"), F.col("doc_id").cast("bigint").alias("own"), "text")
+    grouped = staged(_grouped(staged(numbered, "rows")), "groups")
+    low = grouped.groupBy("group").agg(F.min("own").alias("component_id"))
+    return grouped.join(low, "group").select(F.col("own").alias("doc_id"), "n_shingles", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """One document of each group stays, the one with the smallest id; rows without id or words all stay."""
-    apart, names = set_apart(docs, "doc_id")
-    kept = near_duplicates(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    return apart.join(kept, "doc_id").unionByName(apart.filter("doc_id is null")).select(*apart.columns).toDF(*names)
+    """One row of each group stays: the one with the smallest id, or any of a group without ids. Rows without words all stay."""
+    apart, names = set_apart(docs, "doc_id", "text")
+    rows = staged(apart.withColumn("row", F.monotonically_increasing_id()), "rows")
+    grouped = _grouped(rows.select(F.col("row").alias("doc_id"), F.col("doc_id").cast("bigint").alias("own"), F.coalesce("text", F.lit("")).alias("text")))
+    kept = grouped.groupBy("group").agg(F.min(F.struct(F.col("own").isNull().alias("none"), "own", "doc_id")).alias("first"))
+    return rows.join(kept.select(F.col("first.doc_id").alias("row")), "row", "left_semi").select(*apart.columns).toDF(*names)
 
 
 def op10_neardup(spark: SparkSession, folder: str) -> DataFrame:

@@ -408,6 +408,20 @@ def test_near_duplicates(spark, docs, none):
     assert {r["doc_id"] for r in kept.collect()} == {d for d, _, c in want if d == c}
 
 
+def test_near_duplicates_of_null_repeated_and_shared_ids(spark):
+    """One row of a group stays whatever the ids are; a text is not lost because another row has its id."""
+    w, v = near_copies(21, 2, 120, 0)[1], near_copies(22, 2, 120, 0)[1]
+    near = w.replace("b21_7 ", "other ")
+    rows = [(1, w), (1, v), (2, v), (None, w), (None, w), (None, near), (3, near), (3, near), (None, "alone here"), (None, None), (None, None), (7, "")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = sorted(((r["doc_id"], r["text"]) for r in neardup.drop_near_duplicates(df).collect()), key=repr)
+    assert kept == sorted([(1, w), (1, v), (None, "alone here"), (None, None), (None, None), (7, "")], key=repr)
+    found = by_row(rows_of(neardup.near_duplicates(df)), "doc_id", "n_shingles", "component_id")
+    n = len(w.split()) - 4
+    assert found == sorted([(1, n, 1), (1, n, 1), (2, n, 1), (None, n, 1), (None, n, 1), (None, n, 1), (3, n, 1), (3, n, 1), (None, 1, None), (None, 0, None), (None, 0, None), (7, 0, 7)], key=repr)
+    assert neardup.drop_near_duplicates(spark.createDataFrame([(None, w), (None, near)], df.schema)).count() == 1
+
+
 def test_pages_open_head_foreign_elements_and_tokens_around():
     assert pages.Page("<html><head><title>t</title><meta a=b><body><p>one two</p></body></html>").text == ["one two"]
     assert pages.Page("<head><noscript><body><p>one").text == ["one"]
