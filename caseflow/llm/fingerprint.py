@@ -20,6 +20,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,8 +31,8 @@ LOW, HIGH = 0.001, 0.2
 RATES = 12
 SUBSETS = 5
 BLOCK_BYTES = 1 << 20
-#: Text that one range of documents holds.
-RANGE_BYTES = 8 << 20
+#: Text that one range of documents holds, and one range of terms is counted from.
+RANGE_BYTES = 16 << 20
 TERM_BITS = 40
 WORD_BYTES = byte_table([*SPACES, *b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"])
 
@@ -54,8 +55,9 @@ def _add(terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> np.ndarray:
     """Terms in the band, in order. Frequencies are counted over all rows of ``docs``, texts without terms included."""
     spark = docs.sparkSession
-    total = docs.count()
-    ranges = max(256, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    total, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    # as many ranges as keep what one of them holds bounded, even if no two tasks had a term in common
+    ranges = max(256, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")), size // RANGE_BYTES)
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, counts = np.zeros(0, U64), np.zeros(0, np.int64)
@@ -148,27 +150,67 @@ def written(parts: np.ndarray) -> list[str]:
     return [a + b for a, b in zip(whole, rest)]
 
 
+class Cuts:
+    """First keys of ranges of documents in the order (id descending, rows without id last; hash of the text)."""
+
+    def __init__(self, keys: list[tuple[int | None, int]]):
+        """``keys`` in that order."""
+        named, rest = [k for k in keys if k[0] is not None], [k for k in keys if k[0] is None]
+        self.keys = keys
+        self.at = np.array([~i for i, _ in named], np.int64)  # ascending, without overflow
+        self.hash = np.array([h for _, h in named], np.int64)
+        self.rest = np.array([h for _, h in rest], np.int64)
+
+    def part(self, ids: pa.Array, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Number of the range of each row, and whether the row is the first of its range."""
+        none = pc.is_null(ids).to_numpy(zero_copy_only=False)
+        at = ~pc.fill_null(ids, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        part = np.searchsorted(self.at, at, "right")
+        low = np.searchsorted(self.at, at, "left")
+        for a, b in {(x, y) for x, y in zip(low.tolist(), part.tolist()) if x < y}:  # ranges that begin within one id
+            rows = np.flatnonzero((low == a) & (part == b))
+            part[rows] = a + np.searchsorted(self.hash[a:b], hashes[rows], "right")
+        part[none] = len(self.at) + np.searchsorted(self.rest, hashes[none], "right")
+        part = part - 1
+        whole = np.concatenate([self.hash, self.rest])
+        first = np.where(none, part >= len(self.at), (part < len(self.at)) & (self.at[np.clip(part, 0, max(len(self.at) - 1, 0))] == at if len(self.at) else False))
+        return part, first & (whole[part] == hashes)
+
+
 def ordered_ranges(docs: DataFrame) -> DataFrame:
     """``docs`` (``doc_id``, ``text``) dealt by descending id into even ranges; the first row of each also follows the range before.
 
-    Adds ``part``, and ``guest``: true for the row that only follows. Rows without id come last, equal ids are ordered
-    by a hash of their text. The number of ranges follows the bytes of text.
+    Adds ``part``, and ``guest``: true for the row that only follows. Rows without id come last; equal ids, and rows
+    without id, are ordered by a hash of their text, so they spread over ranges as well. Ranges are those that Spark
+    draws for the keys alone; their first keys, one row a range, go back to the texts and decide the range of a row by
+    binary search. Rows that repeat a document are in one range, which is read as a stream.
     """
     spark = docs.sparkSession
-    size = docs.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(size["bytes"] or 0) // RANGE_BYTES), 1)
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], 20_000)).first()[0] or []
-    cuts = sorted(set(cuts), reverse=True)
-    part = F.coalesce(F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]), lambda c: c > F.col("doc_id"))) if cuts else F.lit(0), F.lit(len(cuts))).cast("int")
-    dealt = docs.withColumn("part", part)
-    firsts = [(r["part"], r["top"]) for r in dealt.groupBy("part").agg(F.max("doc_id").alias("top")).orderBy("part").collect()]
-    before = {top: firsts[i - 1][0] for i, (_, top) in enumerate(firsts)}
-    guests = spark.createDataFrame([(top, p) for top, p in before.items()], "top bigint, follows int")
-    rows = dealt.join(F.broadcast(guests), F.col("doc_id").eqNullSafe(F.col("top")), "left")
-    rows = rows.select("doc_id", "text", F.explode(F.when(F.col("follows").isNull(), F.array(F.struct("part", F.lit(False).alias("guest")))).otherwise(
-        F.array(F.struct("part", F.lit(False).alias("guest")), F.struct(F.col("follows").alias("part"), F.lit(True).alias("guest"))))).alias("to"))
-    rows = rows.select("doc_id", "text", "to.part", "to.guest")
-    return rows.repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions("part", "guest", F.col("doc_id").desc_nulls_last(), F.xxhash64("text"))
+    size = docs.agg(F.sum(F.octet_length("text")).alias("bytes")).first()["bytes"] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(size) // RANGE_BYTES))
+    order = [F.col("doc_id").desc_nulls_last(), F.col("hash")]
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"))
+    own = F.struct(F.col("doc_id").isNull().alias("none"), F.bitwise_not("doc_id").alias("at"), "hash", "doc_id")
+    firsts = keyed.select("doc_id", "hash").repartitionByRange(parts, *order).groupBy(F.spark_partition_id().alias("part")).agg(F.min(own).alias("first"))
+    cuts = spark.sparkContext.broadcast(Cuts([(r["first"]["doc_id"], r["first"]["hash"]) for r in sorted(firsts.collect(), key=lambda r: (r["first"]["none"], r["first"]["at"] or 0, r["first"]["hash"]))]))
+
+    def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            part, first = cuts.value.part(batch.column("doc_id"), batch.column("hash").to_numpy())
+            yield _dealt(batch, part, False)
+            guests = np.flatnonzero(first)
+            if len(guests):
+                before = (part[guests] - 1) % len(cuts.value.keys)
+                yield _dealt(batch.take(pa.array(guests)), before, True)
+
+    rows = keyed.mapInArrow(deal, "doc_id bigint, text string, hash bigint, part int, guest boolean")
+    return rows.repartitionById(max(len(cuts.value.keys), 1), F.col("part")).sortWithinPartitions("part", "guest", *order).drop("hash")
+
+
+def _dealt(batch: pa.RecordBatch, part: np.ndarray, guest: bool) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*batch.columns, pa.array(part.astype(np.int32)), pa.array(np.full(len(part), guest))], names=[*batch.schema.names, "part", "guest"])
 
 
 def fingerprints(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:

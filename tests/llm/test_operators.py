@@ -298,6 +298,71 @@ def test_fingerprints(spark, docs, none):
     assert fingerprint.fingerprints(none).count() == 0
 
 
+def plain_fingerprint(text, band, of):
+    """Components of a text by loops over its terms; ``of`` has the number of a term."""
+    mask, size = (1 << 64) - 1, 1 + fingerprint.SUBSETS * fingerprint.RATES
+
+    def mixed(x):
+        x = ((x ^ x >> 30) * 0xBF58476D1CE4E5B9) & mask
+        x = ((x ^ x >> 27) * 0x94D049BB133111EB) & mask
+        return x ^ x >> 31
+
+    terms = {of[w] for w in re.findall(r"[^\x00-\x20!-/:-@\[-`{-~]+|[\x00-\x08\x0e-\x1f]+", text.lower())}
+    terms = (terms & band) or terms
+    out = [0] * size
+    for t in terms:
+        value = mixed(t ^ fingerprint.BASES[0])
+        out[0] = (out[0] + value) & mask
+        for k in range(fingerprint.SUBSETS):
+            bits, used = 0, 64
+            for rate in range(1, fingerprint.RATES + 1):
+                if used + rate > 64:
+                    bits, used = mixed((t + (k * fingerprint.RATES + rate) * fingerprint.BASES[1]) & mask), 0
+                if not bits >> used & ((1 << rate) - 1):
+                    out[k * fingerprint.RATES + rate] = (out[k * fingerprint.RATES + rate] + value) & mask
+                used += rate
+    return [out[0], *[mixed(x) >> 32 for x in out[1:]]]
+
+
+def plain_likeness(a, b):
+    if a == b:
+        return 1.0
+    rates = fingerprint.RATES
+    same = used = 0
+    for rate in range(1, rates + 1):
+        at = [k * rates + rate for k in range(fingerprint.SUBSETS)]
+        if all(a[i] for i in at) and all(b[i] for i in at):
+            continue
+        used += sum(bool(a[i] or b[i]) for i in at)
+        same += sum(bool((a[i] or b[i]) and a[i] == b[i]) for i in at)
+    return same / (1 + used)
+
+
+def test_fingerprints_against_loops(spark):
+    """Neighbours over many ranges with ids that are null, repeated and shared; fingerprints and likeness by plain loops."""
+    texts = random_texts(13, 90, 120, 60)
+    rng = random.Random(4)
+    rows = [(rng.choice([None, 5, 7, *range(100, 160)]), t) for t in texts] + [(5, texts[0])] * 3 + [(None, ""), (-(2**63), "low id"), (2**63 - 1, "high id")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    low, high = 0.02, 0.5
+    words = sorted({w for _, t in rows for w in t.split()})
+    of = {w: int(fingerprint.distinct_terms(pa.array([w]))[0][0]) for w in words}
+    count = {w: sum(w in t.split() for _, t in rows) for w in words}
+    band = {of[w] for w in words if low * len(rows) <= count[w] <= high * len(rows)}
+    hashed = [(d, t, h) for d, t, h in df.selectExpr("doc_id", "text", "xxhash64(text)").collect()]
+    order = sorted(hashed, key=lambda x: (x[0] is None, -(x[0] or 0), x[2]))
+    want = []
+    for i, (doc, text, _) in enumerate(order):
+        after = order[(i + 1) % len(order)][1]
+        half = len(text) // 2
+        edited = text[: len(text) - half] + after[:half]
+        of.update({w: int(fingerprint.distinct_terms(pa.array([w]))[0][0]) for w in edited.split()})
+        a, b, c = (plain_fingerprint(x, band, of) for x in (text, edited, after))
+        want.append((doc, len(text), sha(edited), f"{a[0]:016x}" + "".join(f"{x:08x}" for x in a[1:]), round(plain_likeness(a, b), 9), round(plain_likeness(a, c), 9)))
+    got = [(r["doc_id"], r["n_chars"], r["edited_sha256"], r["fingerprint"], round(r["near_edited"], 9), round(r["near_next"], 9)) for r in rows_of(fingerprint.fingerprints(df, low, high))]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
 def test_fingerprint_packing():
     import numpy as np
 
