@@ -191,15 +191,19 @@ def match_cascade(claims: DataFrame, facts: DataFrame | tuple[DataFrame, DataFra
 
 def matched_cases(cascade: DataFrame) -> DataFrame:
     """Matched claims with the fact columns flattened under ``bts_`` names."""
+    return flattened(cascade.filter("match_status = 'matched'"))
+
+
+def flattened(cascade: DataFrame) -> DataFrame:
+    """All claims with the fact columns under ``bts_`` names, whatever their status."""
     names = {
         "carrier": "bts_carrier", "fl_num": "bts_flight_num", "date_str": "bts_date", "origin": "bts_origin",
         "dest": "bts_destination", "is_cancelled": "bts_cancelled", "significant_delay": "bts_significant_delay",
         "refund_eligible": "bts_refund_eligible", "arr_delay_minutes": "bts_arr_delay_minutes",
         "dep_delay_minutes": "bts_dep_delay_minutes",
     }
-    kept = cascade.filter("match_status = 'matched'")
-    return kept.select(
-        *[c for c in kept.columns if c not in ("fact", "suggested")], *[F.col(f"fact.{k}").alias(v) for k, v in names.items()]
+    return cascade.select(
+        *[c for c in cascade.columns if c not in ("fact", "suggested")], *[F.col(f"fact.{k}").alias(v) for k, v in names.items()]
     )
 
 

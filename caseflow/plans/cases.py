@@ -291,8 +291,7 @@ def decision_summary(t):
     DECIDE_CTES,
 )
 def case_breakdown(t):
-    decisions, rest = decided_cases(t)
-    return dec.case_breakdown(decisions, rest).withColumn("compliance_rate", F.round("compliance_rate", 6))
+    return dec.case_figures(mat.flattened(cascade(t))).withColumn("compliance_rate", F.round("compliance_rate", 6))
 
 
 @query(
@@ -345,7 +344,7 @@ def _money(amount: str) -> str:
     DECIDE_CTES,
 )
 def summary_blocks(t):
-    return dec.summary_blocks(dec.case_breakdown(*decided_cases(t)))
+    return dec.summary_blocks(dec.case_figures(mat.flattened(cascade(t))))
 
 
 # ---- complaint texts ----

@@ -13,6 +13,7 @@ from caseflow.session import written_lines
 from caseflow.sources.arrays import array_elements
 
 DELIMITERS = [",", ";", "\t", "|"]
+HEAD_LINES = 64
 
 TX_LOG_SCHEMA = T.StructType(
     [
@@ -54,13 +55,16 @@ CALL_SCHEMA = T.StructType(
 )
 
 
-def read_table(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    """Header CSV as trimmed strings; empty cells and missing tail cells are null."""
+def read_table(spark: SparkSession, path: str, sep: str = ",", multiline: bool = False) -> DataFrame:
+    """Header CSV as trimmed strings; empty cells and missing tail cells are null.
+
+    With ``multiline`` quoted cells may hold line ends; a file is one task then, so it is asked for only where it is needed.
+    """
     return (
         spark.read.option("header", True)
         .option("sep", sep)
         .option("mode", "PERMISSIVE")
-        .option("multiLine", False)
+        .option("multiLine", multiline)
         .option("ignoreLeadingWhiteSpace", True)
         .option("ignoreTrailingWhiteSpace", True)
         .csv(path)
@@ -89,22 +93,29 @@ def read_auto(spark: SparkSession, path: str) -> DataFrame:
     if path.endswith(".parquet"):
         return spark.read.parquet(path)
     kind = sniff_text(spark, path)
-    return read_records(spark, path) if kind["kind"] == "json" else read_table(spark, path, kind.get("sep", ","))
+    return read_records(spark, path) if kind["kind"] == "json" else read_table(spark, path, kind.get("sep", ","), kind.get("multiline", False))
 
 
 def sniff_text(spark: SparkSession, path: str) -> dict:
-    """Format of a text file from its first two lines that are not blank: csv with its delimiter, json or text.
+    """Format of a text file from its first two records: csv with its delimiter, json or text.
 
-    Delimited text has more than one cell in both lines, quoted cells counting as one.
+    Delimited text has as many cells in both records, more than one, a quoted cell counting as one however many lines it
+    holds; ``multiline`` says that one of them holds several. A record is looked for in the first ``HEAD_LINES`` lines.
     """
-    head = [r["value"] for r in spark.read.text(path).filter(F.trim("value") != "").limit(2).collect()]
-    if head and head[0].lstrip()[:1] in ("{", "["):
+    head = [r["value"] + "\n" for r in spark.read.text(path).limit(HEAD_LINES).collect()]
+    lines = [x for x in head if x.strip()]
+    if lines and lines[0].lstrip()[:1] in ("{", "["):
         return {"kind": "json"}
-    if len(head) == 2:
-        for sep in DELIMITERS:
-            if all(len(cells) > 1 for cells in csv.reader(head, delimiter=sep)):
-                return {"kind": "csv", "sep": sep}
-    return {"kind": "text"}
+    found = None
+    for sep in DELIMITERS:
+        records = [cells for cells in csv.reader(head, delimiter=sep) if any(c.strip() for c in cells)][:2]
+        if len(records) == 2 and all(len(cells) > 1 for cells in records):
+            same = len(records[0]) == len(records[1])
+            if same or found is None:
+                found = {"kind": "csv", "sep": sep} | ({"multiline": True} if any("\n" in c for cells in records for c in cells) else {})
+            if same:
+                break
+    return found or {"kind": "text"}
 
 
 def text_stats(df: DataFrame, text: str, key: str | None = None) -> DataFrame:

@@ -73,6 +73,15 @@ def test_complaint_chain(spark):
     assert sorted(r["claim"]["claim_id"] for r in claims.collect())[0] == "RFC-20240501-0000"
 
 
+def test_case_figures_equal_breakdown(spark):
+    facts = shaping.derive_fact_flags(fixtures.flights(spark))
+    claims = spark.createDataFrame([(1, "UA731", "2015-03-04", None, None, "cancelled", "lost bag fee"), (2, None, None, None, None, None, "x"), (3, "ZZ9", None, "ORD", "SEA", "delay", "wifi")], "claim_id int, flight_number string, flight_date string, origin string, destination string, incident_type string, original_text string")
+    for some in (claims, claims.filter("claim_id = 2"), claims.limit(0)):
+        found = matching.match_cascade(some, facts)
+        want = decisions.case_breakdown(decisions.decide(matching.matched_cases(found)), matching.unmatched_cases(found))
+        assert sorted(map(tuple, decisions.case_figures(matching.flattened(found)).collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+
+
 def test_match_equals_nested_loops(spark):
     """The lookup join against the rule written as loops, with one hot route and one hot key."""
     rnd = random.Random(3)
@@ -436,6 +445,20 @@ def test_sources_and_report(spark, tmp_path):
     assert "".join(p.read_text() for p in sorted((tmp_path / "s").glob("part-*"))).splitlines() == ['{"a":5,"b":1}', '{"a":1,"b":2}']
 
 
+def test_quoted_cells_over_several_lines(spark, tmp_path):
+    path = tmp_path / "notes.txt"
+    path.write_text('\nname;note\n"Ann ""A""";"first\nsecond; third\n\nfourth"\nBob;"x"\n')
+    assert readers.sniff_text(spark, str(path)) == {"kind": "csv", "sep": ";", "multiline": True}
+    rows = {r["name"]: r["note"] for r in readers.read_auto(spark, str(path)).collect()}
+    assert len(rows) == 2 and rows["Bob"] == "x" and "fourth" in [v for k, v in rows.items() if k != "Bob"][0]
+    (tmp_path / "plain.txt").write_text("a,b\n1,2\n")
+    assert readers.sniff_text(spark, str(tmp_path / "plain.txt")) == {"kind": "csv", "sep": ","}
+    (tmp_path / "prose.txt").write_text("Dear Ann, hello\nno cells here\n")
+    assert readers.sniff_text(spark, str(tmp_path / "prose.txt")) == {"kind": "text"}
+    (tmp_path / "open.txt").write_text('a,"b\n' + "more\n" * 100)
+    assert readers.sniff_text(spark, str(tmp_path / "open.txt"))["kind"] == "text"
+
+
 def test_json_arrays_are_read_by_byte_ranges(spark, tmp_path):
     """Strings with brackets, quotes and escapes, nested values, pretty print, several files; ranges of a few bytes."""
     import json
