@@ -73,9 +73,7 @@ class Encoder:
     def encode(self, text: str, plain: bool) -> np.ndarray:
         if not plain:
             return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
-        if any(s in text for s in self.special):
-            return np.array(self.fast.encode(text, allowed_special="all"), np.uint32)
-        return np.array(self.fast.encode_ordinary(text), np.uint32)
+        return self.fast.encode_to_numpy(text, allowed_special="all")
 
     @staticmethod
     def plain_texts(column: pa.ChunkedArray) -> np.ndarray:
@@ -231,6 +229,8 @@ class Island:
     def evolve(self, packings: list[np.ndarray], patterns: list[list[int]], population: int, generations: int) -> list[np.ndarray]:
         """The packings after some generations, best first."""
         found = sorted(packings, key=self.worth)
+        if found and self.worth(found[0])[0] <= self.least:
+            return found[:1]
         while len(found) < population:
             found.append(self.fresh(0.0 if not found else 0.05 * len(found)))
             if self.worth(found[-1])[0] <= self.least:
