@@ -1,13 +1,14 @@
 """Removal of word windows that occur more than once in the corpus, by level-wise doubling.
 
-Levels go from about half the wanted length (or a quarter, an eighth: below ``FIRST`` words) to the wanted length, each
-at most twice the one before. A window can only repeat if the shorter windows inside it do, so each level hashes the
+Levels go from a quarter of the wanted length (or an eighth, a sixteenth: at most ``FIRST`` words) to the wanted length,
+each at most twice the one before: 9, 18 and 35 words. A window can only repeat if the shorter windows inside it do, so each level hashes the
 windows that survived the last one alone, and levels end when no candidates survive. Longer levels than the wanted
 length cannot remove another word: a longer repeated window consists of repeated windows of the wanted length.
 
 The first level looks at minimizers only: of the short windows inside a window of the next level the one with the
 smallest hash (leftmost on ties). Equal windows choose the same one, so a window whose minimizer occurs once occurs
-once itself; about one word in ten begins a minimizer.
+once itself; about one word in five begins a minimizer. From the second level on all windows that are left are counted, and only
+those that repeat are extended.
 
 Each level is one aggregate over (hash) that counts and keeps one position. Tasks combine their own repetitions before
 the shuffle, so a passage that a third of all texts share is one row per task. What goes back to the documents are the
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from caseflow.llm.shared import SPACES, U64, Words, byte_table, merged_cover, ragged, signed, staged, table, text_blocks, texts_of
 
 LENGTH = 35
-FIRST = 24
+FIRST = 12
 BLOCK_BYTES = 1 << 20
 WORD_BYTES = byte_table(SPACES)
 
@@ -78,11 +79,6 @@ def _single(rows: DataFrame) -> DataFrame:
     return once.groupBy("doc").agg(F.collect_list("at").alias("single"))
 
 
-def _own(column, text: int) -> np.ndarray:
-    found = column[text]
-    return found.values.to_numpy(zero_copy_only=False).astype(np.int64) if found.is_valid else np.zeros(0, np.int64)
-
-
 def _spread(column: pa.ChunkedArray, first: np.ndarray) -> np.ndarray:
     """Positions within each text, as numbers of words of the block."""
     lists = column.combine_chunks()
@@ -115,10 +111,10 @@ def remove_repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``(doc_id, n_words, n_removed, kept_sha256, removed)`` for every row of ``docs`` (``doc_id``, ``text``).
 
     ``removed`` are the ranges of words that repeated windows cover. Null, empty and short texts lose nothing. Rows
-    that repeat a document (same id and text) repeat all its windows. Rows without id are told apart by their texts;
-    other rows must not share an id unless they share the text.
+    that repeat a document (same id and text) repeat all its windows. Rows are told apart by id and text together, so
+    they may share an id or have none.
     """
-    texts = texts_of(docs).withColumn("doc", F.coalesce("doc_id", -F.shiftrightunsigned(F.xxhash64("text"), 1) - 1))
+    texts = texts_of(docs).withColumn("doc", F.xxhash64("doc_id", "text"))
     lengths = levels_of(length)
     short, long = lengths[0], lengths[1]
 

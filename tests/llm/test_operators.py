@@ -206,8 +206,17 @@ def test_substring(spark, docs, none, length):
         assert substring.remove_repeated(none, length).count() == 0
 
 
+def test_substring_of_shared_and_missing_ids(spark):
+    """Rows that share an id or have none are documents of their own; repeated rows repeat all their windows."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(80)) for x in "abc")
+    rows = [(1, a), (1, b + " " + a[:400]), (None, c), (None, c), (None, b[:300]), (-5, "x " * 50), (2, "short"), (2, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = by_row(rows_of(substring.remove_repeated(df, 35)), "doc_id", "n_words", "n_removed", "kept_sha256")
+    assert got == plain_repeats(input_rows(df), 35)
+
+
 def test_substring_levels():
-    assert substring.levels_of(35) == [18, 35] and substring.levels_of(200) == [13, 25, 50, 100, 200] and substring.levels_of(5) == [3, 5]
+    assert substring.levels_of(35) == [9, 18, 35] and substring.levels_of(200) == [7, 13, 25, 50, 100, 200] and substring.levels_of(5) == [3, 5]
 
 
 def test_language(spark, none):
