@@ -60,11 +60,15 @@ def fact_lookup(facts: DataFrame, tiers: tuple[str, ...] = TIERS) -> DataFrame:
 
 
 def with_facts(placed: DataFrame, facts: DataFrame) -> DataFrame:
-    """``placed`` with the fact that counts at its ``pos``."""
+    """``placed`` (one row a ``claim_id``) with the fact that counts at its ``pos``; of facts that share an id the least.
+
+    The choice between those is made among the rows that claims have asked for, so the facts are never sorted for it.
+    """
     last = fact_places(facts).select("pos", "last")
     last = last.groupBy("pos").agg(F.max("last").alias("last"))  # places share a position where ids are not unique
-    rows = fact_rows(facts)
-    return placed.join(last, "pos").join(rows, F.col("last") == F.col("fact_id")).drop("pos", "last", "fact_id")
+    rows = facts.select("fact_id", F.struct(*FACT_COLUMNS).alias("fact"))
+    asked = placed.join(last, "pos").join(rows, F.col("last") == F.col("fact_id"))
+    return asked.groupBy(*[c for c in placed.columns if c != "pos"]).agg(F.min("fact").alias("fact"))
 
 
 def _probes(claims: DataFrame, tolerance: int, tiers: tuple[str, ...]) -> DataFrame:
