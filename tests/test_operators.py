@@ -1,6 +1,7 @@
 import random
-from itertools import combinations
+from itertools import combinations, product
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -210,6 +211,44 @@ def test_fuzzy_pairs_equal_all_pairs(spark, hot_block):
     assert sorted(found) == sorted(want) and {(900, 902), (903, 904)} <= {(i, j) for i, j, _ in want}
 
 
+@pytest.mark.parametrize("hot_block", [4, 1000])
+def test_all_pairs_equal_brute_force(spark, hot_block):
+    """One table and two, bounds on one text or on one of two, blank, long and many-lettered texts."""
+    rnd = random.Random(hot_block)
+    word = lambda most, letters="abcdef ": "".join(rnd.choice(letters) for _ in range(rnd.randint(0, most)))
+    rows = [(i, word(9), word(7), str(i % 3)) for i in range(70)] + [(70, "x" * 90, "日本語", "0"), (71, "x" * 88 + "yz", "日本の語", "0"), (72, "", "", "1"), (73, "", "", "1")]
+    two = [(100 + i, b, a, k) for i, a, b, k in rows]
+    schema = "id bigint, a string, b string, k string"
+    left, right = spark.createDataFrame(rows, schema), spark.createDataFrame(two, schema)
+
+    def score(found):
+        total = 60 * found["a"] + 30 * found["b"] * found["b_filled"] + 1000 * found["k"]
+        return np.where(total >= 5500, total, -1)
+
+    def plain(x, y):
+        return 60 * _ratio(x[1], y[1]) + (30 * _ratio(x[2], y[2]) if x[2] and y[2] else 0) + 1000 * (x[3] == y[3])
+
+    for bounds in ([{"a": 25}], [{"a": 60}, {"a": 25, "b": 32}]):
+        for other, pairs in ((None, combinations(rows, 2)), (right, product(rows, two))):
+            want = sorted((x[0], y[0], n) for x, y in pairs if (n := plain(x, y)) >= 5500)
+            found = candidates.all_pairs(left, other, bounds, ["a", "b"], score, ("k",), hot_block)
+            assert sorted(map(tuple, found.collect())) == want and len(want) > 40
+    assert candidates.all_pairs(left.limit(0), right, [{"a": 25}], ["a", "b"], score, ("k",)).count() == 0
+
+
+def test_fuzzy_pairs_write_few_bytes_a_row(spark, tmp_path):
+    """What a row writes does not depend on how many keys its texts offer."""
+    df = spark.createDataFrame(_people(random.Random(5), 225), "pos int, name string, email string, company string")
+    sc = spark.sparkContext
+    before = sc.getCheckpointDir()
+    sc.setCheckpointDir(str(tmp_path))
+    resolve.fuzzy_pairs(df, "pos").count()
+    written = sum(f.stat().st_size for f in tmp_path.rglob("part-*"))
+    if before:
+        sc.setCheckpointDir(before.rsplit("/", 1)[0])
+    assert 0 < written < 1000 * 300
+
+
 def test_changed_initials_are_found_by_every_fuzzy_join(spark):
     people = spark.createDataFrame(KATE[:1], "pos int, name string, email string, company string").withColumn("customer_id", F.lit("K1"))
     records = spark.createDataFrame([("r", "Cate Miller", "cate.miller@x.com")], "rec_id string, name string, email string")
