@@ -571,3 +571,27 @@ def test_operator_catalog():
     from caseflow.operators import operator_catalog
 
     assert {"matching.match_cascade", "xref.xref_match", "positions.top_share"} <= set(operator_catalog())
+
+
+def test_matching_reads_facts_once_and_asks_later_tiers_for_open_claims(spark):
+    flights = spark.createDataFrame([(1, "AB", "1", "ORD", "SEA"), (2, "AB", "2", "ORD", "LAX"), (3, "CD", "3", "BOS", "SEA")], "fact_id long, carrier string, fl_num string, origin string, dest string")
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    flights = flights.mapInArrow(counted, flights.schema).selectExpr("*", "date '2020-01-05' as flight_date")
+    rows = [(1, "AB1", "2020-01-06", None, None), (2, "AB2", None, "BOS", "SEA"), (3, "ZZ9", "2020-01-05", "BOS", "SEA"), (4, "ZZ9", None, None, None)]
+    claims = spark.createDataFrame(rows, "claim_id long, flight_number string, flight_date string, origin string, destination string")
+    got = {r["claim_id"]: (r["tier"], r["score_pct"], r["match_reason"], r["fact"]["fl_num"]) for r in matching.match_claims(claims, shaping.derive_fact_flags(flights)).collect()}
+    assert got == {1: (2, 80, "key_date_within_1d", "1"), 2: (3, 60, "key_only", "2"), 3: (4, 80, "partial_origin+destination+date", "3")}
+    assert seen.value == 3
+
+
+def test_positions_without_keys_need_no_window_over_the_rows(spark):
+    df = spark.range(5000).selectExpr("(id * 7919) % 5000 as id", "concat('t', id) as t")
+    out = positions.running_position(df, [], ["id"], "at")
+    assert out.filter("at <> id + 1").isEmpty() and out.count() == 5000
+    assert "row_number" not in out._jdf.queryExecution().toString()
