@@ -573,6 +573,14 @@ def test_operator_catalog():
     assert {"matching.match_cascade", "xref.xref_match", "positions.top_share"} <= set(operator_catalog())
 
 
+def test_column_samples_sort_nothing_but_the_first(spark):
+    df = spark.range(1000).selectExpr("id", "if(id < 3, '', concat('v', 999 - id)) as a", "if(id = 7, 'NULL', null) as b")
+    out = profiling.column_samples(df, ["id"], 2)
+    assert {r["name"]: r["sample_values"] for r in out.collect()} == {"id": ["0", "1"], "a": ["v996", "v995"], "b": []}
+    plan = df._jdf.queryExecution().executedPlan().toString() + out._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.count("TakeOrderedAndProject") >= 3
+
+
 def test_matching_reads_facts_once_and_asks_later_tiers_for_open_claims(spark):
     flights = spark.createDataFrame([(1, "AB", "1", "ORD", "SEA"), (2, "AB", "2", "ORD", "LAX"), (3, "CD", "3", "BOS", "SEA")], "fact_id long, carrier string, fl_num string, origin string, dest string")
     seen = spark.sparkContext.accumulator(0)
