@@ -262,6 +262,42 @@ def test_changed_initials_are_found_by_every_fuzzy_join(spark):
         assert found == 1, id_
 
 
+def test_best_names_go_tier_by_tier(spark, monkeypatch):
+    """The best of all names, ties included; only texts without a better name are compared at a low bound."""
+    rnd = random.Random(13)
+    names = sorted({f"{rnd.choice(['Maria', 'Ana'])} {''.join(rnd.choice('abcdefgh') for _ in range(rnd.randint(3, 9)))}" for _ in range(120)})
+    names += [base := "".join(rnd.choice("abcdefgh ") for _ in range(120)).strip(), base[:60] + "x" + base[60:]]
+    refs = [*names[:20], *(n[:-1] for n in names[10:60]), *(n[2:-1] for n in names[50:90]), base, base + "y", "CUST900123", "CUST900124"]
+    people = [(f"K{i % 90}", n, len(names) - i) for i, n in enumerate([*names, *names[:5]])]
+    lefts, scored = {}, resolve.scored_pairs
+
+    def seen(left, right, index, bound, *args, **more):
+        lefts[bound] = {r["id"] for r in left.collect()}
+        return scored(left, right, index, bound, *args, **more)
+
+    monkeypatch.setattr(resolve, "scored_pairs", seen)
+    df = spark.createDataFrame(people, "customer_id string, name string, pos int")
+    found = resolve.best_names(spark.createDataFrame([(r,) for r in refs], "ref string"), df, "name", "customer_id", "pos", 80).collect()
+    want = {}
+    for ref in refs:
+        pct, pos, own = max((_ratio(ref, n), -pos, c) for c, n, pos in people)
+        if pct >= 80:
+            want[ref] = (own, pct)
+    assert {r["ref"]: (r["matched_id"], r["match_pct"]) for r in found} == want and len(found) == len(want)
+    assert not lefts[95] & set(names[:20]) and base in lefts[95]
+    assert lefts[80] == {r for r in refs if want.get(r, ("", 0))[1] < 90}
+
+
+def test_keys_hold_what_both_sides_have(spark):
+    """Texts of characters that no partner has offer nothing; near texts meet by what is left of them, not by a few letters."""
+    r, bands = 0.945, list(range(8, 18))
+    digits = frozenset(candidates.numbered_letters("CUST900123"))
+    assert list(candidates.keys_of("CUST900123", "", True, 0.795, {}, bands, False)) and not list(candidates.keys_of("CUST900123", "", True, 0.795, {}, bands, False, digits))
+    keys = lambda text, left: set(np.concatenate([k for _, k in candidates.keys_of(text, "", left, r, {}, bands, False)]).tolist())
+    ref = keys("Maria bcdefga", True)
+    assert ref & keys("Maria bcdefgah", False) and not ref & keys("Maria agfedcbh", False)
+
+
 def test_star_clusters_equal_sequential_rule(spark):
     rnd = random.Random(11)
     n = 60
