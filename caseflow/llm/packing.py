@@ -194,7 +194,8 @@ class Island:
     def well_filled(self, bins: np.ndarray) -> list[np.ndarray]:
         """Half of the fuller half of the bins, drawn at random."""
         fills = self.fills(bins)
-        found = [m for m in self.members(bins) if fills[bins[m[0]]] >= np.median(fills[fills > 0])]
+        middle = np.median(fills[fills > 0])
+        found = [m for m in self.members(bins) if fills[bins[m[0]]] >= middle]
         return [m for m, yes in zip(found, self.random.random(len(found)) < 0.5) if yes]
 
     def filled_from(self, patterns: list[list[int]]) -> list[np.ndarray]:

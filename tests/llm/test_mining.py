@@ -145,6 +145,17 @@ def test_island_operators():
     assert island.worth(best) <= island.worth(a)
 
 
+def test_bins_are_measured_once_per_choice(monkeypatch):
+    """What all bins are compared with is not computed again for each of them."""
+    calls, median = [], np.median
+    monkeypatch.setattr(np, "median", lambda x: calls.append(1) or median(x))
+    island = packing.Island(np.random.default_rng(1).integers(1, 100, 500), 100, 1)
+    bins = island.fresh(0.5)
+    fuller = median(island.fills(bins))
+    chosen = island.well_filled(bins)
+    assert len(calls) == 1 and chosen and all(island.lengths[m].sum() >= fuller for m in chosen)
+
+
 def test_bins_of_large_pieces(spark):
     """No two pieces fit together: every piece stays alone, however often it is dealt."""
     df = spark.range(300).selectExpr("id as unit", "60 as length")
