@@ -5,10 +5,10 @@ each at most twice the one before: 9, 18 and 35 words. A window can only repeat
 windows that survived the last one alone, and levels end when no candidates survive. Longer levels than the wanted
 length cannot remove another word: a longer repeated window consists of repeated windows of the wanted length.
 
-The first level looks at minimizers only: of the short windows inside a window of the next level the one with the
+The first level looks at minimizers only: of the short windows inside a window of the wanted length the one with the
 smallest hash (leftmost on ties). Equal windows choose the same one, so a window whose minimizer occurs once occurs
-once itself; about one word in five begins a minimizer. From the second level on all windows that are left are counted, and only
-those that repeat are extended.
+once itself; about one word in fourteen begins a minimizer. From the second level on all windows inside those that are left are
+counted, and only those that repeat are extended.
 
 Each level is one aggregate over (hash) that counts and keeps one position. Tasks combine their own repetitions before
 the shuffle, so a passage that a third of all texts share is one row per task. What goes back to the documents are the
@@ -65,6 +65,11 @@ def minimizers(words: Words, short: int, long: int) -> tuple[np.ndarray, np.ndar
     return starts, chosen.astype(np.int64), hashes
 
 
+def sieve_of(words: Words, levels: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Minimizers of the shortest level in the windows of the longest: fewer rows than for any level between."""
+    return minimizers(words, levels[0], levels[-1])
+
+
 def _rows(hashes: np.ndarray, docs: pa.Array, text: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
     if len(at):
         yield pa.RecordBatch.from_arrays([pa.array(signed(hashes)), docs.take(pa.array(text)), pa.array(at, pa.int32())], names=["hash", "doc", "at"])
@@ -116,24 +121,25 @@ def remove_repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """
     texts = texts_of(docs).withColumn("doc", F.xxhash64("doc_id", "text"))
     lengths = levels_of(length)
-    short, long = lengths[0], lengths[1]
+    long = lengths[1]
 
     def first_level(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in text_blocks(batches, BLOCK_BYTES):
             words = Words(block.column("text"), WORD_BYTES)
-            _, chosen, hashes = minimizers(words, short, long)
+            _, chosen, hashes = sieve_of(words, lengths)
             chosen = np.unique(chosen) if len(chosen) else chosen
             text = words.doc[chosen]
             yield from _rows(hashes[chosen], block.column("doc").combine_chunks(), text, chosen - words.first[text])
 
     def candidates(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Windows of the second level whose minimizer repeats; a text without any is finished here."""
+        """Windows of the second level inside windows whose minimizer repeats; a text without any is finished here."""
         for block in text_blocks(batches, BLOCK_BYTES):
             words = Words(block.column("text"), WORD_BYTES)
-            starts, chosen, _ = minimizers(words, short, long)
+            starts, chosen, _ = sieve_of(words, lengths)
             alone = np.zeros(len(words.hash) + 1, bool)
             alone[_spread(block.column("single"), words.first)] = True
-            open_ = starts[~alone[chosen]]
+            whole = starts[~alone[chosen]]
+            open_ = np.flatnonzero(merged_cover(whole, whole + length - long + 1, len(words.hash)))
             lists = _gather(open_, words)
             some = np.diff(np.searchsorted(open_, words.first)) > 0
             none = np.zeros(len(words.hash), bool)

@@ -219,6 +219,19 @@ def test_substring_levels():
     assert substring.levels_of(35) == [9, 18, 35] and substring.levels_of(200) == [7, 13, 25, 50, 100, 200] and substring.levels_of(5) == [3, 5]
 
 
+def test_substring_sieve_is_small():
+    """The first level writes a row for less than a tenth of the words, and equal windows choose the same ones."""
+    import pyarrow as pa
+
+    texts = random_texts(4, 12, 400, 5000)
+    words = substring.Words(pa.chunked_array([[*texts, f"other words {texts[0]}"]]), substring.WORD_BYTES)
+    starts, chosen, hashes = substring.sieve_of(words, substring.levels_of(35))
+    assert 0 < len(set(chosen.tolist())) < 0.1 * len(words.hash)
+    of = dict(zip(starts.tolist(), hashes[chosen].tolist()))
+    first, last = words.first[0], words.first[len(texts)] + 2
+    assert all(of[int(first + i)] == of[int(last + i)] for i in range(int(words.count[0]) - 34))
+
+
 def test_language(spark, none):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = langid.fit(langid.sample(df))
