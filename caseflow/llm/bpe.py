@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseflow.llm.merging import NEVER, Numbers, Pairs, leftmost
+from caseflow.llm.merging import NEVER, PART, Numbers, Pairs, leftmost
 from caseflow.llm.shared import ragged, table, text_blocks, texts_of
 
 BLOCK_BYTES = 6 << 20
@@ -45,15 +45,17 @@ class Ranks:
         sizes = np.array([len(w) for w in words], np.int64)
         symbol = self.byte[np.frombuffer(b"".join(words), np.uint8)]
         total = len(symbol)
+        place = np.int32 if total < 1 << 31 else np.int64
         starts = np.cumsum(sizes) - sizes
-        after, before = np.arange(1, total + 1), np.arange(-1, total - 1)
+        after, before = np.arange(1, total + 1, dtype=place), np.arange(-1, total - 1, dtype=place)
         after[starts + sizes - 1] = -1
         before[starts] = -1
         rank = np.full(total, NEVER)
-        inner = np.flatnonzero(after >= 0)
-        rank[inner], _ = self.pairs.find(symbol[inner], symbol[inner + 1])
         index: list[list | None] = [None] * len(self.token)
-        self._enter(index, inner, rank[inner])
+        for i in range(0, total, 4 * PART):
+            inner = np.flatnonzero(after[i : i + 4 * PART] >= 0).astype(place) + place(i)
+            rank[inner], _ = self.pairs.find(symbol[inner], symbol[inner + 1])
+            self._enter(index, inner, rank[inner])
         alone = np.zeros(len(words), bool)
         for now, held in enumerate(index):
             if held is None:
@@ -112,7 +114,7 @@ class Ranks:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and how many each has."""
         cut, number = regex.compile(self.pattern).findall, Numbers()
-        found = [list(map(number.__getitem__, cut(t))) for t in texts]
+        found = [np.fromiter(map(number.__getitem__, cut(t)), np.int32) for t in texts]
         words = [w.encode() for w in number]
         known = np.array([self.rank.get(w, -1) for w in words], np.int32)
         ids, counts = known.copy(), np.ones(len(words), np.int64)
@@ -126,12 +128,14 @@ class Ranks:
             ids[first[whole]] = known[whole]
             ids[ragged(first[rest], sizes)] = merged
         first = np.cumsum(counts) - counts
-        flat = np.concatenate([np.array(x, np.int64) for x in found]) if found else np.zeros(0, np.int64)
+        flat = np.concatenate(found) if found else np.zeros(0, np.int32)
         per_text = np.array([len(x) for x in found], np.int64)
-        size = counts[flat]
-        until = np.concatenate([[0], np.cumsum(size)])
-        ends = np.cumsum(per_text)
-        return ids[ragged(first[flat], size)], until[ends] - until[ends - per_text]
+        del found, number, words
+        tokens, some = np.zeros(len(texts), np.int64), per_text > 0
+        if some.any():
+            tokens[some] = np.add.reduceat(counts.astype(np.int32)[flat], (np.cumsum(per_text) - per_text)[some], dtype=np.int64)
+        parts = [ids[ragged(first[own], counts[own])] for own in (flat[i : i + PART] for i in range(0, len(flat), PART))]
+        return np.concatenate(parts) if parts else ids, tokens
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.token.__getitem__, ids.tolist()))

@@ -8,6 +8,8 @@ import numpy as np
 
 #: Rank of a pair that does not merge.
 NEVER = np.int32(2**31 - 1)
+#: Pairs looked up at a time, so that what a lookup needs besides its result stays small.
+PART = 1 << 16
 
 
 class Pairs:
@@ -29,6 +31,9 @@ class Pairs:
         """Rank and joined symbol of each pair, ``NEVER`` where there is none."""
         if not len(self.keys):
             return np.full(len(left), NEVER), np.zeros(len(left), np.int32)
+        if len(left) > PART:
+            found = [self.find(left[i : i + PART], right[i : i + PART]) for i in range(0, len(left), PART)]
+            return np.concatenate([r for r, _ in found]), np.concatenate([w for _, w in found])
         key = left.astype(np.int64) << 32 | right
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.rank[at], NEVER), self.whole[at]

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -75,6 +76,31 @@ def test_bpe(spark, docs, none):
     assert bpe.encode_back(none, path, public_tokenizers.PATTERN).count() == 0
 
 
+def test_bpe_memory_of_a_merge():
+    ranks = bpe.Ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    draw = random.Random(5)
+    words = ["".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=12)).encode() for _ in range(40_000)]
+    tracemalloc.start()
+    try:
+        ids, counts = ranks.merge(words)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 45 * sum(map(len, words))
+    assert counts.sum() == len(ids) and ranks.decode(ids) == b"".join(words)
+
+
+def test_bpe_texts_longer_than_a_part():
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    ranks = bpe.Ranks(path, public_tokenizers.PATTERN)
+    plain = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks.rank, special_tokens={})
+    draw = random.Random(6)
+    texts = ["", " a" * 70_000, "", "".join(draw.choices("abcdefgh", k=300_000)), *[" ".join(draw.choices(["été", "漢字", "qzxv", "the"], k=9)) for _ in range(9_000)], ""]
+    ids, counts = ranks.encode(texts)
+    want = [plain.encode_ordinary(t) for t in texts]
+    assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
 def test_bpe_small_vocabulary_with_rank_order_traps(tmp_path):
     import base64
 
