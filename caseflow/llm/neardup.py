@@ -181,16 +181,17 @@ def _grouped(texts: DataFrame) -> DataFrame:
     )
     first = lists.join(centres, "value").filter("doc_id <> centre").select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b")).distinct()
     # the one time that texts are shuffled: those of list members, for everything that follows
-    listed = lists.join(centres, "value").select("doc_id").distinct()
+    listed = staged(lists.join(centres, "value").select("doc_id").distinct(), "listed")
     whole = staged(texts.select("doc_id", "text").join(listed, "doc_id"), "texts")
-    links = _verified(first, reps, whole)
+    sketches = staged(reps.select("doc_id", "sketch").join(listed, "doc_id"), "listed")
+    links = _verified(first, sketches, whole)
     found = components(links)
     placed = staged(
         lists.join(centres, "value").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
         .select("value", "doc_id", F.coalesce("label", "doc_id").alias("label")), "placed",
     )
     unsettled = staged(placed.groupBy("value").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("value"), "unsettled")
-    more = _verified(_rest(whole, placed.join(unsettled, "value").select("doc_id", "label").distinct()), reps, whole)
+    more = _verified(_rest(whole, placed.join(unsettled, "value").select("doc_id", "label").distinct()), sketches, whole)
     found = components(links.unionByName(more))
     of_class = staged(classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(*key, F.coalesce("label", "rep").alias("group")), "components")
     return seen.select("doc_id", "own", *key).join(of_class, key, "left").select("doc_id", "own", "n_shingles", F.coalesce("group", "doc_id").alias("group"))

@@ -64,6 +64,18 @@ def by_row(rows, *columns):
     return sorted((tuple(r[c] for c in columns) for r in rows), key=repr)
 
 
+def test_near_duplicates_compare_sketches_of_list_members_only(spark, monkeypatch):
+    draw = random.Random(8)
+    text = lambda: " ".join(draw.choices([f"w{i}" for i in range(5000)], k=120))
+    near = text()
+    rows = [(0, near), (1, f"{near} more"), *[(i, text()) for i in range(2, 30)]]
+    given, verified = [], neardup._verified
+    monkeypatch.setattr(neardup, "_verified", lambda pairs, sketches, texts: given.append(sketches.count()) or verified(pairs, sketches, texts))
+    got = rows_of(neardup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")))
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: max(i - 1, 0) if i < 2 else i for i in range(30)}
+    assert given and max(given) == 2
+
+
 def test_bpe(spark, docs, none):
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     plain = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.Ranks(path, public_tokenizers.PATTERN).rank, special_tokens={})
