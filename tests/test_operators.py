@@ -236,6 +236,28 @@ def test_all_pairs_equal_brute_force(spark, hot_block):
     assert candidates.all_pairs(left.limit(0), right, [{"a": 25}], ["a", "b"], score, ("k",)).count() == 0
 
 
+@pytest.mark.parametrize("sparse", [1, 10**9])
+def test_all_pairs_in_large_blocks_equal_brute_force(spark, sparse, monkeypatch):
+    """Blocks are compared in pieces, and a least weighted sum loses no pair."""
+    rnd = random.Random(sparse)
+    word = lambda most: "".join(rnd.choice("abcdef ") for _ in range(rnd.randint(0, most)))
+    rows = [(i, word(9), word(7)) for i in range(90)] + [(90, "", ""), (91, "", ""), (92, "a", ""), (93, "", "b")]
+    two = [(100 + i, b, a) for i, a, b in rows]
+    left, right = (spark.createDataFrame(x, "id bigint, a string, b string") for x in (rows, two))
+    monkeypatch.setattr(candidates, "SPARSE", sparse)
+    monkeypatch.setattr(candidates, "MOST_BLOCKS", 2)
+    score = candidates.weighted({"a": 60, "b": 30}, 5000, ())
+    for other, pairs in ((None, combinations(rows, 2)), (right, product(rows, two))):
+        want = sorted((x[0], y[0], n) for x, y in pairs if (n := 60 * _ratio(x[1], y[1]) + 30 * _ratio(x[2], y[2])) >= 5000)
+        found = candidates.all_pairs(left, other, [{"a": 34}], ["a", "b"], score, (), 4, 8, ({"a": 60, "b": 30}, 5000), 40)
+        assert sorted(map(tuple, found.collect())) == want and len(want) > 40
+
+
+def test_blocks_grow_before_rows_are_shuffled_more_often():
+    size = lambda rows: candidates._blocks(rows, candidates.HOT_BLOCK, candidates.BLOCK_ROWS, candidates.SHIPPED_ROWS)
+    assert [size(n) for n in (0, 900, 100_000, 1_000_000, 6_480_000, 32_000_000)] == [1, 1, 8, 31, 32, 123]
+
+
 def test_fuzzy_pairs_write_few_bytes_a_row(spark, tmp_path):
     """What a row writes does not depend on how many keys its texts offer."""
     df = spark.createDataFrame(_people(random.Random(5), 225), "pos int, name string, email string, company string")
