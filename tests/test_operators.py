@@ -1,4 +1,5 @@
 import random
+from datetime import date
 from itertools import combinations, product
 
 import numpy as np
@@ -7,6 +8,8 @@ from pyspark.sql import functions as F
 
 from caseflow.functions.typing import clean_amount
 from caseflow.operators import candidates, catalog, decisions, extraction, insights, matching, positions, profiling, regress, resolve, shaping, telemetry, xref
+from caseflow.plans import customers
+from caseflow.plans.adapters import Inputs
 from caseflow.sources import arrays, files, readers, writers
 from tests import fixtures
 from tests.test_functions import plain_ratio
@@ -359,6 +362,22 @@ def test_payments_and_tickets(spark):
     assert next(r for r in merged if r["customer_id"] == "K01")["support_issues"] == 1
 
 
+def test_reconcile_upsert_updates_and_inserts(spark, tmp_path):
+    """The query gives every person of the tickets, with the entity that was updated or inserted for them."""
+    people = [(i, i % 5, "BUILDING", 100.0 + i) for i in range(1, 13)]
+    spark.createDataFrame(people, "c_custkey bigint, c_nationkey int, c_mktsegment string, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
+    orders = [(k, k % 12 + 1, "O", 10.0, date(2024, 1, 1 + k % 28)) for k in range(1, 61)]
+    spark.createDataFrame(orders, "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate date").write.parquet(f"{tmp_path}/orders.parquet")
+    inputs = Inputs(spark, str(tmp_path))
+    rows, tickets = customers.reconcile_upsert(inputs).collect(), resolve.ticket_people(inputs("tickets"))
+    assert sorted((r["ticket_name"], r["ticket_email"]) for r in rows) == sorted(map(tuple, tickets.select("name", "email").distinct().collect()))
+    updated, inserted = ([r for r in rows if (r["entity_pos"] is None) == new] for new in (False, True))
+    assert updated and inserted
+    assert all(r["customer_id"] == f"CUST{r['entity_pos'] // 2:07d}" and r["score"] >= 8000 for r in updated)
+    assert all(r["customer_id"].startswith("SUP-") and r["score"] is None for r in inserted)
+    assert sum({r["customer_id"]: r["support_issues"] for r in rows}.values()) == 60
+
+
 def test_contains_pairs(spark):
     df = spark.createDataFrame([("Ann",), ("Joanna",), ("ann",), ("Bo",), ("Bob",), ("",)], "name string")
     got = {(r["name_a"], r["name_b"], r["rows_a"]) for r in resolve.contains_pairs(df, "name").collect()}
