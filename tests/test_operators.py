@@ -378,12 +378,44 @@ def test_reconcile_upsert_updates_and_inserts(spark, tmp_path):
     assert sum({r["customer_id"]: r["support_issues"] for r in rows}.values()) == 60
 
 
+def test_equal_people_are_matched_without_comparing(spark, monkeypatch):
+    people = spark.createDataFrame([(7, "Kate Miller", "k@x.com"), (3, "Kate Miller", "k@x.com"), (4, "Cate Miller", "k@x.com"), (5, "Bo", "")], "pos int, name string, email string")
+    records = spark.createDataFrame([("r", "Kate Miller", "k@x.com"), ("s", "Katie Miller", "k@x.com"), ("t", "Bo", ""), (None, "Cate Miller", "k@x.com")], "rec_id string, name string, email string")
+    compared, pairs = [], resolve._upsert_pairs
+
+    def seen(left, *rest):
+        compared.extend(r["id"] for r in left.collect())
+        return pairs(left, *rest)
+
+    monkeypatch.setattr(resolve, "_upsert_pairs", seen)
+    got = {r["rec_id"]: (r["entity_pos"], r["score"]) for r in resolve.upsert_matches(people, records, "pos").collect()}
+    assert got == {"r": (3, 10000), "s": (3, 60 * plain_ratio("Katie Miller", "Kate Miller") + 4000), None: (4, 10000)}
+    assert sorted(compared) == ["s", "t"]
+
+
 def test_contains_pairs(spark):
     df = spark.createDataFrame([("Ann",), ("Joanna",), ("ann",), ("Bo",), ("Bob",), ("",)], "name string")
     got = {(r["name_a"], r["name_b"], r["rows_a"]) for r in resolve.contains_pairs(df, "name").collect()}
     assert got == {("ann", "joanna", 2), ("bo", "bob", 1)}
 
 
+def test_other_ids_are_compared_only_without_a_better_match(spark, monkeypatch):
+    """A mean of two texts beside two different ids is 200 / 3 at most: rows with a match above that do not look there."""
+    cols = "id string, email string, name string"
+    p = spark.createDataFrame([(0, "1", "ann@x.com", "Ann Lee"), (1, "2", "bob@y.org", "Bob Ray")], "pid int, " + cols)
+    r = spark.createDataFrame([(5, "", "ann.lee@x.com", "Anne Lou"), (6, "9", "ann@x.com", "Ann Lee"), (7, "8", "bob@y.org", "Bob Ray")], "rid int, " + cols)
+    asked, pairs = [], xref.all_pairs
+
+    def seen(a, b, *rest, **more):
+        if a.filter("own_id <> ''").count() and b.filter("own_id <> ''").count():
+            asked.extend(x["id"] for x in a.collect())
+        return pairs(a, b, *rest, **more)
+
+    monkeypatch.setattr(xref, "all_pairs", seen)
+    got = {x["pid"]: (x["rid"], x["score_sum"], x["valid_fields"]) for x in xref.xref_match(p, r, ["id", "email", "name"]).collect()}
+    assert got == {0: (5, 167, 2), 1: (7, 200, 3)} and asked == [1]
+
+
 def test_xref(spark):
     cols = "id string, email string, name string, phone string, revenue string, status string"
     p = spark.createDataFrame([(0, "1", "a@x.com", "Ann Lee", "5551234567", "$100", "active"), (1, "2", "b@x.com", "Bob Ray", "1", "50", "paused"), (2, "3", "", "Zoe", "", "x", "")], "pid int, " + cols)
